@@ -10,7 +10,7 @@ from tonecast import taxonomy as tx
 # runs of a-z of at least three letters that are not part of a longer Unicode word
 _PLAIN_WORD = r"(?<![\p{L}\p{N}_])[a-z]{3,}+(?![\p{L}\p{N}_])"
 _ANY_WORD = r"[\p{L}\p{N}_]{2,}+"
-_URL = r"https?://\S+|www\.\S+"
+_URL = r"(?U)https?://\S+|www\.\S+"
 
 # stop words and URL handling per consumer
 VARIANTS = {

@@ -12,6 +12,7 @@ from pyspark.ml.classification import LogisticRegression, LogisticRegressionMode
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tonecast.functions import expressions as ex
 from tonecast.operators import evaluation
@@ -56,11 +57,12 @@ class SentimentModel:
         rows = with_pair(train.filter(F.col(label).isin(*SENTIMENTS)), aspect)
         features = TfIdf.fit(rows, PAIR, max_features, min_df, sublinear)
         vectors = features.transform(rows.select(PAIR, label), PAIR).select("features", label)
-        return SentimentModel._fit_vectors(features, vectors, label, C, max_iter, balanced)
+        return SentimentModel.fit_vectors(features, vectors, label, C, max_iter, balanced)
 
     @staticmethod
-    def _fit_vectors(features: TfIdf, vectors: DataFrame, label: str, C: float, max_iter: int,
-                     balanced: bool) -> "SentimentModel":
+    def fit_vectors(features: TfIdf, vectors: DataFrame, label: str, C: float, max_iter: int,
+                    balanced: bool) -> "SentimentModel":
+        """Train on ready feature vectors."""
         # three counts at most; they fix class order and weights
         n = {r[label]: r["count"] for r in vectors.groupBy(label).count().collect()}
         classes = sorted(n)
@@ -123,7 +125,8 @@ def score_with(df: DataFrame, load: Callable[[], Callable[[list[str], list[str]]
     ``load`` runs once per task and returns ``f(aspects, texts) -> (n, classes) logits``; Arrow
     batches pass through it and softmax and argmax follow.
     """
-    schema = df.schema.add("sentiment_pred", "string").add("sentiment_confidence", "double")
+    schema = T.StructType(df.schema.fields + [T.StructField("sentiment_pred", T.StringType()),
+                                              T.StructField("sentiment_confidence", T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()

@@ -74,8 +74,8 @@ def drop_months(df: DataFrame, months: tuple[tuple[int, int], ...], column: str
 def with_calendar(df: DataFrame, column: str = "created_at_date") -> DataFrame:
     c = F.col(column)
     return df.withColumns({
-        "year_month": F.date_format(c, "yyyy-MM"), "year": F.year(c), "month": F.month(c),
-        "date": F.date_format(c, "yyyy-MM-dd"),
+        "year_month": F.substring(c.cast("date").cast("string"), 1, 7), "year": F.year(c), "month": F.month(c),
+        "date": c.cast("date").cast("string"),
     })
 
 

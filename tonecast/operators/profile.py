@@ -31,7 +31,7 @@ def describe_all(df: DataFrame) -> DataFrame:
               .groupBy("column", "text", "v").agg(F.count(F.lit(1)).alias("w")))
     v, w = F.col("v"), F.col("w")
     weighted = F.sum(F.when(v.isNotNull(), w))
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), "w")
+    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("w"))
     t = merged.groupBy("column").agg(
         F.sum("w").alias("n"), F.count(F.lit(1)).alias("n_distinct"),
         F.min_by("text", F.struct(-w, F.col("text"))).alias("top"), F.max("w").alias("freq"),
@@ -52,7 +52,7 @@ def length_stats(df: DataFrame, group: str | None = None) -> DataFrame:
     v, w = F.col("v"), F.col("w")
     total, mean = F.sum("w"), F.sum(v * w) / F.sum("w")
     variance = (F.sum(v * v * w) - F.sum(v * w) * F.sum(v * w) / F.sum("w")) / F.nullif(F.sum("w") - 1, F.lit(0))
-    quartiles = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), "w")
+    quartiles = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("w"))
     t = distinct.groupBy(*keys, "measure").agg(
         total.alias("n"), mean.alias("mean"), F.sqrt(variance).alias("std"), F.min("v").alias("min"),
         quartiles.alias("q"), F.max("v").alias("max"))
@@ -94,7 +94,7 @@ def summary_record(df: DataFrame) -> DataFrame:
 
     def median(column: str):
         return (df.groupBy(F.col(column).alias("x")).count()
-                .agg(F.percentile("x", F.lit(0.5), "count")).scalar())
+                .agg(F.percentile("x", F.lit(0.5), F.col("count"))).scalar())
 
     return base.select(
         "rows", "pos", "neg", ex.share(F.col("pos"), F.col("rows")).alias("pct_positive"),
