@@ -10,6 +10,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from tonecast import taxonomy as tx
+from tonecast.operators import cleaning, scaling
 
 REVIEWS = """
 WITH base AS (
@@ -68,10 +69,10 @@ SELECT review_id, id, review_text, review_rating, source, created_at_date,
        CASE WHEN id % 5 < 4 THEN sentiment WHEN sentiment = 'Positive' THEN 'Neutral'
             WHEN sentiment = 'Neutral' THEN 'Negative' ELSE 'Positive' END AS sentiment_pred,
        0.34 + CAST((id*37) % 660 AS DOUBLE)/1000 AS sentiment_confidence
-FROM (SELECT review_id, id, review_text, review_rating, source, lang, created_at_date, {rules} AS aspect,
+FROM (SELECT review_id, id, review_text, review_rating, source, lang, created_at_date, aspect,
              coalesce(sentiment, CASE WHEN review_rating >= 4 THEN 'Positive' WHEN review_rating = 3 THEN 'Neutral'
                                       ELSE 'Negative' END) AS sentiment
-      FROM ({texts}) t) u
+      FROM {ruled} t) u
 """
 
 # raw labels with aliases, pseudo labels, padding and mixed date texts
@@ -116,15 +117,16 @@ def rule_case(test: str, text: str = "review_text", fallback: str = tx.RULE_FALL
 DUCK_TEST = "regexp_matches({text}, '{regex}')"
 
 
-def _fill(sql: str, tables: dict[str, str], rules: str) -> str:
+def _fill(sql: str, tables: dict[str, str]) -> str:
     reviews, texts = REVIEWS.format(**tables), TEXTS.format(**tables)
-    return sql.format(**tables, texts=texts, reviews=reviews, rules=rules)
+    ruled = f"(SELECT *, {rule_case(DUCK_TEST)} AS aspect FROM ({texts}) x)"
+    return sql.format(**tables, texts=texts, reviews=reviews, ruled=ruled)
 
 
 def oracle_views() -> dict[str, str]:
     """CTE bodies for the oracle, with calendar columns on the review tables."""
-    tables, rules = {t: t for t in TABLES}, rule_case(DUCK_TEST)
-    views = {name: _fill(sql, tables, rules) for name, sql in
+    tables = {t: t for t in TABLES}
+    views = {name: _fill(sql, tables) for name, sql in
              [("reviews", REVIEWS), ("texts", TEXTS), ("scored", SCORED), ("raw", RAW), ("probs", PROBS)]}
     for name in ("reviews", "scored"):
         views[name] = f"SELECT *, {_CALENDAR} FROM ({views[name]}) v"
@@ -142,25 +144,27 @@ class Views:
 
     def _sql(self, sql: str) -> DataFrame:
         tables = {t: f"parquet.`{self.dir}/{t}.parquet`" for t in TABLES}
-        return self.spark.sql(_fill(sql, tables, rule_case("{text} RLIKE '{regex}'")))
+        return self.spark.sql(_fill(sql, tables))
 
     @cached_property
     def reviews(self) -> DataFrame:
-        from tonecast.operators.cleaning import with_calendar
-        return with_calendar(self._sql(REVIEWS))
+        return cleaning.with_calendar(self._sql(REVIEWS))
 
     @cached_property
     def texts(self) -> DataFrame:
-        return self._sql(TEXTS)
+        # text work is costly per row, so a single small file is spread over the cores first
+        documents = scaling.spread_small_input(self.table("documents"), "doc_id")
+        tables = {"documents": documents, "labels": self.table("labels")}
+        return self.spark.sql(TEXTS, **tables)
 
     @cached_property
     def scored(self) -> DataFrame:
-        from tonecast.operators.cleaning import with_calendar
-        return with_calendar(self._sql(SCORED))
+        ruled = cleaning.with_rule_aspect(self.texts, "aspect")
+        return cleaning.with_calendar(self.spark.sql(SCORED, ruled=ruled))
 
     @cached_property
     def raw(self) -> DataFrame:
-        return self._sql(RAW)
+        return self.spark.sql(RAW.replace("({texts})", "{texts}"), texts=self.texts)
 
     @cached_property
     def probs(self) -> DataFrame:

@@ -20,7 +20,7 @@ def background_mean(df: DataFrame, model: SentimentModel, n: int = BACKGROUND_RO
     rows = sample_rows(df.select(key, "review_text", aspect).na.drop(), n, seed, key)
     vectors = model.features.transform(with_pair(rows, aspect), PAIR).select("features")
     sums = vectors.select(F.inline(entries(F.col("features")))).groupBy("index").agg(F.sum("value").alias("s")).toPandas()
-    mean = np.zeros(len(model.features.terms))
+    mean = np.zeros(len(model.features.idf))
     mean[sums["index"].to_numpy(dtype="int64")] = sums["s"].to_numpy() / max(rows.count(), 1)
     return mean
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tonecast.functions import expressions as ex
-from tonecast.operators import evaluation
+from tonecast.operators import evaluation, scaling
 from tonecast.operators.cleaning import with_rule_aspect
 from tonecast.operators.features import MAX_FEATURES, TfIdf
 from tonecast.schema import SENTIMENTS
@@ -73,6 +72,7 @@ class SentimentModel:
             for c in classes:
                 weight = F.when(F.col(label) == c, total / (len(classes) * n[c])).otherwise(weight)
         rows = vectors.select("features", index.cast("double").alias("_y"), weight.cast("double").alias("_w"))
+        rows = scaling.compact(rows, total)
         estimator = LogisticRegression(
             featuresCol="features", labelCol="_y", weightCol="_w", family="multinomial", standardization=False,
             elasticNetParam=0.0, regParam=1.0 / (C * total), maxIter=max_iter)
@@ -93,19 +93,17 @@ class SentimentModel:
             "sentiment_confidence": F.bround("_top", 4)}).drop(PAIR, "_prob", "_p", "_top", "features")
 
     def save(self, path: str) -> None:
-        spark = SparkSession.active()
-        self.features.vocabulary(spark.range(0)).write.mode("overwrite").parquet(f"{path}/vocabulary")
+        """Features, regression and class order, each in its own folder under ``path``."""
+        self.features.save(f"{path}/features")
         self.regression.write().overwrite().save(f"{path}/regression")
-        meta = {"classes": self.classes, "sublinear": self.features.sublinear}
-        spark.createDataFrame([(json.dumps(meta),)], "value string").write.mode("overwrite").text(f"{path}/meta")
+        classes = SparkSession.active().createDataFrame(list(enumerate(self.classes)), "index int, label string")
+        classes.write.mode("overwrite").parquet(f"{path}/classes")
 
     @staticmethod
     def load(path: str) -> "SentimentModel":
-        spark = SparkSession.active()
-        meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
-        table = spark.read.parquet(f"{path}/vocabulary").orderBy("index").toPandas()
-        features = TfIdf(table["term"].tolist(), table["idf"].to_numpy(), meta["sublinear"])
-        return SentimentModel(features, LogisticRegressionModel.load(f"{path}/regression"), meta["classes"])
+        classes = SparkSession.active().read.parquet(f"{path}/classes").orderBy("index").collect()
+        return SentimentModel(TfIdf.load(f"{path}/features"), LogisticRegressionModel.load(f"{path}/regression"),
+                              [r["label"] for r in classes])
 
 
 def score_reviews(df: DataFrame, model: SentimentModel) -> DataFrame:

@@ -117,15 +117,18 @@ def union_confusion(df: DataFrame, true: str = "aspect", pred: str = "aspect_pre
 def calibration(df: DataFrame, confidence: str = "sentiment_confidence", bins: int = 10,
                 true: str = "sentiment", pred: str = "sentiment_pred") -> DataFrame:
     """Accuracy and mean confidence in equal-width, right-closed bins over the observed range; empty bins vanish."""
-    scored = df.filter(F.col(confidence).isNotNull())
-    low = scored.agg(F.min(confidence)).scalar()
-    high = scored.agg(F.max(confidence)).scalar()
+    # confidences carry four places: one row per value is left for everything that follows
+    correct = ex.equal(F.col(true), F.col(pred)).cast("int")
+    values = (df.filter(F.col(confidence).isNotNull()).groupBy(F.col(confidence).alias("c"))
+              .agg(F.count(F.lit(1)).alias("n"), F.sum(correct).alias("ok")))
+    bounds = values.agg(F.struct(F.min("c").alias("low"), F.max("c").alias("high")).alias("b")).scalar()
+    low, high = bounds.getField("low"), bounds.getField("high")
     step = (high - low) / bins
-    above = sum((F.when(F.col(confidence) > low + k * step, 1).otherwise(0) for k in range(1, bins)), F.lit(0))
+    above = sum((F.when(F.col("c") > low + k * step, 1).otherwise(0) for k in range(1, bins)), F.lit(0))
     bin_no = F.when(high == low, F.lit(bins // 2)).otherwise(above + 1)
-    correct = ex.equal(F.col(true), F.col(pred)).cast("int")
-    return scored.groupBy(bin_no.alias("bin")).agg(
-        F.avg(correct).alias("accuracy"), F.avg(confidence).alias("avg_conf"), F.count(F.lit(1)).alias("rows"))
+    return values.groupBy(bin_no.alias("bin")).agg(
+        (F.sum("ok") / F.sum("n")).alias("accuracy"), (F.sum(F.col("c") * F.col("n")) / F.sum("n")).alias("avg_conf"),
+        F.sum("n").alias("rows"))
 
 
 def agreement(df: DataFrame, true: str = "aspect", pred: str = "aspect_pred") -> DataFrame:

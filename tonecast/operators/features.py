@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonecast.functions import tokens as tk
@@ -39,9 +40,9 @@ def term_statistics(df: DataFrame, text: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class TfIdf:
-    """Fitted vocabulary (at most ``max_features`` terms) with idf weights."""
+    """Fitted vocabulary (at most ``max_features`` terms) with idf weights in vocabulary order."""
 
-    terms: list[str]
+    counter: CountVectorizerModel
     idf: np.ndarray
     sublinear: bool = True
 
@@ -50,17 +51,23 @@ class TfIdf:
             sublinear: bool = True) -> "TfIdf":
         """Most frequent terms first, ties by term; the capped vocabulary is all the driver receives."""
         top = (term_statistics(df, text).filter(F.col("df") >= min_df)
-               .orderBy(F.desc("cf"), "term").limit(max_features).toPandas())
+               .orderBy(F.desc("cf"), "term").limit(max_features).select("term", "df").toPandas())
         if not len(top):
             raise ValueError("no term reaches the minimum document frequency")
         n = df.count()
-        idf = np.log((1 + n) / (1 + top["df"].to_numpy())) + 1
-        return TfIdf(top["term"].tolist(), idf, sublinear)
+        # the vectoriser learns exactly these terms from a table with one term per row
+        listed = df.sparkSession.createDataFrame(top[["term"]], "term string").select(F.array("term").alias("_terms"))
+        counter = CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=len(top), minDF=1).fit(listed)
+        seen = top.set_index("term")["df"].reindex(counter.vocabulary).to_numpy()
+        return TfIdf(counter, np.log((1 + n) / (1 + seen)) + 1, sublinear)
+
+    @property
+    def terms(self) -> list[str]:
+        return self.counter.vocabulary
 
     def transform(self, df: DataFrame, text: str, name: str = "features") -> DataFrame:
         """Map-only: count the vocabulary terms of each row, then weigh whole Arrow batches."""
-        counter = CountVectorizerModel.from_vocabulary(self.terms, "_terms", "_tf")
-        counted = counter.transform(with_terms(df, text)).drop("_terms")
+        counted = self.counter.transform(with_terms(df, text)).drop("_terms")
         return counted.withColumn(name, self._weigh()("_tf")).drop("_tf")
 
     def _weigh(self):
@@ -84,10 +91,20 @@ class TfIdf:
 
     def vocabulary(self, df: DataFrame) -> DataFrame:
         """The vocabulary as a table: index, term, idf."""
-        import pandas as pd
-        pdf = pd.DataFrame({"index": np.arange(len(self.terms), dtype="int32"), "term": self.terms, "idf": self.idf})
+        pdf = pd.DataFrame({"index": np.arange(len(self.idf), dtype="int32"), "term": self.terms, "idf": self.idf})
         return df.sparkSession.createDataFrame(pdf, "index int, term string, idf double")
 
+    def save(self, path: str) -> None:
+        self.counter.write().overwrite().save(f"{path}/counter")
+        spark = SparkSession.active()
+        table = self.vocabulary(spark.range(0)).withColumn("sublinear", F.lit(self.sublinear))
+        table.write.mode("overwrite").parquet(f"{path}/idf")
+
+    @staticmethod
+    def load(path: str) -> "TfIdf":
+        table = SparkSession.active().read.parquet(f"{path}/idf").orderBy("index").toPandas()
+        return TfIdf(CountVectorizerModel.load(f"{path}/counter"), table["idf"].to_numpy(), bool(table["sublinear"].iloc[0]))
+
 
 def entries(vector: Column) -> Column:
     """Non-zero entries of a sparse vector as an array of (index, value)."""

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tonecast import taxonomy as tx
 from tonecast.functions import expressions as ex
@@ -60,26 +61,42 @@ def priorities(df: DataFrame, aspect: str = "aspect", sentiment: str = "sentimen
 
 
 def executive_summary(df: DataFrame, aspect: str = "aspect", sentiment: str = "sentiment") -> DataFrame:
-    """One row: score, volume, date range, worst and best aspect, trend and headline."""
+    """One row: score, volume, date range, worst and best aspect, trend and headline.
+
+    One pass over the reviews counts per aspect and month; all parts derive from that small table.
+    """
     s = F.col(sentiment)
-    table = tallies.nss_table(df.withColumn("aspect", F.col(aspect)), "aspect", sentiment=sentiment)
-    extremes = table.agg(
-        F.coalesce(F.min_by(F.when(F.col("nss") < 0, F.col("aspect")),
-                            F.when(F.col("nss") < 0, F.struct("nss", "aspect"))), F.lit(NO_VALUE)).alias("pain"),
-        F.coalesce(F.min_by(F.when(F.col("nss") > 0, F.col("aspect")),
-                            F.when(F.col("nss") > 0, F.struct(-F.col("nss"), F.col("aspect")))),
-                   F.lit(NO_VALUE)).alias("strength"))
-    extremes = extremes.select(F.struct("pain", "strength").alias("x")).scalar()
-    direction = F.coalesce(trends.trend(df, sentiment=sentiment).select("direction").scalar(), F.lit("stable"))
-    base = df.agg(F.count(F.lit(1)).alias("rows"), ex.is_label(s, "Positive").alias("pos"),
-                  ex.is_label(s, "Negative").alias("neg"),
-                  F.date_format(F.min("created_at_date"), "yyyy-MM-dd").alias("first"),
-                  F.date_format(F.max("created_at_date"), "yyyy-MM-dd").alias("last"))
-    out = base.select(
+    cells = df.groupBy(F.col(aspect).alias("a"), "year_month").agg(
+        F.count(F.lit(1)).alias("rows"), ex.is_label(s, "Positive").alias("pos"), ex.is_label(s, "Negative").alias("neg"),
+        F.min("created_at_date").alias("first"), F.max("created_at_date").alias("last"))
+    # aspects times months: a calendar-sized table, ranked as a whole
+    everything = Window.partitionBy(F.lit(0))
+    per_aspect = Window.partitionBy("a")
+    of_aspect = ex.nss(F.sum("pos").over(per_aspect), F.sum("neg").over(per_aspect), F.sum("rows").over(per_aspect))
+    placed = cells.withColumn("nss", F.when(F.col("a").isNotNull(), of_aspect))
+    placed = placed.withColumn("i", F.dense_rank().over(everything.orderBy(F.asc_nulls_last("year_month"))))
+    placed = placed.withColumn("n", F.max(F.when(F.col("year_month").isNotNull(), F.col("i"))).over(everything))
+    known, half = F.col("year_month").isNotNull(), F.floor(F.col("n") / 2)
+
+    def pooled(condition: Column, column: str) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col(column))), F.lit(0))
+
+    early, late = known & (F.col("i") <= half), known & (F.col("i") > half)
+    bad, good = F.col("nss") < 0, F.col("nss") > 0
+    t = placed.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"),
+        F.date_format(F.min("first"), "yyyy-MM-dd").alias("first"), F.date_format(F.max("last"), "yyyy-MM-dd").alias("last"),
+        F.coalesce(F.max("n"), F.lit(0)).alias("months"),
+        ex.nss(pooled(late, "pos"), pooled(late, "neg"), pooled(late, "rows")).alias("recent"),
+        ex.nss(pooled(early, "pos"), pooled(early, "neg"), pooled(early, "rows")).alias("prior"),
+        F.coalesce(F.min_by(F.when(bad, F.col("a")), F.when(bad, F.struct("nss", "a"))), F.lit(NO_VALUE)).alias("top_pain"),
+        F.coalesce(F.min_by(F.when(good, F.col("a")), F.when(good, F.struct(-F.col("nss"), F.col("a")))),
+                   F.lit(NO_VALUE)).alias("top_strength"))
+    direction = F.when(F.col("months") < 2, "stable").otherwise(trends.direction(F.col("recent") - F.col("prior")))
+    out = t.select(
         ex.nss(F.col("pos"), F.col("neg"), F.col("rows")).alias("overall_nss"), F.col("rows").alias("total_reviews"),
         F.when(F.col("rows") > 0, F.concat("first", F.lit(" → "), "last")).otherwise(NO_VALUE).alias("date_range"),
-        extremes.getField("pain").alias("top_pain"), extremes.getField("strength").alias("top_strength"),
-        direction.alias("trend_direction"))
+        "top_pain", "top_strength", direction.alias("trend_direction"))
     words = lookup(F.col("trend_direction"), tx.TREND_WORDS, F.lit(""))
     headline = F.concat(F.lit("Overall sentiment is "), words, F.lit(" (NSS "),
                         ex.signed_percent(F.bround("overall_nss", 2)), F.lit("%). "), F.col("top_strength"),
@@ -104,10 +121,9 @@ def deep_dives(df: DataFrame, aspect: str = "aspect", sentiment: str = "sentimen
                max_texts: int | None = None, t: Thresholds = DEFAULT) -> DataFrame:
     """All aspects at once: shares, trend, priority, action and phrases; urgent first, then by rounded score."""
     base = df.withColumn("aspect", F.col(aspect))
-    table = tallies.nss_table(base, "aspect", sentiment=sentiment)
-    moves = trends.trend(base, "aspect", sentiment).select("aspect", "direction", "recent_nss", "prior_nss", "delta")
+    table = tallies.score(trends.movement(base, "aspect", sentiment))
     texts = phrase_lists(base, "aspect", sentiment, n_phrases, "business", max_texts)
-    out = (table.join(moves, "aspect", "left").join(texts, "aspect", "left")
+    out = (table.join(texts, "aspect", "left")
            .withColumn("priority", priority(F.col("nss"), F.col("rows"), t)))
     order = F.array_position(F.array(F.lit("urgent"), F.lit("monitor"), F.lit("leverage")), F.col("priority"))
     return out.select(

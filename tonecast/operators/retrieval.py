@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonecast import taxonomy as tx
@@ -172,58 +172,68 @@ def aspect_contexts(df: DataFrame, n_phrases: int = 5, max_texts: int | None = N
     ratings, hometowns, phrases, action. Lists are texts in reading order.
 
     Expects calendar columns; scores are rounded to one place before they are compared or printed.
+    One grouping-sets pass counts every list; hometowns, an open domain, are cut to five before lists form.
     """
+    cuts = ["year", "year_month", "source", "bts_line", "review_rating", "reviewer_hometown"]
+    present = df.filter(F.col("aspect").isNotNull()).select("aspect", "sentiment", *cuts)
+    sets = [[F.col("aspect"), F.col(c)] for c in cuts]
+    grouped = present.groupingSets(sets, F.col("aspect"), *[F.col(c) for c in cuts]).agg(
+        F.grouping_id().alias("g"), *tallies.counts("sentiment"))
+    full = 2 ** len(cuts) - 1
+    kind, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, c in enumerate(cuts):
+        used = F.col("g") == full - 2 ** (len(cuts) - 1 - i)
+        kind, value = F.when(used, c).otherwise(kind), F.when(used, F.col(c).cast("string")).otherwise(value)
+    cells = tallies.score(grouped.select("aspect", kind.alias("kind"), value.alias("value"), "rows", "pos", "neg", "neu"))
     rows = F.col("rows")
-    base = tallies.nss_table(df, "aspect").join(
-        df.groupBy("aspect").agg(F.bround(F.avg("review_rating"), 2).alias("avg_rating")), "aspect")
-    base = base.select(
+    percent = F.concat(ex.signed_percent(F.col("nss")), F.lit("%"))
+    volume = F.concat(F.col("value"), F.lit(": NSS "), percent, F.lit(" ("), rows.cast("string"), F.lit(" reviews)"))
+    text = (F.when(F.col("kind").isin("year", "year_month"), F.concat(F.col("value"), F.lit(": "), percent))
+            .when(F.col("kind").isin("source", "bts_line"), volume)
+            .when(F.col("kind") == "review_rating", F.concat(F.lit("★"), F.col("value"), F.lit(": "), rows.cast("string")))
+            .otherwise(F.concat(F.col("value"), F.lit(" ("), rows.cast("string"), F.lit(")"))))
+    cells = cells.withColumn("text", text)
+    towns = scaling.first_per_group(cells.filter((F.col("kind") == "reviewer_hometown") & F.col("value").isNotNull()),
+                                    ["aspect"], [F.desc("rows"), F.asc("value")], 5)
+    towns = towns.withColumn("value", F.col("rank").cast("string"))
+    kept = cells.filter(F.col("kind") != "reviewer_hometown").unionByName(towns.drop("rank"))
+
+    def items(name: str) -> Column:
+        chosen = F.when((F.col("kind") == name) & F.col("value").isNotNull(), F.struct("value", "text"))
+        return F.array_sort(F.collect_list(chosen))
+
+    def joined(array: Column, separator: str) -> Column:
+        return F.array_join(F.transform(array, lambda x: x["text"]), separator)
+
+    # every row of an aspect falls into exactly one year cell (or the one without a year)
+    in_year = F.col("kind") == "year"
+    rated = (F.col("kind") == "review_rating") & F.col("value").isNotNull()
+    lists = kept.groupBy("aspect").agg(
+        *[F.sum(F.when(in_year, F.col(c))).alias(c) for c in ("rows", "pos", "neg", "neu")],
+        F.sum(F.when(rated, F.col("value").cast("long") * F.col("rows"))).alias("rating_sum"),
+        F.sum(F.when(rated, F.col("rows"))).alias("rated"),
+        items("year").alias("years"), items("year_month").alias("months"), joined(items("source"), "; ").alias("sources"),
+        joined(items("bts_line"), "; ").alias("bts_lines"), joined(items("review_rating"), ", ").alias("ratings"),
+        joined(items("reviewer_hometown"), ", ").alias("hometowns"))
+    lists = tallies.score(lists)
+
+    def last(n: int) -> Column:
+        return F.slice("months", F.greatest(F.size("months") - (n - 1), F.lit(1)), n)
+
+    base = lists.select(
         "aspect", F.bround("nss", 1).alias("nss"), "rows",
         F.bround(F.col("pos") / rows * 100, 1).alias("pct_positive"),
         F.bround(F.col("neu") / rows * 100, 1).alias("pct_neutral"),
-        F.bround(F.col("neg") / rows * 100, 1).alias("pct_negative"), "avg_rating")
+        F.bround(F.col("neg") / rows * 100, 1).alias("pct_negative"),
+        F.bround(F.col("rating_sum") / F.col("rated"), 2).alias("avg_rating"),
+        joined(F.col("years"), ", ").alias("yearly_nss"), joined(last(12), ", ").alias("monthly_nss_last12"),
+        joined(last(6), ", ").alias("monthly_nss_last6"), "sources", "bts_lines", "ratings", "hometowns")
     move = trends.trend(df, "aspect", round_first=True).select(
         "aspect", F.col("direction").alias("trend_direction"), F.col("delta").alias("trend_delta"), "recent_nss", "prior_nss")
-
-    def listed(table: DataFrame, order, text, separator: str, name: str) -> DataFrame:
-        items = F.array_sort(F.collect_list(F.struct(order.alias("o"), text.alias("t"))))
-        return table.groupBy("aspect").agg(F.array_join(F.transform(items, lambda x: x["t"]), separator).alias(name))
-
-    def scored(key: str) -> DataFrame:
-        return tallies.nss_table(df, "aspect", key)
-
-    def percent(table_col: str):
-        return F.concat(ex.signed_percent(F.col(table_col)), F.lit("%"))
-
-    def key_score(key: str):
-        return F.concat(F.col(key).cast("string"), F.lit(": "), percent("nss"))
-
-    def key_volume(key: str):
-        return F.concat(F.col(key), F.lit(": NSS "), percent("nss"), F.lit(" ("), rows.cast("string"), F.lit(" reviews)"))
-
-    months = scaling.first_per_group(scored("year_month"), ["aspect"], [F.desc("year_month")], 12)
-    ratings = df.filter(F.col("review_rating").isNotNull()).groupBy("aspect", "review_rating").count()
-    towns = (df.filter(F.col("reviewer_hometown").isNotNull()).groupBy("aspect", "reviewer_hometown").count())
-    towns = scaling.first_per_group(towns, ["aspect"], [F.desc("count"), F.asc("reviewer_hometown")], 5)
-    pieces = [
-        move,
-        listed(scored("year"), F.col("year"), key_score("year"), ", ", "yearly_nss"),
-        listed(months, F.col("year_month"), key_score("year_month"), ", ", "monthly_nss_last12"),
-        listed(months.filter(F.col("rank") <= 6), F.col("year_month"), key_score("year_month"), ", ", "monthly_nss_last6"),
-        listed(scored("source"), F.col("source"), key_volume("source"), "; ", "sources"),
-        listed(scored("bts_line"), F.col("bts_line"), key_volume("bts_line"), "; ", "bts_lines"),
-        listed(ratings, F.col("review_rating"),
-               F.concat(F.lit("★"), F.col("review_rating").cast("string"), F.lit(": "), F.col("count").cast("string")),
-               ", ", "ratings"),
-        listed(towns, F.col("rank"), F.concat("reviewer_hometown", F.lit(" ("), F.col("count").cast("string"), F.lit(")")),
-               ", ", "hometowns"),
-        insights.phrase_lists(df, "aspect", "sentiment", n_phrases, "context", max_texts),
-    ]
-    out = base
-    for piece in pieces:
-        out = out.join(piece, "aspect", "left")
-    texts = ["yearly_nss", "monthly_nss_last12", "monthly_nss_last6", "sources", "bts_lines", "ratings", "hometowns",
-             "top_complaints", "top_praises"]
-    return out.withColumns({c: F.coalesce(c, F.lit("")) for c in texts}).withColumn("action", insights.action(F.col("aspect")))
+    phrases = insights.phrase_lists(df, "aspect", "sentiment", n_phrases, "context", max_texts)
+    out = base.join(move, "aspect", "left").join(phrases, "aspect", "left")
+    return out.withColumns({c: F.coalesce(c, F.lit("")) for c in ("top_complaints", "top_praises")}).withColumn(
+        "action", insights.action(F.col("aspect")))
 
 
 def statistics_text(context: DataFrame) -> DataFrame:

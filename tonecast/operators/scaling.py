@@ -94,3 +94,22 @@ def distributed_rank(df: DataFrame, group: str, hashed: Column, tie: Column, ran
     ranked = keyed.withColumn("_r", F.row_number().over(inner))
     return (ranked.join(offsets, [group, "_b"])
             .withColumn(rank, F.col("_r") + F.col("_o")).drop("_h", "_b", "_r", "_o"))
+
+
+def spread_small_input(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition an input with fewer splits than cores, before costly work per row.
+
+    A no-op for inputs with enough splits, so large tables are never shuffled for it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
+def compact(df: DataFrame, rows: int, rows_per_task: int = 5_000) -> DataFrame:
+    """Fewer partitions for a small table that an iterative fit passes over many times.
+
+    Each pass costs every task a full-size gradient, so tasks should hold enough rows to pay for it.
+    Tables with enough rows per partition are left as they are.
+    """
+    wanted = max(1, -(-rows // rows_per_task))
+    return df.repartition(wanted) if wanted < df.rdd.getNumPartitions() else df

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonecast.functions import tokens as tk
+from tonecast.operators import scaling
 
 _SCHEMA = "topic int, rank int, term string, weight double"
 
@@ -24,11 +25,15 @@ def topics(df: DataFrame, k: int = 6, n_words: int = 12, max_features: int = 400
     if document_frequency.filter(F.col("count") >= min_df).isEmpty():
         return spark.createDataFrame([], _SCHEMA)
     counter = CountVectorizer(inputCol="words", outputCol="features", vocabSize=max_features, minDF=min_df).fit(words)
-    model = LDA(k=k, maxIter=max_iter, optimizer="online", subsamplingRate=1.0, seed=seed).fit(
-        counter.transform(words).select("features"))
+    vectors = counter.transform(words).select("features")
+    vectors = scaling.compact(vectors, vectors.count()).persist()  # every iteration passes over them
+    try:
+        model = LDA(k=k, maxIter=max_iter, optimizer="online", subsamplingRate=1.0, seed=seed).fit(vectors)
+        described = model.describeTopics(n_words).collect()  # k rows
+    finally:
+        vectors.unpersist()
     vocabulary = counter.vocabulary
-    rows = [(r["topic"], i + 1, vocabulary[t], float(w))  # k * n_words rows
-            for r in model.describeTopics(n_words).collect()
+    rows = [(r["topic"], i + 1, vocabulary[t], float(w)) for r in described
             for i, (t, w) in enumerate(zip(r["termIndices"], r["termWeights"]))]
     return spark.createDataFrame(rows, _SCHEMA)
 

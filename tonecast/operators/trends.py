@@ -15,29 +15,30 @@ def direction(delta: Column, cut: float = TREND_CUT) -> Column:
     return F.when(delta > cut, "improving").when(delta < -cut, "declining").otherwise("stable")
 
 
-def trend(df: DataFrame, group: str | None = None, sentiment: str = "sentiment", round_first: bool = False) -> DataFrame:
-    """NSS of both halves, pooled over rows, per ``group`` (or overall).
+def movement(df: DataFrame, group: str | None = None, sentiment: str = "sentiment",
+             round_first: bool = False) -> DataFrame:
+    """Totals and trend per ``group`` (or overall) from one aggregate by month.
 
-    The first ``floor(n/2)`` months are the prior half. One month alone is stable with
-    equal scores. ``round_first`` compares scores already rounded to one place.
-    Rows shrink to months per group before the window, so ranking handles a calendar, not reviews.
+    NSS of both halves is pooled over rows; the first ``floor(n/2)`` months with data are the prior half.
+    One month alone is stable with equal scores. ``round_first`` compares scores already rounded to one
+    place. Rows shrink to months per group before the window, so ranking handles a calendar, not reviews.
     """
     key = F.col(group) if group else F.lit("all")
     s = F.col(sentiment)
     months = (df.filter(key.isNotNull()).groupBy(key.alias("g"), "year_month")
               .agg(F.count(F.lit(1)).alias("rows"), ex.is_label(s, "Positive").alias("pos"),
-                   ex.is_label(s, "Negative").alias("neg")))
-    ordered = Window.partitionBy("g").orderBy("year_month")
-    ranked = months.select("g", "rows", "pos", "neg", F.row_number().over(ordered).alias("i"),
-                           F.count(F.lit(1)).over(Window.partitionBy("g")).alias("n"))
+                   ex.is_label(s, "Negative").alias("neg"), ex.is_label(s, "Neutral").alias("neu")))
+    # rows without a month count in the totals only
+    known = F.col("year_month").isNotNull()
+    ordered = Window.partitionBy("g").orderBy(F.asc_nulls_last("year_month"))
+    ranked = months.withColumns({"i": F.row_number().over(ordered), "known": known,
+                                 "n": F.count("year_month").over(Window.partitionBy("g"))})
     half = F.floor(F.col("n") / 2)
-    early, late = F.col("i") <= half, F.col("i") > half
-
-    def pooled(condition: Column, name: str) -> list[Column]:
-        return [F.coalesce(F.sum(F.when(condition, F.col(c))), F.lit(0)).alias(f"{name}_{c}")
-                for c in ("pos", "neg", "rows")]
-
-    t = ranked.groupBy("g").agg(*pooled(early, "e"), *pooled(late, "l"), F.max("n").alias("months"))
+    parts = {"e": F.col("known") & (F.col("i") <= half), "l": F.col("known") & (F.col("i") > half)}
+    sums = [F.coalesce(F.sum(F.when(condition, F.col(c))), F.lit(0)).alias(f"{name}_{c}")
+            for name, condition in parts.items() for c in ("pos", "neg", "rows")]
+    t = ranked.groupBy("g").agg(*[F.sum(c).alias(c) for c in ("rows", "pos", "neg", "neu")], *sums,
+                                F.max("n").alias("months"))
 
     def half_nss(name: str) -> Column:
         value = ex.nss(F.col(f"{name}_pos"), F.col(f"{name}_neg"), F.col(f"{name}_rows"))
@@ -45,8 +46,14 @@ def trend(df: DataFrame, group: str | None = None, sentiment: str = "sentiment",
 
     recent = half_nss("l")
     # only the later half exists when there is a single month
-    prior = F.when((F.col("months") < 2) & F.lit(not round_first), recent).otherwise(half_nss("e"))
-    out = t.select(F.col("g").alias(group or "scope"), "months", recent.alias("recent_nss"), prior.alias("prior_nss"))
+    prior = half_nss("e") if round_first else F.when(F.col("months") < 2, recent).otherwise(half_nss("e"))
+    out = t.select(F.col("g").alias(group or "scope"), "rows", "pos", "neg", "neu", "months",
+                   recent.alias("recent_nss"), prior.alias("prior_nss"))
     delta = F.col("recent_nss") - F.col("prior_nss")
     out = out.withColumn("delta", F.bround(delta, 1) if round_first else delta)
     return out.withColumn("direction", direction(F.col("delta")))
+
+
+def trend(df: DataFrame, group: str | None = None, sentiment: str = "sentiment", round_first: bool = False) -> DataFrame:
+    """Trend columns of ``movement``."""
+    return movement(df, group, sentiment, round_first).drop("rows", "pos", "neg", "neu")

@@ -128,16 +128,16 @@ def aspect_summaries(rows: DataFrame, aspect: str, sentiment: str, n_phrases: in
                      max_texts: int | None = None) -> DataFrame:
     """Detail record of every aspect: rounded score and shares, trend, priority from the rounded score, phrases."""
     base = rows.withColumn("aspect", F.col(aspect))
-    table = tallies.nss_table(base, "aspect", sentiment=sentiment)
+    table = tallies.score(trends.movement(base, "aspect", sentiment))
     n = F.col("rows")
     table = table.select("aspect", F.bround("nss", 1).alias("nss"), "rows",
                          F.bround(F.col("pos") / n * 100, 1).alias("pct_positive"),
                          F.bround(F.col("neu") / n * 100, 1).alias("pct_neutral"),
-                         F.bround(F.col("neg") / n * 100, 1).alias("pct_negative"))
-    moves = trends.trend(base, "aspect", sentiment).select(
-        "aspect", "direction", *[F.bround(c, 1).alias(c) for c in ("recent_nss", "prior_nss", "delta")])
+                         F.bround(F.col("neg") / n * 100, 1).alias("pct_negative"), "direction",
+                         *[F.bround(c, 1).alias(c) for c in ("recent_nss", "prior_nss", "delta")])
     texts = insights.phrase_lists(base, "aspect", sentiment, n_phrases, "business", max_texts)
-    out = table.join(moves, "aspect", "left").join(texts, "aspect", "left")
+    out = table.join(texts, "aspect", "left").withColumns(
+        {c: F.coalesce(c, F.lit("")) for c in ("top_complaints", "top_praises")})
     return out.select("*", insights.priority(F.col("nss"), n).alias("priority"),
                       insights.action(F.col("aspect")).alias("action"))
 
