@@ -103,6 +103,18 @@ FROM (SELECT review_id, sentiment, sentiment_pred, sentiment_confidence AS c, 3e
       FROM ({reviews}) r) u
 """
 
+# explicit schemas spare a footer scan per table
+SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "part": "p_partkey bigint, p_type string",
+    "supplier": "s_suppkey bigint, s_nationkey int",
+    "nation": "n_nationkey int, n_name string",
+    "documents": "doc_id bigint, text string, lang string, source string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
 TABLES = ("lineitem", "part", "supplier", "nation", "documents", "labels")
 _CALENDAR = ("strftime(created_at_date, '%Y-%m') AS year_month, CAST(year(created_at_date) AS INT) AS year, "
              "CAST(month(created_at_date) AS INT) AS month, strftime(created_at_date, '%Y-%m-%d') AS date")
@@ -140,15 +152,17 @@ class Views:
         self.spark, self.dir = spark, sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.dir}/{name}.parquet")
 
-    def _sql(self, sql: str) -> DataFrame:
-        tables = {t: f"parquet.`{self.dir}/{t}.parquet`" for t in TABLES}
-        return self.spark.sql(_fill(sql, tables))
+    @cached_property
+    def labelled_rows(self) -> DataFrame:
+        # a single small file is spread over the cores first
+        lineitem = scaling.spread_small_input(self.table("lineitem"), "l_orderkey")
+        return self.spark.sql(REVIEWS, lineitem=lineitem, **{t: self.table(t) for t in ("part", "supplier", "nation")})
 
     @cached_property
     def reviews(self) -> DataFrame:
-        return cleaning.with_calendar(self._sql(REVIEWS))
+        return cleaning.with_calendar(self.labelled_rows)
 
     @cached_property
     def texts(self) -> DataFrame:
@@ -168,4 +182,4 @@ class Views:
 
     @cached_property
     def probs(self) -> DataFrame:
-        return self._sql(PROBS)
+        return self.spark.sql(PROBS.replace("({reviews})", "{reviews}"), reviews=self.labelled_rows)

@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tonecast.functions import expressions as ex
 from tonecast.operators import evaluation, scaling
@@ -30,7 +31,8 @@ def with_pair(df: DataFrame, aspect: str = "aspect") -> DataFrame:
 def class_weights(df: DataFrame, label: str = "sentiment") -> DataFrame:
     """Balanced weight ``N / (K * n_k)`` per class."""
     n = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    total, kinds = n.agg(F.sum("n")).scalar(), n.agg(F.count(F.lit(1))).scalar()
+    classes = Window.partitionBy(F.lit(0))  # one row per class
+    total, kinds = F.sum("n").over(classes), F.count(F.lit(1)).over(classes)
     return n.select(label, "n", (total / (kinds * F.col("n"))).alias("weight"))
 
 

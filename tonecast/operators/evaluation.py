@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tonecast.functions import expressions as ex
 from tonecast.schema import SENTIMENTS
@@ -97,18 +98,19 @@ def label_union(df: DataFrame, a: str, b: str) -> DataFrame:
 def union_confusion(df: DataFrame, true: str = "aspect", pred: str = "aspect_pred") -> DataFrame:
     """Matrix over the union of both label sets, zero-filled, with row shares.
 
-    The label list is a scalar read off the pair counts; each true label expands it once.
+    The label list is attached to the pair counts (labels times labels rows); each true label expands it once.
     """
     pairs = pair_counts(df, true=true, pred=pred).filter(F.col("t").isNotNull() & F.col("p").isNotNull())
-    both = pairs.select(F.explode(F.array("t", "p")).alias("label"))
-    labels = both.agg(F.array_sort(F.collect_set("label"))).scalar()
+    whole = Window.partitionBy(F.lit(0))
+    labels = F.array_sort(F.array_union(F.collect_set("t").over(whole), F.collect_set("p").over(whole)))
     # every label gets a (possibly empty) map predicted -> rows
-    known = pairs.select(F.inline(F.array(
+    known = pairs.withColumn("labels", labels).select("labels", F.inline(F.array(
         F.struct(F.col("t").alias("true_label"), F.struct("p", "n").alias("hit")),
         F.struct(F.col("p").alias("true_label"), F.lit(None).cast("struct<p:string,n:bigint>").alias("hit")))))
     rows = known.groupBy("true_label").agg(F.map_from_entries(F.collect_list("hit")).alias("hits"),
-                                           F.coalesce(F.sum("hit.n"), F.lit(0)).alias("total"))
-    cells = rows.select("true_label", "hits", "total", F.explode(labels).alias("pred_label"))
+                                           F.coalesce(F.sum("hit.n"), F.lit(0)).alias("total"),
+                                           F.any_value("labels").alias("labels"))
+    cells = rows.select("true_label", "hits", "total", F.explode("labels").alias("pred_label"))
     n = F.coalesce(F.try_element_at("hits", F.col("pred_label")), F.lit(0))
     return cells.select("true_label", "pred_label", n.alias("rows"),
                         (n / F.greatest(F.col("total"), F.lit(1))).alias("share"))
@@ -121,8 +123,11 @@ def calibration(df: DataFrame, confidence: str = "sentiment_confidence", bins: i
     correct = ex.equal(F.col(true), F.col(pred)).cast("int")
     values = (df.filter(F.col(confidence).isNotNull()).groupBy(F.col(confidence).alias("c"))
               .agg(F.count(F.lit(1)).alias("n"), F.sum(correct).alias("ok")))
-    bounds = values.agg(F.struct(F.min("c").alias("low"), F.max("c").alias("high")).alias("b")).scalar()
-    low, high = bounds.getField("low"), bounds.getField("high")
+    # bounds over whole rows: the same columns are shuffled for both uses, so the scan is shared
+    row = F.struct("c", "n", "ok")
+    bounds = values.agg(F.struct(F.min(row).alias("low"), F.max(row).alias("high")).alias("b")).scalar()
+    values = values.withColumn("b", bounds)
+    low, high = F.col("b.low.c"), F.col("b.high.c")
     step = (high - low) / bins
     above = sum((F.when(F.col("c") > low + k * step, 1).otherwise(0) for k in range(1, bins)), F.lit(0))
     bin_no = F.when(high == low, F.lit(bins // 2)).otherwise(above + 1)

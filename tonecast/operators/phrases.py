@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tonecast.functions import tokens as tk
 from tonecast.operators import scaling
@@ -26,9 +27,9 @@ def vocabulary_size(df: DataFrame, variant: str = "plain") -> DataFrame:
 
 def top_terms(df: DataFrame, n: int = 30, variant: str = "plain") -> DataFrame:
     """Most frequent words with their weight relative to the first."""
-    table = word_counts(df, variant=variant)
-    peak = table.agg(F.max("count")).scalar()
-    return table.select("term", "count", (F.col("count") / peak).alias("weight")).orderBy(*_by_count("term")).limit(n)
+    top = word_counts(df, variant=variant).orderBy(*_by_count("term")).limit(n)
+    peak = F.max("count").over(Window.partitionBy(F.lit(0)))  # over the n rows left
+    return top.select("term", "count", (F.col("count") / peak).alias("weight")).orderBy(*_by_count("term"))
 
 
 def top_terms_by_polarity(df: DataFrame, n: int = 20, variant: str = "plain", sentiment: str = "sentiment") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tonecast.functions import expressions as ex
 from tonecast.functions import tokens as tk
@@ -63,43 +64,43 @@ def length_stats(df: DataFrame, group: str | None = None) -> DataFrame:
 def histogram(df: DataFrame, column: str, clip: int, bins: int = 50) -> DataFrame:
     """Equal-width histogram between the observed bounds after clipping; the last bin is closed."""
     values = df.select(F.least(F.col(column), F.lit(clip)).cast("long").alias("v")).groupBy("v").count()
-    low = values.agg(F.min("v")).scalar()
-    high = values.agg(F.max("v")).scalar()
+    whole = Window.partitionBy(F.lit(0))  # clipping leaves at most ``clip`` + 1 distinct values
+    values = values.withColumns({"low": F.min("v").over(whole), "high": F.max("v").over(whole)})
+    low, high = F.col("low"), F.col("high")
     # a single value spreads over [v - 0.5, v + 0.5]
     flat = high == low
     start = F.when(flat, low - 0.5).otherwise(low)
     width = F.when(flat, F.lit(1.0)).otherwise(high - low) / bins
     position = F.least(F.floor((F.col("v") - start) / width), F.lit(bins - 1)).cast("int")
-    return (values.groupBy(position.alias("bin")).agg(F.sum("count").alias("rows"))
-            .withColumns({"lower": start + F.col("bin") * width, "upper": start + (F.col("bin") + 1) * width}))
+    t = values.groupBy(position.alias("bin")).agg(F.sum("count").alias("rows"), F.min(start).alias("start"),
+                                                  F.min(width).alias("width"))
+    return t.select("bin", "rows", (F.col("start") + F.col("bin") * F.col("width")).alias("lower"),
+                    (F.col("start") + (F.col("bin") + 1) * F.col("width")).alias("upper"))
 
 
 def summary_record(df: DataFrame) -> DataFrame:
     """One wide row: volumes, shares, NSS, length means and medians, vocabulary, date range, value lists.
 
-    Expects calendar and length columns. Medians use frequencies of distinct lengths; value lists
+    Expects calendar and length columns. Exact medians keep one counter per distinct length; value lists
     hold the small source and line domains.
     """
     s = F.col("sentiment")
     base = df.agg(
         F.count(F.lit(1)).alias("rows"), ex.is_label(s, "Positive").alias("pos"), ex.is_label(s, "Negative").alias("neg"),
-        F.avg("text_length").alias("avg_length"), F.avg("word_count").alias("avg_words"),
+        F.avg("text_length").alias("avg_length"), F.percentile("text_length", F.lit(0.5)).alias("median_length"),
+        F.avg("word_count").alias("avg_words"), F.percentile("word_count", F.lit(0.5)).alias("median_words"),
         F.date_format(F.min("created_at_date"), "yyyy-MM-dd").alias("date_min"),
         F.date_format(F.max("created_at_date"), "yyyy-MM-dd").alias("date_max"),
         F.count_distinct("aspect").alias("n_aspects"),
         F.array_join(F.array_sort(F.collect_set("source")), ", ").alias("sources"),
         F.array_join(F.array_sort(F.collect_set("bts_line")), ", ").alias("bts_lines"))
     words = df.select(F.explode(tk.words(F.col("review_text"))).alias("w")).groupBy("w").count()
-    vocabulary = words.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("t"), F.count(F.lit(1)).alias("v"))
-
-    def median(column: str):
-        return (df.groupBy(F.col(column).alias("x")).count()
-                .agg(F.percentile("x", F.lit(0.5), F.col("count"))).scalar())
-
+    vocabulary = words.agg(F.struct(F.coalesce(F.sum("count"), F.lit(0)).alias("t"), F.count(F.lit(1)).alias("v")).alias("x"))
+    vocabulary = vocabulary.scalar()
     return base.select(
         "rows", "pos", "neg", ex.share(F.col("pos"), F.col("rows")).alias("pct_positive"),
         ex.share(F.col("neg"), F.col("rows")).alias("pct_negative"),
         ex.nss(F.col("pos"), F.col("neg"), F.col("rows")).alias("nss"), "avg_length",
-        median("text_length").alias("median_length"), "avg_words", median("word_count").alias("median_words"),
-        vocabulary.select("v").scalar().alias("vocabulary"), vocabulary.select("t").scalar().alias("tokens"),
+        "median_length", "avg_words", "median_words", vocabulary.getField("v").alias("vocabulary"),
+        vocabulary.getField("t").alias("tokens"),
         "date_min", "date_max", "sources", "bts_lines", "n_aspects")

@@ -199,7 +199,8 @@ def aspect_contexts(df: DataFrame, n_phrases: int = 5, max_texts: int | None = N
     kept = cells.filter(F.col("kind") != "reviewer_hometown").unionByName(towns.drop("rank"))
 
     def items(name: str) -> Column:
-        chosen = F.when((F.col("kind") == name) & F.col("value").isNotNull(), F.struct("value", "text"))
+        chosen = F.when((F.col("kind") == name) & F.col("value").isNotNull(),
+                        F.struct("value", "text", "pos", "neg", "rows"))
         return F.array_sort(F.collect_list(chosen))
 
     def joined(array: Column, separator: str) -> Column:
@@ -220,6 +221,12 @@ def aspect_contexts(df: DataFrame, n_phrases: int = 5, max_texts: int | None = N
     def last(n: int) -> Column:
         return F.slice("months", F.greatest(F.size("months") - (n - 1), F.lit(1)), n)
 
+    def half(months: Column) -> Column:
+        """Rounded score pooled over some months."""
+        total = F.aggregate(months, F.struct(F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("r")),
+                            lambda acc, m: F.struct((acc["d"] + m["pos"] - m["neg"]).alias("d"), (acc["r"] + m["rows"]).alias("r")))
+        return F.bround(ex.nss(total["d"], F.lit(0), total["r"]), 1)
+
     base = lists.select(
         "aspect", F.bround("nss", 1).alias("nss"), "rows",
         F.bround(F.col("pos") / rows * 100, 1).alias("pct_positive"),
@@ -227,11 +234,13 @@ def aspect_contexts(df: DataFrame, n_phrases: int = 5, max_texts: int | None = N
         F.bround(F.col("neg") / rows * 100, 1).alias("pct_negative"),
         F.bround(F.col("rating_sum") / F.col("rated"), 2).alias("avg_rating"),
         joined(F.col("years"), ", ").alias("yearly_nss"), joined(last(12), ", ").alias("monthly_nss_last12"),
-        joined(last(6), ", ").alias("monthly_nss_last6"), "sources", "bts_lines", "ratings", "hometowns")
-    move = trends.trend(df, "aspect", round_first=True).select(
-        "aspect", F.col("direction").alias("trend_direction"), F.col("delta").alias("trend_delta"), "recent_nss", "prior_nss")
+        joined(last(6), ", ").alias("monthly_nss_last6"), "sources", "bts_lines", "ratings", "hometowns",
+        half(F.slice("months", F.floor(F.size("months") / 2).cast("int") + 1, F.size("months"))).alias("recent_nss"),
+        half(F.slice("months", 1, F.floor(F.size("months") / 2).cast("int"))).alias("prior_nss"))
+    base = base.withColumn("trend_delta", F.bround(F.col("recent_nss") - F.col("prior_nss"), 1))
+    base = base.withColumn("trend_direction", trends.direction(F.col("trend_delta")))
     phrases = insights.phrase_lists(df, "aspect", "sentiment", n_phrases, "context", max_texts)
-    out = base.join(move, "aspect", "left").join(phrases, "aspect", "left")
+    out = base.join(phrases, "aspect", "left")
     return out.withColumns({c: F.coalesce(c, F.lit("")) for c in ("top_complaints", "top_praises")}).withColumn(
         "action", insights.action(F.col("aspect")))
 

@@ -98,13 +98,21 @@ def kpi_delta(df: DataFrame, condition: Column, sentiment: str = "sentiment") ->
 
 
 def breakdown(df: DataFrame, key: str, sentiment: str = "sentiment", top: int | None = None) -> DataFrame:
-    """Rows, NSS and share of all rows per value, largest first; null values only count in the total."""
-    grouped = df.groupBy(key).agg(*counts(sentiment))
-    total = grouped.agg(F.sum("rows")).scalar()
-    table = (score(grouped).filter(F.col(key).isNotNull())
-             .select(F.col(key), "rows", "nss", (F.col("rows") / total * 100).alias("pct"))
-             .orderBy(F.desc("rows"), key))
-    return table.limit(top) if top else table
+    """Rows, NSS and share of all rows per value, largest first; null values only count in the total.
+
+    The total is a grouping set of the same scan and is sorted in front, so the top rows carry it along.
+    """
+    value = F.col(key).alias("_v")
+    grouped = df.select(value, F.col(sentiment).alias("_s")).groupingSets([[F.col("_v")], []], F.col("_v")).agg(
+        F.grouping_id().alias("_total"), *counts("_s"))
+    kept = grouped.filter((F.col("_total") == 1) | F.col("_v").isNotNull())
+    order = [F.desc("_total"), F.desc("rows"), F.asc("_v")]
+    if top is not None:
+        kept = kept.orderBy(*order).limit(top + 1)
+    # one row per distinct value is left
+    total = F.max(F.when(F.col("_total") == 1, F.col("rows"))).over(Window.partitionBy(F.lit(0)))
+    table = score(kept.withColumn("pct", F.col("rows") / total * 100)).filter(F.col("_total") == 0)
+    return table.select(F.col("_v").alias(key), "rows", "nss", "pct").orderBy(F.desc("rows"), key)
 
 
 def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFrame:
@@ -176,11 +184,11 @@ def yearly(df: DataFrame, sentiment: str = "sentiment", min_rows: int = 0) -> Da
 def quadrant(df: DataFrame, aspect: str = "aspect", sentiment: str = "sentiment") -> DataFrame:
     """Volume against NSS per aspect with both median volumes: the interpolated and the upper one."""
     table = nss_table(df.withColumn("aspect", F.col(aspect)), "aspect", sentiment=sentiment)
-    ordered = F.sort_array(F.collect_list("rows"))
-    medians = table.agg(F.percentile("rows", F.lit(0.5)).alias("m"), ordered.alias("v"))
-    median = medians.select("m").scalar()
-    upper = medians.select(F.expr("get(v, CAST(floor(size(v) / 2) AS INT))")).scalar()
-    return table.select("aspect", "rows", "nss", median.alias("median_rows"), upper.alias("upper_median_rows"),
+    aspects = Window.partitionBy(F.lit(0))  # one row per aspect of a closed taxonomy
+    ordered = F.array_sort(F.collect_list("rows").over(aspects))
+    table = table.withColumns({"median_rows": F.percentile("rows", F.lit(0.5)).over(aspects), "_v": ordered})
+    upper = F.element_at("_v", (F.floor(F.size("_v") / 2) + 1).cast("int"))
+    return table.select("aspect", "rows", "nss", "median_rows", upper.alias("upper_median_rows"),
                         ex.nss_band(F.col("nss")).alias("band"))
 
 

@@ -26,7 +26,7 @@ def topics(df: DataFrame, k: int = 6, n_words: int = 12, max_features: int = 400
         return spark.createDataFrame([], _SCHEMA)
     counter = CountVectorizer(inputCol="words", outputCol="features", vocabSize=max_features, minDF=min_df).fit(words)
     vectors = counter.transform(words).select("features")
-    vectors = scaling.compact(vectors, vectors.count()).persist()  # every iteration passes over them
+    vectors = scaling.compact(vectors, vectors.count(), 200).persist()  # every iteration passes over them
     try:
         model = LDA(k=k, maxIter=max_iter, optimizer="online", subsamplingRate=1.0, seed=seed).fit(vectors)
         described = model.describeTopics(n_words).collect()  # k rows
