@@ -166,5 +166,5 @@ def test_nearest_is_capped_by_the_collection(spark):
 def test_conversation_tail(spark):
     df = spark.createDataFrame([(1, t, "user", "x") for t in range(9)] + [(2, 0, "user", "y")],
                                "conv_id long, turn long, role string, text string")
-    assert [(r["conv_id"], r["turn"]) for r in retrieval.conversation_tail(df).collect()] == [
+    assert [(r["conv_id"], r["turn"]) for r in retrieval.conversation_tail(df).orderBy("conv_id", "turn").collect()] == [
         (1, 3), (1, 4), (1, 5), (1, 6), (1, 7), (1, 8), (2, 0)]

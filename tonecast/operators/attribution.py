@@ -58,7 +58,6 @@ def explain(df: DataFrame, model: SentimentModel, mean: np.ndarray, top_k: int |
         ordered = F.slice(ordered, 1, top_k)
     bases = F.element_at(F.array(*[F.lit(float(b)) for b in base]), F.col("_c") + 1)
     rows = vectors.select(key, "sentiment_pred", bases.alias("base_value"), F.posexplode(ordered).alias("pos", "e"))
-    names = F.broadcast(model.features.vocabulary(df).select("index", "term"))  # capped vocabulary
     return (rows.select(key, "sentiment_pred", "base_value", (F.col("pos") + 1).alias("rank"),
                         F.col("e.index").alias("index"), F.col("e.value").alias("value"))
-            .join(names, "index").select(key, "sentiment_pred", "base_value", "term", "value", "rank"))
+            .join(model.features.names(df), "index").select(key, "sentiment_pred", "base_value", "term", "value", "rank"))

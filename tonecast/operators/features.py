@@ -94,6 +94,11 @@ class TfIdf:
         pdf = pd.DataFrame({"index": np.arange(len(self.idf), dtype="int32"), "term": self.terms, "idf": self.idf})
         return df.sparkSession.createDataFrame(pdf, "index int, term string, idf double")
 
+    def names(self, df: DataFrame) -> DataFrame:
+        """Index and term of the vocabulary, broadcast while it is no longer than the default cap."""
+        table = self.vocabulary(df).select("index", "term")
+        return F.broadcast(table) if len(self.idf) <= MAX_FEATURES else table
+
     def save(self, path: str) -> None:
         self.counter.write().overwrite().save(f"{path}/counter")
         spark = SparkSession.active()
@@ -118,7 +123,6 @@ def entries(vector: Column) -> Column:
 
 
 def weights_table(model: TfIdf, df: DataFrame, text: str, key: str) -> DataFrame:
-    """Long form (key, term, weight). The vocabulary is capped, so it may be broadcast."""
+    """Long form (key, term, weight)."""
     rows = model.transform(df.select(key, text), text).select(key, F.inline(entries(F.col("features"))))
-    names = F.broadcast(model.vocabulary(df).select("index", "term"))
-    return rows.join(names, "index").select(key, "term", F.col("value").alias("weight"))
+    return rows.join(model.names(df), "index").select(key, "term", F.col("value").alias("weight"))

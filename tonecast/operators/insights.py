@@ -136,43 +136,53 @@ def deep_dives(df: DataFrame, aspect: str = "aspect", sentiment: str = "sentimen
 
 def insight_cards(df: DataFrame, aspect: str = "aspect", sentiment: str = "sentiment", model_quality: bool = True,
                   t: Thresholds = DEFAULT) -> DataFrame:
-    """Rule-driven cards in display order: pains, strengths, then model warnings."""
-    table = tallies.nss_table(df.withColumn("aspect", F.col(aspect)), "aspect", sentiment=sentiment)
-    nss, rows = F.col("nss"), F.col("rows")
-    signed = ex.signed_percent(nss)
-    pain = (nss < t.pain_nss) & (rows >= t.pain_rows)
-    strength = (nss >= t.strength_nss) & (rows >= t.strength_rows)
-    severity = F.when(pain, "critical").when(strength, "good")
-    lead = F.concat(F.lit("NSS = "), signed, F.lit("% across "), rows.cast("string"), F.lit(" reviews — "))
+    """Rule-driven cards in display order: pains, strengths, then model warnings.
+
+    Model quality is counted in the same pass per aspect and summed over the aspect table.
+    """
+    counted = tallies.counts(sentiment)
+    if model_quality:
+        counted += [F.count_if(ex.equal(F.col("aspect"), F.col("aspect_pred"))).alias("agreed"),
+                    F.count_if(F.col("sentiment_confidence") < t.low_confidence).alias("unsure")]
+    table = tallies.score(df.groupBy(F.col(aspect).alias("a")).agg(*counted))
+    nss, rows, severity = F.col("nss"), F.col("rows"), F.col("severity")
+    pain = F.col("a").isNotNull() & (nss < t.pain_nss) & (rows >= t.pain_rows)
+    strength = F.col("a").isNotNull() & (nss >= t.strength_nss) & (rows >= t.strength_rows)
+    table = table.withColumns({"severity": F.when(pain, "critical").when(strength, "good"),
+                               "signed": ex.signed_percent(nss)})
+    lead = F.concat(F.lit("NSS = "), F.col("signed"), F.lit("% across "), rows.cast("string"), F.lit(" reviews — "))
     negative = F.format_string("%.0f", F.bround("pct_negative", 0))
-    cards = table.filter(severity.isNotNull()).select(
-        F.when(pain, 1).otherwise(2).alias("section"), F.when(pain, nss).otherwise(-nss).alias("position"),
-        F.concat(F.when(pain, "Critical pain: ").otherwise("Strength to amplify: "), F.col("aspect")).alias("title"),
-        F.when(pain, F.concat(lead, negative, F.lit("% are negative.")))
-        .otherwise(F.concat(lead, F.lit("riders consistently praise this."))).alias("finding"),
-        card_advice(F.col("aspect"), severity).alias("recommendation"), severity.alias("severity"),
-        F.concat(F.lit("NSS "), signed, F.lit("%")).alias("metric"))
+    bad = severity == "critical"
+    cards = [F.when(severity.isNotNull(), _card(
+        F.when(bad, 1).otherwise(2), F.when(bad, nss).otherwise(-nss),
+        F.concat(F.when(bad, "Critical pain: ").otherwise("Strength to amplify: "), F.col("a")),
+        F.when(bad, F.concat(lead, negative, F.lit("% are negative.")))
+        .otherwise(F.concat(lead, F.lit("riders consistently praise this."))),
+        card_advice(F.col("a"), severity), severity, F.concat(F.lit("NSS "), F.col("signed"), F.lit("%"))))]
     if model_quality:
-        cards = cards.unionByName(_model_cards(df, t))
-    return cards.orderBy("section", "position", "title")
+        everything = Window.partitionBy(F.lit(0))  # one row per aspect
+        total = F.sum("rows").over(everything)
+        table = table.withColumns({
+            "first": F.row_number().over(everything.orderBy("a")) == 1,
+            "agree": F.sum("agreed").over(everything) / total * 100, "low": F.sum("unsure").over(everything) / total * 100})
+        cards += _model_cards(t)
+    return table.select(F.inline(F.array_compact(F.array(*cards)))).orderBy("section", "position", "title")
 
 
-def _model_cards(df: DataFrame, t: Thresholds) -> DataFrame:
-    unsure = F.coalesce(F.col("sentiment_confidence") < t.low_confidence, F.lit(False))
-    m = df.agg(F.count(F.lit(1)).alias("rows"),
-               (F.avg(ex.equal(F.col("aspect"), F.col("aspect_pred")).cast("int")) * 100).alias("agree"),
-               (F.avg(unsure.cast("int")) * 100).alias("low"))
-    agree, low = F.bround("agree", 1), F.bround("low", 1)
+def _card(section: Column, position: Column, title: Column, finding: Column, recommendation: Column, severity: Column,
+          metric: Column) -> Column:
+    return F.struct(section.alias("section"), position.alias("position"), title.alias("title"), finding.alias("finding"),
+                    recommendation.alias("recommendation"), severity.alias("severity"), metric.alias("metric"))
+
 
-    def card(section: int, texts: dict[str, str], finding: Column, severity: str, metric: Column, shown: Column) -> Column:
-        return F.when(shown, F.struct(
-            F.lit(section).alias("section"), F.lit(0.0).alias("position"), F.lit(texts["title"]).alias("title"),
-            finding.alias("finding"), F.lit(texts["recommendation"]).alias("recommendation"),
-            F.lit(severity).alias("severity"), metric.alias("metric")))
-
-    cards = F.array(
-        card(3, tx.AGREEMENT_CARD, F.format_string(tx.AGREEMENT_CARD["finding"], agree), "warning",
-             F.format_string("Agreement %.1f%%", agree), F.col("agree") < t.agreement_pct),
-        card(4, tx.CONFIDENCE_CARD, F.format_string(tx.CONFIDENCE_CARD["finding"], low, F.lit(t.low_confidence)), "info",
-             F.format_string("Low-conf %.1f%%", low), F.col("low") > t.low_confidence_pct))
-    return m.filter(F.col("rows") > 0).select(F.inline(F.array_compact(cards)))
+def _model_cards(t: Thresholds) -> list[Column]:
+    """Warnings on weak aspect agreement and on low confidence, shown on the first aspect row only."""
+    agree, low = F.bround("agree", 1), F.bround("low", 1)
+    texts = [
+        (3, tx.AGREEMENT_CARD, F.format_string(tx.AGREEMENT_CARD["finding"], agree), "warning",
+         F.format_string("Agreement %.1f%%", agree), F.col("agree") < t.agreement_pct),
+        (4, tx.CONFIDENCE_CARD, F.format_string(tx.CONFIDENCE_CARD["finding"], low, F.lit(t.low_confidence)), "info",
+         F.format_string("Low-conf %.1f%%", low), F.col("low") > t.low_confidence_pct)]
+    return [F.when(F.col("first") & shown, _card(
+        F.lit(section), F.lit(0.0), F.lit(words["title"]), finding, F.lit(words["recommendation"]), F.lit(severity), metric))
+        for section, words, finding, severity, metric, shown in texts]

@@ -15,6 +15,7 @@ from tonecast.operators import insights, scaling, tallies, trends
 QUERY_BYTES = 32 * 1024 * 1024
 _QUERY_BLOCK = 1024
 _DOCUMENT_BLOCK = 20_000
+_QUERY_SLICE = 256
 
 
 def _keep_best(k: int, digits: int = 12):
@@ -78,11 +79,18 @@ def nearest(queries: DataFrame, documents: DataFrame, k: int = 8, query_id: str
     schema = (f"query_id {q.schema['query_id'].dataType.simpleString()}, "
               f"document_id {d.schema['document_id'].dataType.simpleString()}, score double")
 
+    step = _QUERY_SLICE
+
     def top_of(query_ids, qv, document_ids, dv):
-        s = score(qv, dv)
-        if drop_self:
-            s[query_ids[:, None] == document_ids[None, :]] = -np.inf
-        return best(query_ids, document_ids, s)
+        # slices of queries keep the score matrix of a batch small
+        parts = []
+        for start in range(0, len(query_ids), step):
+            ids = query_ids[start:start + step]
+            s = score(qv[start:start + step], dv)
+            if drop_self:
+                s[ids[:, None] == document_ids[None, :]] = -np.inf
+            parts.append(best(ids, document_ids, s))
+        return pd.concat(parts)
 
     few = None if sparse else _collect_bounded(q, query_bytes)
     if few is not None:
@@ -158,9 +166,9 @@ def samples(df: DataFrame, k: int = 8, chars: int = 400, aspect: str = "aspect",
 
 
 def conversation_tail(turns: DataFrame, n: int = 6) -> DataFrame:
-    """Last ``n`` turns of every conversation in their original order."""
+    """Last ``n`` turns of every conversation; ``turn`` keeps their order."""
     last = scaling.first_per_group(turns, ["conv_id"], [F.desc("turn")], n, "_back")
-    return last.drop("_back").orderBy("conv_id", "turn")
+    return last.drop("_back")
 
 
 def with_question_aspect(questions: DataFrame, text: str = "question") -> DataFrame:

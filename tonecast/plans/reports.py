@@ -36,7 +36,7 @@ def kpi_strip(df: DataFrame, filters: Filters = Filters()) -> DataFrame:
 
 def aspects(df: DataFrame, filters: Filters = Filters()) -> DataFrame:
     table = tallies.nss_by_aspect(apply_filters(df, filters), filters.aspect_col, filters.sentiment_col)
-    return _rounded(table, 2, "nss", "pct_negative").orderBy("nss", "aspect")
+    return _rounded(table, 2, "nss", "pct_negative")
 
 
 def overview(df: DataFrame, filters: Filters = Filters()) -> dict[str, DataFrame]:
@@ -58,7 +58,7 @@ def aspect_pulse(df: DataFrame, filters: Filters = Filters()) -> dict[str, DataF
 def trend_tables(df: DataFrame, filters: Filters = Filters()) -> dict[str, DataFrame]:
     rows = apply_filters(df, filters)
     s = filters.sentiment_col
-    return {"monthly": _rounded(tallies.monthly(rows, s), 2, "nss").orderBy("year_month"),
+    return {"monthly": _rounded(tallies.monthly(rows, s), 2, "nss"),
             "aspect_month": tallies.aspect_month(rows, filters.aspect_col, s),
             "seasonality": tallies.seasonality(rows), "seasonality_wide": tallies.seasonality_wide(rows)}
 
@@ -103,8 +103,8 @@ def business(df: DataFrame, filters: Filters = Filters(), max_texts: int | None
         "summary": _rounded(insights.executive_summary(rows, a, s), 2, "overall_nss"),
         "deep_dives": _rounded(dives, 1, "nss", "pct_negative", "pct_positive", "recent_nss", "prior_nss", "delta")
         .orderBy(order, "nss", "aspect"),
-        "sources": _rounded(tallies.breakdown(rows, "source", s, top=8), 1, "nss", "pct").orderBy(F.desc("rows"), "source"),
-        "yearly": _rounded(tallies.yearly(rows, s).select("year", "nss", "rows"), 1, "nss").orderBy("year"),
+        "sources": _rounded(tallies.breakdown(rows, "source", s, top=8), 1, "nss", "pct"),
+        "yearly": _rounded(tallies.yearly(rows, s).select("year", "nss", "rows"), 1, "nss"),
     }
 
 
@@ -158,10 +158,10 @@ def aspect_detail(df: DataFrame, aspect: str, filters: Filters = Filters(), max_
         F.coalesce("action", default_action).alias("action"))
     return {
         "summary": summary,
-        "yearly": _rounded(tallies.yearly(rows, s, min_rows=20), 1, "nss").orderBy("year"),
+        "yearly": _rounded(tallies.yearly(rows, s, min_rows=20), 1, "nss"),
         "ratings": rows.filter(F.col("review_rating").isNotNull()).groupBy("review_rating")
         .agg(F.count(F.lit(1)).alias("rows")).orderBy("review_rating"),
-        "sources": _rounded(tallies.breakdown(rows, "source", s, top=6), 1, "nss", "pct").orderBy(F.desc("rows"), "source"),
+        "sources": _rounded(tallies.breakdown(rows, "source", s, top=6), 1, "nss", "pct"),
         "samples": retrieval.samples(rows, 6, 350, a, s, key=key),
     }
 
@@ -174,9 +174,10 @@ def predict(df: DataFrame, model: classifier.SentimentModel) -> DataFrame:
 
 def explain(df: DataFrame, model: classifier.SentimentModel, background: DataFrame, top_k: int = 15,
             key: str = "review_id") -> DataFrame:
-    """Strongest tokens per review, by signed contribution."""
+    """Strongest tokens per review, by signed contribution; a review's rows share a partition and are sorted there."""
     mean = attribution.background_mean(background, model, key=key)
-    return _rounded(attribution.explain(df, model, mean, top_k, key), 4, "value", "base_value").orderBy(key, "value", "term")
+    rows = _rounded(attribution.explain(df, model, mean, top_k, key), 4, "value", "base_value")
+    return rows.sortWithinPartitions(key, "value", "term")
 
 
 def question_contexts(df: DataFrame, questions: DataFrame, chunks: DataFrame) -> DataFrame:
