@@ -63,7 +63,10 @@ def clean_reviews(df: DataFrame) -> DataFrame:
 
 def with_dates(df: DataFrame, column: str = "created_at_date") -> DataFrame:
     """Parse mixed date texts and drop rows without a usable date."""
-    return df.withColumn(column, ex.lenient_timestamp(F.col(column))).filter(F.col(column).isNotNull())
+    # exploding none or one parsed value drops bad rows and parses each text once; a filter would be
+    # pushed below the projection and repeat all formats
+    parsed = F.filter(F.array(ex.lenient_timestamp(F.col(column))), lambda t: t.isNotNull())
+    return df.withColumn(column, F.explode(parsed))
 
 
 def drop_months(df: DataFrame, months: tuple[tuple[int, int], ...], column: str = "created_at_date") -> DataFrame:
