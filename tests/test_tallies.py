@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tonecast.operators import cleaning, evaluation, insights, profile, tallies, trends
+from tonecast.operators import cleaning, errors, evaluation, insights, profile, tallies, trends
 from tonecast.plans import reports
 from tonecast.operators.filters import Filters
 
@@ -152,6 +152,15 @@ def test_calibration_bins_are_right_closed(spark):
     assert [tuple(r)[1:] for r in evaluation.calibration(same).collect()] == [(1.0, 0.5, 3)]
 
 
+def test_error_types_with_missing_labels(spark):
+    rows = [("Negative", "Positive", 0.9), ("Positive", "Negative", 0.5), ("Positive", "Neutral", 0.9), ("Neutral", "Positive", 0.59),
+            (None, "Neutral", 0.9), ("Neutral", None, None), (None, None, 0.1), ("Neutral", "Neutral", 0.1)]
+    df = spark.createDataFrame(rows, "sentiment string, sentiment_pred string, sentiment_confidence double")
+    row = errors.error_summary(df).first().asDict()
+    assert row == {"total": 8, "total_errors": 6, "false_positive": 1, "false_negative": 1, "false_neutral": 2,
+                   "missed_neutral": 2, "low_confidence": 2, "error_rate": 75.0}
+
+
 def test_reports_run(spark):
     df = table(spark, [("A", "Positive", "2020-01", 30), ("A", "Negative", "2020-02", 25), ("B", "Neutral", "2020-02", 40)])
     f = Filters(label_source="predicted", aspects=["A"])

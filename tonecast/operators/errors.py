@@ -12,19 +12,24 @@ LOW_CONFIDENCE = 0.6
 
 
 def _types(low_confidence: float = LOW_CONFIDENCE) -> dict[str, Column]:
-    t, p = F.col("sentiment"), F.col("sentiment_pred")
+    t, p, neutral = F.col("sentiment"), F.col("sentiment_pred"), F.lit("Neutral")
     return {
         "false_positive": (t == "Negative") & (p == "Positive"),
         "false_negative": (t == "Positive") & (p == "Negative"),
-        "false_neutral": (t != "Neutral") & (p == "Neutral"),
-        "missed_neutral": (t == "Neutral") & (p != "Neutral"),
-        "low_confidence": ex.differs(t, p) & (F.col("sentiment_confidence") < low_confidence),
+        "false_neutral": ~t.eqNullSafe(neutral) & p.eqNullSafe(neutral),
+        "missed_neutral": t.eqNullSafe(neutral) & ~p.eqNullSafe(neutral),
+        "low_confidence": _wrong() & (F.col("sentiment_confidence") < low_confidence),
     }
 
 
+def _wrong() -> Column:
+    """Label and prediction differ; a missing label is a value of its own here."""
+    return ~F.col("sentiment").eqNullSafe(F.col("sentiment_pred"))
+
+
 def error_summary(df: DataFrame, low_confidence: float = LOW_CONFIDENCE) -> DataFrame:
     """Totals, error rate and count of every error type in one aggregate."""
-    wrong = F.count_if(ex.differs(F.col("sentiment"), F.col("sentiment_pred")))
+    wrong = F.count_if(_wrong())
     t = df.agg(F.count(F.lit(1)).alias("total"), wrong.alias("total_errors"),
                *[F.count_if(c).alias(name) for name, c in _types(low_confidence).items()])
     return t.withColumn("error_rate", ex.share(F.col("total_errors"), F.col("total")))
@@ -40,7 +45,7 @@ def error_type_counts(df: DataFrame, low_confidence: float = LOW_CONFIDENCE) ->
 def errors_by(df: DataFrame, key: str = "aspect", min_rows: int = 20) -> DataFrame:
     """Error rates per aspect with enough rows, highest first."""
     kinds = _types()
-    wrong = F.count_if(ex.differs(F.col("sentiment"), F.col("sentiment_pred")))
+    wrong = F.count_if(_wrong())
     t = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("aspect")).agg(
         F.count(F.lit(1)).alias("rows"), wrong.alias("errors"),
         F.count_if(kinds["false_positive"]).alias("fp"), F.count_if(kinds["false_negative"]).alias("fn"),
