@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonecast.llm import quality_rules
+from tonecast.llm import decontaminate, quality_rules
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,29 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          "n_stop_words", "base_failed", "broken_rules", "kept")
+
+
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_ALNUM_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query("op1_decontamination", rf"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, {_ALNUM_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {_ALNUM_WORDS} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, size, array_to_string(list_slice(w, k, k + size - 1), ' ') AS g FROM
+  (SELECT item_id, w, least(13, len(w)) AS size, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS k FROM i WHERE len(w) > 0)),
+dw AS (SELECT rn, size, k, array_to_string(list_slice(w, k, k + size - 1), ' ') AS g FROM
+  (SELECT rn, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM d, (SELECT DISTINCT size FROM iw) WHERE len(w) >= size)),
+h AS (SELECT rn, size, k, item_id FROM dw JOIN iw USING (size, g)),
+hw AS (SELECT rn, count(DISTINCT p) AS n_hit FROM (SELECT rn, unnest(range(k, k + size)) AS p FROM h) GROUP BY rn),
+hi AS (SELECT rn, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM
+  (SELECT DISTINCT rn, CAST(item_id AS VARCHAR) AS s FROM h) GROUP BY rn)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hw USING (rn) LEFT JOIN hi USING (rn)""")
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = decontaminate.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                        table(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.transform("hit_items", lambda x: x.cast("string")))
+    return judged.select("doc_id", "n_words", "n_hit", "n_items",
+                         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), "contaminated")
