@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonecast.llm import decontaminate, quality_rules
+from tonecast.llm import decontaminate, packing, quality_rules
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +79,14 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = F.array_sort(F.transform("hit_items", lambda x: x.cast("string")))
     return judged.select("doc_id", "n_words", "n_hit", "n_items",
                          F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), "contaminated")
+
+
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query("op10_packing")
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file())
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
