@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonecast.llm import decontaminate, packing, quality_rules
+from tonecast.llm import decontaminate, packing, pii_crf, quality_rules
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +90,20 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file())
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def _is(value: str):
+    return lambda x: x == value
+
+
+@query("op5_pii")
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_crf.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def told(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("pii_spans", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, _is(k))).cast("long").alias(f"n_{k}") for k in pii_crf.KINDS]
+    return found.select("doc_id", *counts, F.sha2(told(base), 256).alias("base_sha256"),
+                        told(F.col("pii_spans")).alias("spans"))
