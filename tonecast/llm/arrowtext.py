@@ -77,7 +77,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def word_hashes(words: pa.Array) -> np.ndarray:
     """A 64-bit hash per string, the same on every machine."""
     import xxhash
-    return np.fromiter((xxhash.xxh3_64_intdigest(w.as_buffer()) for w in words), np.uint64, len(words))
+    at, data = raw_bytes(words.cast(pa.large_string()))
+    ends = at.tolist()
+    return np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(ends, ends[1:], strict=False)),
+                       np.uint64, len(words))
 
 
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:

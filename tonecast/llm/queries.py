@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonecast.llm import decontaminate, packing, pii_crf, quality_rules
+from tonecast.llm import decontaminate, jaccard_join, packing, pii_crf, quality_rules
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +107,9 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.size(F.filter(kinds, _is(k))).cast("long").alias(f"n_{k}") for k in pii_crf.KINDS]
     return found.select("doc_id", *counts, F.sha2(told(base), 256).alias("base_sha256"),
                         told(F.col("pii_spans")).alias("spans"))
+
+
+@query("op8_jaccard_join")
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = jaccard_join.linked_groups(table(spark, sf_dir, "documents"), sim=jaccard_join.Similarity(3, 90, 100))
+    return groups.select("doc_id", F.col("size").alias("n_shingles"), "component_id")
