@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonecast.llm import decontaminate, jaccard_join, packing, pii_crf, quality_rules
+from tonecast.llm import decontaminate, jaccard_join, langid, packing, pii_crf, quality_rules
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -113,3 +113,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = jaccard_join.linked_groups(table(spark, sf_dir, "documents"), sim=jaccard_join.Similarity(3, 90, 100))
     return groups.select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+
+
+@query("op9_language_id")
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn(
+        "held_out", F.crc32(F.col("doc_id").cast("string")) % 3 == 1)
+    model = langid.train(docs.where("NOT held_out"))
+    return langid.predict(docs.select("doc_id", "text", "held_out"), model).select(
+        "doc_id", "held_out", "lang_pred", "score", "accepted")
