@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonecast.llm import decontaminate, jaccard_join, langid, packing, pii_crf, quality_rules
+from tonecast.llm import decontaminate, jaccard_join, langid, packing, pii_crf, quality_rules, url_templates
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -122,3 +122,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.train(docs.where("NOT held_out"))
     return langid.predict(docs.select("doc_id", "text", "held_out"), model).select(
         "doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
+URL_RULES = [url_templates.Rule(False, "net"), url_templates.Rule(True, "example.net", "/en/"),
+             url_templates.Rule(False, "example.com", "/de/"), url_templates.Rule(True, "org", "/fr/")]
+
+
+@query("op7_url_filters")
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_templates.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
