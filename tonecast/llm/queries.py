@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonecast.llm import decontaminate, jaccard_join, langid, packing, pii_crf, quality_rules, url_templates
+from tonecast.llm import decontaminate, jaccard_join, langid, packing, pii_crf, quality_rules, url_templates, warc
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -132,3 +132,20 @@ URL_RULES = [url_templates.Rule(False, "net"), url_templates.Rule(True, "example
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_templates.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+_B32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v[{g + 1}] // {d}) % 32 AS INT) + 1, 1)"
+    for g in range(8) for d in (32768, 1024, 32, 1))
+
+
+@query("op6_warc", f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+s AS (SELECT page_id, octet_length(encode(h)) AS n, sha1(h) AS x FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY x) AS last, list_transform(range(0, 8), lambda i: list_sum(list_transform(range(0, 5),
+  lambda j: (strpos('0123456789abcdef', substr(x, CAST(i * 5 + j + 1 AS INT), 1)) - 1) * CAST(pow(16, 4 - j) AS BIGINT)))) AS v FROM s)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_B32} AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to FROM m""")
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
