@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonecast.llm import decontaminate, jaccard_join, langid, packing, pii_crf, quality_rules, url_templates, warc
+from tonecast.llm import decontaminate, jaccard_join, langid, packing, pii_crf, quality_rules, suffix_dedup, url_templates, warc
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -149,3 +149,24 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_B32} AS payload_digest,
   CASE WHEN page_id <> last THEN last END AS refers_to FROM m""")
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+_LOWER_WORDS = rf"list_filter(string_split_regex(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+
+@query("op4_suffix_dedup", f"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, {_LOWER_WORDS} AS w FROM documents),
+t AS (SELECT w, min(rn) AS tid, count(*) AS n_copies FROM d WHERE len(w) >= 50 GROUP BY w),
+g AS (SELECT tid, k, md5(array_to_string(list_slice(w, k, k + 49), ' ')) AS g FROM (SELECT tid, w, unnest(range(1, len(w) - 48)) AS k FROM t)),
+m AS (SELECT g FROM g GROUP BY g HAVING count(DISTINCT tid) > 1),
+s AS (SELECT tid, k FROM g JOIN m USING (g) UNION SELECT tid, k FROM (SELECT tid, unnest(range(1, len(w) - 48)) AS k FROM t WHERE n_copies > 1)),
+i AS (SELECT tid, k, sum(new) OVER (PARTITION BY tid ORDER BY k) AS run FROM
+  (SELECT tid, k, CASE WHEN k - lag(k) OVER (PARTITION BY tid ORDER BY k) <= 50 THEN 0 ELSE 1 END AS new FROM s)),
+r AS (SELECT tid, run, min(k) - 1 AS a, max(k) + 49 AS b FROM i GROUP BY tid, run),
+x AS (SELECT tid, CAST(sum(b - a) AS BIGINT) AS n_repeated, string_agg(a || ':' || b, ',' ORDER BY a) AS spans FROM r GROUP BY tid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, n_copies, n_repeated, spans FROM d JOIN t USING (w) JOIN x USING (tid)""")
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+    told = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    repeated = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", "n_copies", repeated.alias("n_repeated"), told.alias("spans"))
