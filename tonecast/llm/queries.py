@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonecast.llm import decontaminate, jaccard_join, langid, packing, pii_crf, quality_rules, suffix_dedup, url_templates, warc
+from tonecast.llm import decontaminate, jaccard_join, langid, licenses, packing, pii_crf, quality_rules, suffix_dedup, url_templates, warc
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -170,3 +170,35 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     repeated = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", "n_words", "n_copies", repeated.alias("n_repeated"), told.alias("spans"))
+
+
+def _templates_sql() -> str:
+    rows = []
+    for name, own in sorted((n, licenses.bigrams(t)) for n, texts in licenses.TEMPLATES.items() for t in texts):
+        rows.append(f"('{name}', [" + ", ".join(f"'{a} {b}'" for a, b in sorted(own)) + "])")
+    return ", ".join(rows)
+
+
+_UNIT_WORDS = _ALNUM_WORDS.replace("coalesce(text, '')", "u")
+
+
+@query("op2_license_scan", rf"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS text FROM documents),
+u AS (SELECT rn, unnest(string_split(text, chr(10))) AS u FROM d
+  UNION ALL SELECT rn, u FROM (SELECT rn, unnest(string_split_regex(text, '
+[ 	-]*
+')) AS u FROM d) WHERE contains(u, chr(10))),
+w AS (SELECT rn, row_number() OVER () AS un, {_UNIT_WORDS} AS w FROM u),
+b AS (SELECT rn, un, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM w WHERE len(w) > 1),
+t AS (SELECT * FROM (VALUES {_templates_sql()}) AS x(name, s)),
+m AS (SELECT rn, un, name, CAST(2 * len(list_intersect(b, s)) AS DOUBLE) / (len(b) + len(s)) AS dice FROM b, t
+  WHERE 2 * least(len(b), len(s)) >= 0.8 * (len(b) + len(s))),
+k AS (SELECT rn, un, name, dice FROM m WHERE dice >= 0.8 QUALIFY row_number() OVER (PARTITION BY un ORDER BY dice DESC, name) = 1),
+a AS (SELECT rn, count(*) AS n_notices, string_agg(DISTINCT name, ',' ORDER BY name) AS names, max(dice) AS best_dice FROM k GROUP BY rn)
+SELECT doc_id, coalesce(n_notices, 0) AS n_notices, coalesce(names, '') AS licenses, coalesce(best_dice, 0.0) AS best_dice
+FROM d LEFT JOIN a USING (rn)""")
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["name"])))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_notices"), F.array_join(names, ",").alias("licenses"),
+                        F.coalesce(F.array_max(F.transform("licenses", lambda x: x["dice"])), F.lit(0.0)).alias("best_dice"))
