@@ -205,6 +205,17 @@ def stratified_folds(v):
     return splits.stratified_folds(_scored_ids(v))
 
 
+# most texts have no label here
+_SPARSE = _STRATIFIED.replace("FROM scored)", "FROM texts)").replace(
+    "first(sentiment ORDER BY n DESC, sentiment)", "first(sentiment ORDER BY n DESC, sentiment) FILTER (WHERE sentiment IS NOT NULL)")
+
+
+@check("stratified_folds_missing_labels", views="texts", ctes=_SPARSE,
+       sql=f"SELECT text_id, label, \"rows\", fold, {split_sql('fold')} AS split FROM f")
+def stratified_folds_missing_labels(v):
+    return splits.stratified_folds(_ids(v))
+
+
 @check("stratified_split_rows", views="scored", ctes=_STRATIFIED,
        sql=f"SELECT review_id, ids.text_id, {split_sql('fold')} AS split FROM ids JOIN f USING (text_id)")
 def stratified_split_rows(v):

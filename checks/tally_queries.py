@@ -376,14 +376,15 @@ def date_bounds(v):
     return tallies.date_bounds(v.reviews)
 
 
-_PROFILED = ["review_id", "review_rating", "source", "bts_line", "aspect", "sentiment", "sentiment_confidence"]
+_PROFILED = ["review_id", "review_rating", "source", "created_at_date", "bts_line", "aspect", "sentiment", "aspect_pred",
+             "sentiment_pred", "sentiment_confidence"]
 
 
 @check("missing_profile", views="reviews", sql=" UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS missing, CAST(count(*) - count({c}) AS DOUBLE) / count(*) * 100 AS pct "
     f"FROM reviews" for c in _PROFILED))
 def missing_profile(v):
-    return profile.missing_profile(v.reviews.select(*_PROFILED))
+    return profile.missing_profile(v.labelled_rows)
 
 
 def _describe(c, numeric):
@@ -391,16 +392,16 @@ def _describe(c, numeric):
     return f"""SELECT '{c}' AS "column", (SELECT count({c}) FROM reviews) AS n, (SELECT count(DISTINCT {c}) FROM reviews) AS n_distinct,
   (SELECT CAST({c} AS VARCHAR) FROM reviews WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, CAST({c} AS VARCHAR) LIMIT 1) AS top,
   (SELECT max(k) FROM (SELECT count(*) AS k FROM reviews WHERE {c} IS NOT NULL GROUP BY {c})) AS freq,
-  (SELECT round(avg({n}), 6) FROM reviews) AS mean, (SELECT min({n}) FROM reviews) AS min,
+  (SELECT round(avg({n}), 6) FROM reviews) AS mean, (SELECT round(stddev_samp({n}), 6) FROM reviews) AS std, (SELECT min({n}) FROM reviews) AS min,
   (SELECT round(quantile_cont({n}, 0.25), 6) FROM reviews) AS q1, (SELECT round(quantile_cont({n}, 0.5), 6) FROM reviews) AS median,
   (SELECT round(quantile_cont({n}, 0.75), 6) FROM reviews) AS q3, (SELECT max({n}) FROM reviews) AS max"""
 
 
 @check("describe_columns", views="reviews", sql=" UNION ALL ".join(
     _describe(c, c in ("review_rating", "sentiment_confidence")) for c in
-    ("review_rating", "source", "bts_line", "aspect", "sentiment", "sentiment_confidence")))
+    _PROFILED))
 def describe_columns(v):
-    return rounded(profile.describe_all(v.reviews.select(*_PROFILED[1:])), "mean", "q1", "median", "q3")
+    return rounded(profile.describe_all(v.labelled_rows), "mean", "std", "q1", "median", "q3")
 
 
 @check("quadrant", views="reviews", ctes=f"g AS (SELECT aspect, {COUNTS} FROM reviews GROUP BY aspect)",

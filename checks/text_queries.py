@@ -154,13 +154,6 @@ def voice_one_aspect(v):
     return phrases.voice(v.scored, aspect="Cleanliness & Hygiene")
 
 
-@check("voice_capped_texts", views="scored", ctes="""q AS (SELECT *, row_number() OVER (PARTITION BY sentiment ORDER BY review_id) AS k
-  FROM scored), p AS (SELECT *, sentiment AS polarity FROM q """ + _BOTH + " AND k <= 300), "
-       + _grams("voice", "p", rank_keys="polarity"), sql="SELECT * FROM top")
-def voice_capped_texts(v):
-    return phrases.voice(v.scored, max_texts=300)
-
-
 @check("ngrams_1_3", views="texts", ctes=_grams("voice", "texts", 1, 3, n=50), sql='SELECT ngram, "count" FROM top')
 def ngrams_1_3(v):
     return phrases.top_phrases(v.texts, 50, 1, 3)
@@ -247,22 +240,20 @@ def aspect_context(v):
 _DATE = "strftime(created_at_date, '%Y-%m-%d') AS date"
 
 
-@check("seed_documents", views="scored", ctes="""r AS (SELECT *, row_number() OVER (PARTITION BY aspect, sentiment ORDER BY review_id) AS k
-  FROM scored WHERE sentiment IN ('Negative', 'Positive') AND aspect IS NOT NULL)""",
-       sql=f"""SELECT aspect || '_' || review_id AS id, substring(review_text, 1, 1000) AS document, aspect, sentiment,
-  coalesce(source, '') AS source, date, coalesce(review_rating, 0) AS rating FROM r WHERE k <= 6""")
+@check("seed_documents", views="scored", sql="""SELECT aspect || '_' || review_id AS id, coalesce(review_text, '') AS document, aspect, sentiment,
+  coalesce(source, '') AS source, date, coalesce(review_rating, 0) AS rating FROM scored
+  WHERE sentiment IN ('Negative', 'Positive') AND aspect IS NOT NULL""")
 def seed_documents(v):
     return retrieval.seed_documents(v.scored)
 
 
-@check("document_upsert", views="scored", ctes="""s AS (SELECT *, row_number() OVER (PARTITION BY aspect, sentiment ORDER BY review_id) AS k
-    FROM scored WHERE sentiment IN ('Negative', 'Positive')), n AS (SELECT aspect || '_' || review_id AS id,
-    substring(review_text, 1, 1000) AS document, aspect, sentiment, coalesce(source, '') AS source, date, review_rating AS rating FROM s WHERE k <= 6),
+@check("document_upsert", views="scored", ctes="""n AS (SELECT aspect || '_' || review_id AS id, coalesce(review_text, '') AS document, aspect, sentiment,
+    coalesce(source, '') AS source, date, review_rating AS rating FROM scored WHERE sentiment IN ('Negative', 'Positive')),
   o AS (SELECT aspect || '_' || review_id AS id, 'old' AS document, aspect, sentiment, coalesce(source, '') AS source, date, review_rating AS rating
-    FROM scored WHERE sentiment = 'Negative')""",
+    FROM scored WHERE sentiment <> 'Positive')""",
        sql="SELECT * FROM n UNION ALL SELECT * FROM o WHERE id NOT IN (SELECT id FROM n)")
 def document_upsert(v):
-    old = v.scored.filter("sentiment = 'Negative'").select(
+    old = v.scored.filter("sentiment <> 'Positive'").select(
         F.concat_ws("_", "aspect", "review_id").alias("id"), F.lit("old").alias("document"), "aspect", "sentiment",
         F.coalesce("source", F.lit("")).alias("source"), "date", F.col("review_rating").alias("rating"))
     return caches.merge_documents(old, retrieval.seed_documents(v.scored), force=True)
@@ -283,11 +274,16 @@ def conversation_tail(v):
 
 
 def known_sql(text):
-    arms = []
-    for a in tx.DASHBOARD_ASPECTS:
-        ws = [w.lower() for w in a.replace("&", "").split() if len(w) > 3]
-        arms.append("WHEN " + " OR ".join(f"contains(lower({text}), '{w}')" for w in ws) + f" THEN '{a}'")
-    return f"CASE {' '.join(arms)} END"
+    q = f"lower({text})"
+    return f"""CASE WHEN {q} LIKE '%accessibility%' THEN 'Accessibility' WHEN {q} LIKE '%cleanliness%' THEN 'Cleanliness'
+  WHEN {q} LIKE '%crowding%' OR {q} LIKE '%comfort%' THEN 'Crowding & Comfort'
+  WHEN {q} LIKE '%fare%' OR {q} LIKE '%payment%' OR {q} LIKE '%system%' THEN 'Fare & Payment System'
+  WHEN {q} LIKE '%information%' OR {q} LIKE '%navigation%' THEN 'Information & Navigation'
+  WHEN {q} LIKE '%overall%' OR {q} LIKE '%experience%' OR {q} LIKE '%convenience%' THEN 'Overall Experience & Convenience'
+  WHEN {q} LIKE '%route%' OR {q} LIKE '%coverage%' OR {q} LIKE '%connectivity%' THEN 'Route Coverage & Connectivity'
+  WHEN {q} LIKE '%safety%' OR {q} LIKE '%security%' THEN 'Safety & Security'
+  WHEN {q} LIKE '%staff%' OR {q} LIKE '%service%' THEN 'Staff & Service'
+  WHEN {q} LIKE '%train%' OR {q} LIKE '%frequency%' OR {q} LIKE '%waiting%' OR {q} LIKE '%time%' THEN 'Train Frequency & Waiting Time' END"""
 
 
 @check("question_aspect", sql=f"SELECT conv_id, turn, {known_sql('text')} AS aspect FROM conversations")
@@ -324,12 +320,12 @@ def cosine_topk_blocked(v):
 
 
 def _chunks(v):
-    meta = v.scored.select(F.col("id").alias("document_id"), ex.preview(F.col("review_text"), 1000).alias("text"), "aspect",
+    meta = v.scored.select(F.col("id").alias("document_id"), F.coalesce("review_text", F.lit("")).alias("text"), "aspect",
                            "sentiment", "date", F.coalesce("source", F.lit("")).alias("source"))
     return scaling.join_hot_keys(_near(v), meta, "document_id", "inner").withColumnRenamed("query_id", "question_id")
 
 
-_CHUNKS = _NEAREST + """, ch AS (SELECT query_id AS question_id, rank, substring(review_text, 1, 1000) AS text, aspect, sentiment, date,
+_CHUNKS = _NEAREST + """, ch AS (SELECT query_id AS question_id, rank, coalesce(review_text, '') AS text, aspect, sentiment, date,
   coalesce(source, '') AS source FROM nk JOIN scored ON scored.id = nk.document_id WHERE rank <= 8)"""
 
 

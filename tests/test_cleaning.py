@@ -41,7 +41,7 @@ def test_first_rule_wins(spark):
 
 def test_known_aspect(spark):
     df = texts(spark, "Why is staff rude?", "Are the trains clean? cleanliness", "What about safety", "no clue", "with & and")
-    assert column(df, ex.known_aspect(F.col("review_text"), tx.DASHBOARD_ASPECTS)) == [
+    assert column(df, ex.known_aspect(F.col("review_text"), tx.QUESTION_WORDS)) == [
         "Staff & Service", "Cleanliness", "Safety & Security", None, None]
 
 

@@ -111,15 +111,10 @@ def first_rule(text: Column, rules: list[tuple[str, str]], fallback: str) -> Col
     return chain.otherwise(fallback)
 
 
-def known_aspect(question: Column, aspects: list[str]) -> Column:
-    """First aspect that shares a word of more than three letters with the question, else null."""
-    lowered = F.lower(question)
-    hits = []
-    for aspect in aspects:
-        words = [w.lower() for w in aspect.replace("&", "").split() if len(w) > 3]
-        if words:
-            hits.append(F.when(reduce(lambda a, b: a | b, [lowered.contains(w) for w in words]), F.lit(aspect)))
-    return F.coalesce(*hits)
+def known_aspect(question: Column, named: dict[str, str]) -> Column:
+    """First aspect of which the question holds a word, else null; ``named`` lists words between blanks."""
+    pattern = {aspect: words.replace(" ", "|") for aspect, words in named.items()}
+    return F.coalesce(*(F.when(F.lower(question).rlike(p), aspect) for aspect, p in pattern.items()))
 
 
 def nss_band(value: Column) -> Column:

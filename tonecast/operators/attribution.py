@@ -11,13 +11,12 @@ from tonecast.operators.classifier import PAIR, SentimentModel, with_pair
 from tonecast.operators.cleaning import sample_rows
 from tonecast.operators.features import entries
 
-BACKGROUND_ROWS = 200
 
-
-def background_mean(df: DataFrame, model: SentimentModel, n: int = BACKGROUND_ROWS, seed: int = 42,
+def background_mean(df: DataFrame, model: SentimentModel, n: int | None = None, seed: int = 42,
                     key: str = "review_id", aspect: str = "aspect") -> np.ndarray:
-    """Mean feature vector of a repeatable sample; at most one number per vocabulary term reaches the driver."""
-    rows = sample_rows(df.select(key, "review_text", aspect).na.drop(), n, seed, key)
+    """Mean feature vector of all rows, or of a repeatable sample of ``n``; one number per term reaches the driver."""
+    rows = df.select(key, "review_text", aspect).na.drop()
+    rows = rows if n is None else sample_rows(rows, n, seed, key)
     vectors = model.features.transform(with_pair(rows, aspect), PAIR).select("features")
     sums = vectors.select(F.inline(entries(F.col("features")))).groupBy("index").agg(F.sum("value").alias("s")).toPandas()
     mean = np.zeros(len(model.features.idf))

@@ -19,8 +19,11 @@ from tonecast.operators import evaluation, scaling
 from tonecast.operators.cleaning import with_rule_aspect
 from tonecast.operators.features import MAX_FEATURES, TfIdf
 from tonecast.schema import SENTIMENTS
+from tonecast.session import materialize
 
 PAIR = "_pair"
+# relative change of the objective at which a fit has converged
+TOLERANCE = 1e-6
 PROBABILITIES = {s: f"p_{s.lower()}" for s in SENTIMENTS}
 
 
@@ -74,10 +77,10 @@ class SentimentModel:
             for c in classes:
                 weight = F.when(F.col(label) == c, total / (len(classes) * n[c])).otherwise(weight)
         rows = vectors.select("features", index.cast("double").alias("_y"), weight.cast("double").alias("_w"))
-        rows = scaling.compact(rows, total)
+        rows = materialize(scaling.compact(rows, total), "instances")
         estimator = LogisticRegression(
             featuresCol="features", labelCol="_y", weightCol="_w", family="multinomial", standardization=False,
-            elasticNetParam=0.0, regParam=1.0 / (C * total), maxIter=max_iter)
+            elasticNetParam=0.0, regParam=1.0 / (C * total), maxIter=max_iter, tol=TOLERANCE)
         return SentimentModel(features, estimator.fit(rows), classes)
 
     def transform(self, df: DataFrame, aspect: str = "aspect") -> DataFrame:

@@ -63,16 +63,27 @@ def quality(df: DataFrame, true: str = "sentiment", pred: str = "sentiment_pred"
 
 def quality_by(df: DataFrame, key: str, min_rows: int = 30, labels: list[str] | None = None,
                true: str = "sentiment", pred: str = "sentiment_pred") -> DataFrame:
-    """Scores per key value for values with enough rows, best weighted F1 first."""
+    """Scores per key value for values with enough rows, best weighted F1 first.
+
+    A row without a true label is a row of its key that no prediction matches.
+    """
     table = averages(class_report(df, key, true=true, pred=pred, labels=labels), key)
-    return table.filter(F.col("rows") >= min_rows).orderBy(F.desc("weighted_f1"), key)
+    matched = F.round(F.col("accuracy") * F.col("rows"))  # the number of hits again
+    table = table.withColumn("_hits", matched).drop("rows").join(_all_rows(df, key, true, pred, min_rows), key)
+    table = table.withColumn("accuracy", F.col("_hits") / F.col("rows")).drop("_hits")
+    return table.select(key, "rows", *[c for c in table.columns if c not in (key, "rows")]).orderBy(F.desc("weighted_f1"), key)
+
+
+def _all_rows(df: DataFrame, key: str, true: str, pred: str, least: int) -> DataFrame:
+    """Rows per key value, from the same grouped counts as the report (their shuffle is shared)."""
+    rows = pair_counts(df, key, true=true, pred=pred).groupBy(key).agg(F.sum("n").alias("rows"))
+    return rows.filter(F.col("rows") >= least)
 
 
 def class_report_by(df: DataFrame, key: str, min_rows: int = 30, true: str = "sentiment",
                     pred: str = "sentiment_pred") -> DataFrame:
     report = class_report(df, key, true=true, pred=pred)
-    rows = averages(report, key).filter(F.col("rows") >= min_rows).select(key, "rows")
-    return report.join(rows, key)
+    return report.join(_all_rows(df, key, true, pred, min_rows), key)
 
 
 def confusion(df: DataFrame, labels: list[str] = SENTIMENTS, true: str = "sentiment",

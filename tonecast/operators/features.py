@@ -7,7 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,11 +55,9 @@ class TfIdf:
         if not len(top):
             raise ValueError("no term reaches the minimum document frequency")
         n = df.count()
-        # the vectoriser learns exactly these terms from a table with one term per row
-        listed = df.sparkSession.createDataFrame(top[["term"]], "term string").select(F.array("term").alias("_terms"))
-        counter = CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=len(top), minDF=1).fit(listed)
-        seen = top.set_index("term")["df"].reindex(counter.vocabulary).to_numpy()
-        return TfIdf(counter, np.log((1 + n) / (1 + seen)) + 1, sublinear)
+        top = top.sort_values("term")
+        counter = CountVectorizerModel.from_vocabulary(top["term"].tolist(), inputCol="_terms", outputCol="_tf")
+        return TfIdf(counter, np.log((1 + n) / (1 + top["df"].to_numpy())) + 1, sublinear)
 
     @property
     def terms(self) -> list[str]:

@@ -20,7 +20,7 @@ def missing_profile(df: DataFrame) -> DataFrame:
 
 
 def describe_all(df: DataFrame) -> DataFrame:
-    """Per column: non-null rows, distinct values, most frequent value and, for numbers, the usual statistics.
+    """Per column: non-null rows, distinct values, most frequent value and, for numbers, mean, deviation and quartiles.
 
     Values are merged with their frequencies first; a tie for the most frequent goes to the smaller text.
     """
@@ -36,8 +36,11 @@ def describe_all(df: DataFrame) -> DataFrame:
     t = merged.groupBy("column").agg(
         F.sum("w").alias("n"), F.count(F.lit(1)).alias("n_distinct"),
         F.min_by("text", F.struct(-w, F.col("text"))).alias("top"), F.max("w").alias("freq"),
-        (F.sum(v * w) / weighted).alias("mean"), F.min("v").alias("min"), q.alias("q"), F.max("v").alias("max"))
-    return t.select("column", "n", "n_distinct", "top", "freq", "mean", "min", F.col("q")[0].alias("q1"),
+        (F.sum(v * w) / weighted).alias("mean"), F.sum(v * w).alias("_s"), F.sum(v * v * w).alias("_s2"),
+        weighted.alias("_n"), F.min("v").alias("min"), q.alias("q"), F.max("v").alias("max"))
+    variance = (F.col("_s2") - F.col("_s") * F.col("_s") / F.col("_n")) / F.nullif(F.col("_n") - 1, F.lit(0))
+    return t.select("column", "n", "n_distinct", "top", "freq", "mean",
+                    F.sqrt(F.when(variance < 0, 0.0).otherwise(variance)).alias("std"), "min", F.col("q")[0].alias("q1"),
                     F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max")
 
 

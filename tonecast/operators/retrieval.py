@@ -142,12 +142,17 @@ def _blocked(q: DataFrame, d: DataFrame, top_of, schema: str) -> DataFrame:
     return left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInPandas(pair, schema)
 
 
-def seed_documents(df: DataFrame, per_class: int = 6, key: str = "review_id") -> DataFrame:
-    """First reviews of every aspect and polarity as retrieval documents with their metadata."""
+def seed_documents(df: DataFrame, per_class: int | None = None, key: str = "review_id",
+                   chars: int | None = None) -> DataFrame:
+    """Positive and negative reviews of every aspect as retrieval documents with their metadata.
+
+    ``per_class`` keeps the first reviews of each aspect and polarity only, ``chars`` cuts their texts.
+    """
     rows = df.filter(F.col("sentiment").isin("Negative", "Positive") & F.col("aspect").isNotNull())
-    first = scaling.first_per_group(rows, ["aspect", "sentiment"], [F.asc(key)], per_class)
+    first = rows if per_class is None else scaling.first_per_group(rows, ["aspect", "sentiment"], [F.asc(key)], per_class)
+    text = F.coalesce("review_text", F.lit("")) if chars is None else ex.preview(F.col("review_text"), chars)
     return first.select(
-        F.concat_ws("_", "aspect", key).alias("id"), ex.preview(F.col("review_text"), 1000).alias("document"), "aspect",
+        F.concat_ws("_", "aspect", key).alias("id"), text.alias("document"), "aspect",
         "sentiment", F.coalesce("source", F.lit("")).alias("source"),
         F.substring(F.col("created_at_date").cast("string"), 1, 10).alias("date"),
         F.coalesce("review_rating", F.lit(0)).alias("rating"))
@@ -172,7 +177,7 @@ def conversation_tail(turns: DataFrame, n: int = 6) -> DataFrame:
 
 
 def with_question_aspect(questions: DataFrame, text: str = "question") -> DataFrame:
-    return questions.withColumn("aspect", ex.known_aspect(F.col(text), tx.DASHBOARD_ASPECTS))
+    return questions.withColumn("aspect", ex.known_aspect(F.col(text), tx.QUESTION_WORDS))
 
 
 def aspect_contexts(df: DataFrame, n_phrases: int = 5, max_texts: int | None = None) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 _PRUNED_K = 1000
 # largest n handed to a single final task by orderBy().limit()
 _SMALL_LIMIT = 100_000
+# rows that one task ranks
+_BUCKET_ROWS = 50_000
 
 
 def first_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank",
@@ -83,17 +85,24 @@ def hash_sample(df: DataFrame, n: int, hashed: Column, tie: Column) -> DataFrame
 def distributed_rank(df: DataFrame, group: str, hashed: Column, tie: Column, rank: str = "rank") -> DataFrame:
     """``row_number() over (partition by group order by hash, tie)`` without one task per group.
 
-    Rows are ranked inside (group, three hash digits); the 4096 bucket sizes per group
-    give the offsets.
+    Rows are ranked inside (group, leading hash digits); the bucket sizes per group give the offsets. The number
+    of digits follows the number of rows, so that a bucket holds about ``_BUCKET_ROWS`` of them at every size.
+    Null is a group like any other.
     """
-    keyed = df.withColumn("_h", hashed).withColumn("_b", F.substring("_h", 1, 3))
+    digits = 1
+    rows = df.count()
+    while rows > _BUCKET_ROWS * 16 ** digits:
+        digits += 1
+    keyed = df.withColumn("_h", hashed).withColumn("_b", F.substring("_h", 1, digits))
     sizes = keyed.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(group, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    offsets = sizes.select(F.col(group).alias("_g"), F.col("_b").alias("_c"),
+                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
     inner = Window.partitionBy(group, "_b").orderBy("_h", tie)
     ranked = keyed.withColumn("_r", F.row_number().over(inner))
-    return (ranked.join(offsets, [group, "_b"])
-            .withColumn(rank, F.col("_r") + F.col("_o")).drop("_h", "_b", "_r", "_o"))
+    same = ranked[group].eqNullSafe(offsets["_g"]) & (ranked["_b"] == offsets["_c"])
+    return (ranked.join(offsets, same)
+            .withColumn(rank, F.col("_r") + F.col("_o")).drop("_h", "_b", "_r", "_o", "_g", "_c"))
 
 
 def spread_small_input(df: DataFrame, key: str) -> DataFrame:

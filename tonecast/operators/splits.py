@@ -29,12 +29,13 @@ def stratified_folds(df: DataFrame, folds: int = FOLDS, seed: int = 42, group: s
                      stratum: str = "sentiment") -> DataFrame:
     """One row per group with a fold dealt round-robin inside the group's most frequent label.
 
-    A tie goes to the smaller label. Ranking is distributed over hash buckets, so a label
+    A tie goes to the smaller label, missing labels do not count, and groups without any label are a stratum
+    of their own. Ranking is distributed over hash buckets, so a label
     holding most groups is not sorted by one task.
     """
     counted = df.groupBy(group, stratum).agg(F.count(F.lit(1)).alias("n"))
-    majority = counted.groupBy(group).agg(
-        F.min_by(stratum, F.struct(-F.col("n"), F.col(stratum))).alias("label"), F.sum("n").alias("rows"))
+    known = F.when(F.col(stratum).isNotNull(), F.struct(-F.col("n"), F.col(stratum)))
+    majority = counted.groupBy(group).agg(F.min_by(stratum, known).alias("label"), F.sum("n").alias("rows"))
     ranked = scaling.distributed_rank(majority, "label", ex.seeded_hash(seed, F.col(group)), F.col(group))
     fold = F.pmod(F.col("rank") - 1, F.lit(folds)).cast("int")
     return ranked.select(group, "label", "rows", fold.alias("fold"), split_name(fold).alias("split"))

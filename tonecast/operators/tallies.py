@@ -52,7 +52,10 @@ def nss_cuts(df: DataFrame, aspect: str = "aspect", sentiment: str = "sentiment"
     """
     cuts = [aspect, "source", "bts_line", "year", "year_month"]
     sets = [[F.col(c)] for c in cuts] + [[]]
-    grouped = df.groupingSets(sets, *[F.col(c) for c in cuts]).agg(F.grouping_id().alias("g"), *counts(sentiment))
+    # reviews are counted once; the sets only copy the rows of this small table
+    small = df.groupBy(*cuts).agg(*counts(sentiment))
+    grouped = small.groupingSets(sets, *[F.col(c) for c in cuts]).agg(
+        F.grouping_id().alias("g"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("rows", "pos", "neg", "neu")])
     # bit i of the grouping id is 0 for the one column that is grouped
     width = len(cuts)
     name, key = F.when(F.col("g") == 2 ** width - 1, "total"), F.lit("")
@@ -66,10 +69,14 @@ def nss_cuts(df: DataFrame, aspect: str = "aspect", sentiment: str = "sentiment"
 
 def kpis(df: DataFrame, sentiment: str = "sentiment") -> DataFrame:
     """One row of headline indicators in a single pass; ``n_aspects`` always counts labelled aspects."""
-    t = df.agg(*counts(sentiment), F.count_distinct("aspect").alias("n_aspects"),
-               F.count_distinct("source").alias("n_sources"),
-               F.min("created_at_date").alias("date_min"), F.max("created_at_date").alias("date_max"),
-               F.coalesce(F.avg("sentiment_confidence"), F.lit(0.0)).alias("avg_confidence"))
+    # distinct values are counted on one row per aspect and source
+    small = df.groupBy("aspect", "source").agg(
+        *counts(sentiment), F.min("created_at_date").alias("date_min"), F.max("created_at_date").alias("date_max"),
+        F.sum("sentiment_confidence").alias("confidence"), F.count("sentiment_confidence").alias("rated"))
+    t = small.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("rows", "pos", "neg", "neu")],
+                  F.count_distinct("aspect").alias("n_aspects"), F.count_distinct("source").alias("n_sources"),
+                  F.min("date_min").alias("date_min"), F.max("date_max").alias("date_max"),
+                  F.coalesce(F.sum("confidence") / F.nullif(F.sum("rated"), F.lit(0)), F.lit(0.0)).alias("avg_confidence"))
     rows = F.col("rows")
     return t.select("rows", ex.nss(F.col("pos"), F.col("neg"), rows).alias("nss"),
                     ex.share(F.col("pos"), rows).alias("pct_positive"),
@@ -100,19 +107,13 @@ def kpi_delta(df: DataFrame, condition: Column, sentiment: str = "sentiment") ->
 def breakdown(df: DataFrame, key: str, sentiment: str = "sentiment", top: int | None = None) -> DataFrame:
     """Rows, NSS and share of all rows per value, largest first; null values only count in the total.
 
-    The total is a grouping set of the same scan and is sorted in front, so the top rows carry it along.
+    The total is one number summed from the same grouped counts, whose shuffle both uses share.
     """
-    value = F.col(key).alias("_v")
-    grouped = df.select(value, F.col(sentiment).alias("_s")).groupingSets([[F.col("_v")], []], F.col("_v")).agg(
-        F.grouping_id().alias("_total"), *counts("_s"))
-    kept = grouped.filter((F.col("_total") == 1) | F.col("_v").isNotNull())
-    order = [F.desc("_total"), F.desc("rows"), F.asc("_v")]
-    if top is not None:
-        kept = kept.orderBy(*order).limit(top + 1)
-    # one row per distinct value is left
-    total = F.max(F.when(F.col("_total") == 1, F.col("rows"))).over(Window.partitionBy(F.lit(0)))
-    table = score(kept.withColumn("pct", F.col("rows") / total * 100)).filter(F.col("_total") == 0)
-    return table.select(F.col("_v").alias(key), "rows", "nss", "pct").orderBy(F.desc("rows"), key)
+    grouped = df.groupBy(key).agg(*counts(sentiment))
+    total = grouped.agg(F.sum("rows")).scalar()
+    table = score(grouped.filter(F.col(key).isNotNull())).select(key, "rows", "nss", (F.col("rows") / total * 100).alias("pct"))
+    table = table.orderBy(F.desc("rows"), key)
+    return table if top is None else table.limit(top)
 
 
 def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFrame:

@@ -97,7 +97,8 @@ def train_with_thresholds(spark: SparkSession, reviews: DataFrame, use_predicted
     """First-generation training: balanced weights against oversampling, thresholds tuned on validation.
 
     ``reviews`` are raw labelled rows. Splits are fixed by text before predicted aspects are joined.
-    The variant with the better validation macro-F1 wins; the weighted one keeps a tie.
+    The variant with the better validation macro-F1 wins; the weighted one keeps a tie. The oversampled fit may take
+    500 steps more than ``max_iter``.
     """
     rows = cleaning.clean_labels(reviews)
     if max_rows is not None:
@@ -116,7 +117,7 @@ def train_with_thresholds(spark: SparkSession, reviews: DataFrame, use_predicted
     weighted = SentimentModel.fit(part["train"], aspect, max_iter=max_iter, sublinear=False, min_df=1)
     vectors = weighted.features.transform(with_pair(part["train"], aspect), PAIR).select(key, "sentiment", "features")
     balanced_rows = materialize(oversampling.interpolate_minority(vectors, key=key), "balanced-rows")
-    oversampled = SentimentModel.fit_vectors(weighted.features, balanced_rows, "sentiment", 1.5, max_iter, False)
+    oversampled = SentimentModel.fit_vectors(weighted.features, balanced_rows, "sentiment", 1.5, max_iter + 500, False)
 
     models = {"tfidf_logreg_classweight_balanced": weighted, "tfidf_logreg_smote": oversampled}
     tuned, decided = {}, {}
