@@ -22,6 +22,7 @@ HEADLINE = [
     "insight_cards", "source_breakdown", "seasonality_wide", "class_report", "class_report_by_aspect", "calibration",
     "error_samples", "threshold_tune", "rule_aspect", "group_split", "stratified_folds", "cache_upsert", "tokens_vocab",
     "bigrams_by_sentiment", "aspect_deep_dive", "aspect_context", "tfidf_weights", "cosine_topk", "score_reviews",
+    "predict_view", "token_attribution", "oversample", "retrieved_chunks", "context_text", "lda_topics",
 ]
 
 

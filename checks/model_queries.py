@@ -1,9 +1,7 @@
 """Queries on evaluation, errors, thresholds, features and models."""
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from checks.label_queries import TEXT_ID, fold_sql, split_sql
 from checks.registry import check, rounded
 from tonecast.functions import expressions as ex
 from tonecast.operators import (attribution, classifier, cleaning, errors, evaluation, features, oversampling, splits,

@@ -348,6 +348,18 @@ _STATS = "'Live statistics for **' || aspect || '**:' || chr(10) || " + " || chr
     "'- Top positive phrases: ' || top_praises", "'- Recommended action: ' || action"])
 
 
+@check("question_sources", views="scored", ctes=_CHUNKS,
+       sql="SELECT question_id, rank, substring(text, 1, 200) AS text, aspect, sentiment, date, source FROM ch")
+def question_sources(v):
+    return retrieval.question_sources(_chunks(v))
+
+
+def _no_statistics(aspect):
+    actions = " ".join(f"WHEN '{a}' THEN '{text}'" for a, text in tx.ACTIONS.items())
+    block = tx.NO_STATISTICS.replace("{aspect}", f"' || {aspect} || '").replace("{action}", f"' || CASE {aspect} {actions} ELSE '' END || '")
+    return f"'{block}'"
+
+
 @check("context_text", views="scored", ctes=_CHUNKS + ", " + _CONTEXT + f""", st AS (SELECT aspect, {_STATS} AS statistics FROM ctx),
   qu AS (SELECT e.vec_id AS question_id, review_text AS question, {known_sql('review_text')} AS named FROM embeddings e JOIN scored ON scored.id = e.vec_id),
   ex AS (SELECT question_id, string_agg('[' || aspect || ' | ' || sentiment || ' | ' || date || ' | ' || source || ']' || chr(10) || text,
@@ -355,7 +367,8 @@ _STATS = "'Live statistics for **' || aspect || '**:' || chr(10) || " + " || chr
   vo AS (SELECT question_id, aspect AS voted, row_number() OVER (PARTITION BY question_id ORDER BY count(*) DESC, min(rank)) AS k FROM ch GROUP BY question_id, aspect),
   al AS (SELECT qu.question_id, question, coalesce(named, voted) AS aspect, excerpts FROM qu LEFT JOIN ex USING (question_id) LEFT JOIN (SELECT * FROM vo WHERE k = 1) USING (question_id))""",
        sql="""SELECT question_id, al.aspect, 'Question: ' || question || chr(10) || chr(10) || 'Retrieved reviews:' || chr(10) || coalesce(excerpts, '')
-  || chr(10) || coalesce(chr(10) || statistics || chr(10), '') AS context FROM al LEFT JOIN st ON st.aspect = al.aspect""")
+  || chr(10) || coalesce(chr(10) || coalesce(statistics, """ + _no_statistics("al.aspect") + """) || chr(10), '') AS context
+  FROM al LEFT JOIN st ON st.aspect = al.aspect""")
 def context_text(v):
     questions = v.table("embeddings").select(F.col("vec_id").alias("question_id")).join(
         v.scored.select(F.col("id").alias("question_id"), F.col("review_text").alias("question")), "question_id")

@@ -191,7 +191,10 @@ def test_training_jobs(spark, reviews, tmp_path):
     assert result.reports["test_report"].count() == 3
 
     first_generation = reviews.withColumn("aspect", F.lit("Safety"))
-    out = jobs.train_with_thresholds(spark, first_generation, use_predicted_aspect=True, max_iter=40)
+    first = str(tmp_path / "first")
+    out = jobs.train_with_thresholds(spark, first_generation, use_predicted_aspect=True, max_iter=40, out=first)
+    assert spark.read.json(f"{first}/metrics").count() == 3
+    assert spark.read.parquet(f"{first}/aspect_cache").count() == out["cache"].count()
     assert out["variant"] in ("tfidf_logreg_classweight_balanced", "tfidf_logreg_smote")
     assert set(out["thresholds"]) == set(SENTIMENTS) and out["test_report"].count() == 3
     assert out["cache"].count() > 0

@@ -76,3 +76,27 @@ def test_materialize_uses_the_shared_folder(spark):
     df = materialize(spark.range(7), "seven")
     assert df.count() == 7
     assert df.inputFiles()[0].replace("file://", "").startswith(shared_dir(spark))
+
+
+def test_prepared_dashboard_is_pruned(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from tonecast.plans import jobs
+    rows = [(f"text {k}", k % 5 + 1, "web", f"{2019 + k % 4}-0{1 + k % 9}-1{k % 9}", "Silom", "here", "Staff", "Positive") for k in range(40)]
+    names = "review_text review_rating source created_at_date bts_line reviewer_hometown aspect sentiment".split()
+    spark.createDataFrame(rows, names).coalesce(1).write.option("header", True).csv(str(tmp_path / "csv"))
+    table = jobs.prepare_dashboard(spark, str(tmp_path / "csv"), str(tmp_path / "prepared"))
+    assert table.count() == 40
+    plan = table.filter((F.col("year") == 2020) & (F.col("created_at_date") >= F.lit("2020-03-01").cast("timestamp"))).select("aspect")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in text and "GreaterThanOrEqual(created_at_date" in text
+    assert "review_text" not in text.split("ReadSchema")[1]
+
+
+def test_collection_grows_by_id(spark, tmp_path):
+    from tonecast.plans import jobs
+    def reviews(ids, text):
+        return spark.createDataFrame([(i, text, 3, "web", "2020-01-01", "Staff", "Negative") for i in ids],
+                                     "review_id string, review_text string, review_rating int, source string, created_at_date string, aspect string, sentiment string")
+    one = jobs.grow_collection(reviews(["a", "b"], "old"), None, str(tmp_path / "one"))
+    two = jobs.grow_collection(reviews(["b", "c"], "new"), one, str(tmp_path / "two"), force=True)
+    assert sorted((r.id, r.document) for r in two.collect()) == [("Staff_a", "old"), ("Staff_b", "new"), ("Staff_c", "new")]

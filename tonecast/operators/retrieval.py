@@ -16,22 +16,20 @@ QUERY_BYTES = 32 * 1024 * 1024
 _QUERY_BLOCK = 1024
 _DOCUMENT_BLOCK = 20_000
 _QUERY_SLICE = 256
+_ENTRIES = 16_384  # vector entries multiplied at a time
 
 
 def _keep_best(k: int, digits: int = 12):
     """Task-side helper: the k best documents of each query, lowest id first on equal scores."""
     def best(query_ids, document_ids, scores):
         scores = np.round(scores, digits)
-        picked = []
-        for row, query in enumerate(query_ids):
-            s = scores[row]
-            valid = np.flatnonzero(s > -np.inf)
-            if len(valid) > k:
-                floor = np.partition(s[valid], len(valid) - k)[len(valid) - k]
-                valid = valid[s[valid] >= floor]
-            order = valid[np.lexsort((document_ids[valid], -s[valid]))][:k]
-            picked.append(pd.DataFrame({"query_id": query, "document_id": document_ids[order], "score": s[order]}))
-        return pd.concat(picked) if picked else pd.DataFrame({"query_id": [], "document_id": [], "score": []})
+        order = np.argsort(document_ids, kind="stable")
+        ranked = np.argsort(-scores[:, order], axis=1, kind="stable")[:, :k]
+        documents = order[ranked]
+        found = np.take_along_axis(scores, documents, axis=1)
+        kept = found > -np.inf
+        return pd.DataFrame({"query_id": np.repeat(query_ids, kept.sum(axis=1)),
+                             "document_id": document_ids[documents[kept]], "score": found[kept]})
     return best
 
 
@@ -47,17 +45,24 @@ def _cosine():
 def _sparse_dot():
     """Scores of (indices, values) vectors; the query block is laid out over its own features only."""
     def scores(q, d):
-        used = np.unique(np.concatenate([v["indices"] for v in q]))
-        block = np.zeros((len(q), len(used)))
-        for i, v in enumerate(q):
-            block[i, np.searchsorted(used, v["indices"])] = v["values"]
-        out = np.zeros((len(q), len(d)))
-        for j, v in enumerate(d):
-            at = np.searchsorted(used, v["indices"])
-            at_safe = np.minimum(at, len(used) - 1)
-            known = used[at_safe] == v["indices"]
-            out[:, j] = block[:, at_safe[known]] @ np.asarray(v["values"])[known]
-        return out
+        flat = [np.concatenate([np.asarray(v[name]) for v in side]) for side in (q, d) for name in ("indices", "values")]
+        rows = [np.repeat(np.arange(len(side)), [len(v["indices"]) for v in side]) for side in (q, d)]
+        used, column = np.unique(flat[0], return_inverse=True)
+        if not len(used):
+            return np.zeros((len(q), len(d)))
+        block = np.zeros((len(used), len(q)))
+        block[column, rows[0]] = flat[1]
+        at = np.minimum(np.searchsorted(used, flat[2]), len(used) - 1)
+        known = used[at] == flat[2]
+        at, value, owner = at[known], flat[3][known], rows[1][known]
+        out = np.zeros((len(d), len(q)))
+        for start in range(0, len(at), _ENTRIES):
+            # entries of one document are consecutive, so their products are summed in runs
+            own = owner[start:start + _ENTRIES]
+            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            products = block[at[start:start + _ENTRIES]] * value[start:start + _ENTRIES, None]
+            out[own[first]] += np.add.reduceat(products, first, axis=0)
+        return out.T
     return scores
 
 
@@ -286,6 +291,17 @@ def statistics_text(context: DataFrame) -> DataFrame:
     return context.select("aspect", F.concat_ws("\n", *cells).alias("statistics"))
 
 
+def no_statistics(aspect: Column) -> Column:
+    """Statistics block of an aspect without reviews; null for a null aspect."""
+    named = F.replace(F.lit(tx.NO_STATISTICS), F.lit("{aspect}"), aspect)
+    return F.replace(named, F.lit("{action}"), insights.lookup(aspect, tx.ACTIONS, F.lit("")))
+
+
+def question_sources(chunks: DataFrame, chars: int = 200) -> DataFrame:
+    """Retrieved documents of each question as they are listed beside an answer: short texts with their metadata."""
+    return chunks.select("question_id", "rank", ex.preview(F.col("text"), chars).alias("text"), "aspect", "sentiment", "date", "source")
+
+
 def context_text(questions: DataFrame, chunks: DataFrame, statistics: DataFrame) -> DataFrame:
     """Prompt text per question: retrieved excerpts in rank order, then the statistics of its aspect.
 
@@ -301,7 +317,7 @@ def context_text(questions: DataFrame, chunks: DataFrame, statistics: DataFrame)
     asked = with_question_aspect(questions).join(blocks, "question_id", "left").join(mode, "question_id", "left")
     asked = asked.withColumn("aspect", F.coalesce("aspect", "voted"))
     # one short row per aspect of the taxonomy
-    full = asked.join(statistics, "aspect", "left")
+    full = asked.join(statistics, "aspect", "left").withColumn("statistics", F.coalesce("statistics", no_statistics(F.col("aspect"))))
     return full.select("question_id", "aspect", F.concat(
         F.lit("Question: "), F.col("question"), F.lit("\n\nRetrieved reviews:\n"), F.coalesce("excerpts", F.lit("")),
         F.lit("\n"), F.coalesce(F.concat(F.lit("\n"), F.col("statistics"), F.lit("\n")), F.lit(""))).alias("context"))

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonecast.operators import cleaning, errors, evaluation, oversampling, phrases, splits, tallies, thresholds, topics
+from tonecast.operators import (cleaning, errors, evaluation, oversampling, phrases, retrieval, splits, tallies,
+                                thresholds, topics)
 from tonecast.operators.classifier import (PAIR, PROBABILITIES, SentimentModel, prediction_view, score_reviews,
                                            select_variant, with_pair)
 from tonecast.schema import SCORED_COLUMNS
@@ -22,6 +23,20 @@ def clean(spark: SparkSession, raw_csv: str, out: str) -> DataFrame:
     return cleaned
 
 
+def prepare_dashboard(spark: SparkSession, scored_csv: str, out: str) -> DataFrame:
+    """Scored reviews with parsed dates, calendar and lengths as Parquet by year, parsed once for all reports."""
+    writers.write_parquet(readers.read_dashboard(spark, scored_csv).repartition("year"), out, "year")
+    return readers.read_prepared(spark, out)
+
+
+def grow_collection(reviews: DataFrame, old: DataFrame | None, out: str, force: bool = False) -> DataFrame:
+    """Retrieval documents of all reviews merged into a collection by id, written by aspect to a new path."""
+    new = retrieval.seed_documents(reviews)
+    merged = new if old is None else caches.merge_documents(old, new, force)
+    writers.write_parquet(merged, out, "aspect")
+    return reviews.sparkSession.read.parquet(out)
+
+
 def score_artifacts(spark: SparkSession, raw_csv: str, out: str) -> dict[str, DataFrame]:
     """Overall, daily and per-aspect scores of the labelled raw table."""
     labelled = cleaning.clean_labels(readers.read_raw(spark, raw_csv))
@@ -60,7 +75,7 @@ def train(spark: SparkSession, reviews: DataFrame, out: str | None = None, max_r
     rows = cleaning.prepare_cleaned(reviews)
     if max_rows is not None:
         rows = cleaning.sample_rows(rows, max_rows, key=key)
-    rows = materialize(splits.with_split(rows), "training-rows")
+    rows = materialize(splits.attach_split(rows, splits.stratified_folds(rows)), "training-rows")
     splits.verify_no_leakage(rows)
     part = {s: rows.filter(F.col("split") == s) for s in ("train", "val", "test")}
     splits.require_two_classes(part["train"])
@@ -93,17 +108,17 @@ def text_artifacts(reviews: DataFrame) -> dict[str, DataFrame]:
 
 def train_with_thresholds(spark: SparkSession, reviews: DataFrame, use_predicted_aspect: bool = False,
                           cache: DataFrame | None = None, key: str = "review_id", max_rows: int | None = None,
-                          max_iter: int = 2000) -> dict:
+                          max_iter: int = 2000, out: str | None = None) -> dict:
     """First-generation training: balanced weights against oversampling, thresholds tuned on validation.
 
     ``reviews`` are raw labelled rows. Splits are fixed by text before predicted aspects are joined.
     The variant with the better validation macro-F1 wins; the weighted one keeps a tie. The oversampled fit may take
-    500 steps more than ``max_iter``.
+    500 steps more than ``max_iter``. With ``out`` the metric record, reports, model and the grown cache are written.
     """
     rows = cleaning.clean_labels(reviews)
     if max_rows is not None:
         rows = cleaning.first_rows(rows, max_rows, key)
-    rows = splits.with_split(rows)
+    rows = splits.attach_split(rows, splits.stratified_folds(rows))
     grown = cache
     if use_predicted_aspect:
         empty = spark.createDataFrame([], "text_id string, aspect_pred string")
@@ -128,11 +143,21 @@ def train_with_thresholds(spark: SparkSession, reviews: DataFrame, use_predicted
     chosen, macro_f1 = select_variant(decided, "decision")
     test = models[chosen].transform(part["test"], aspect).withColumn(
         "decision", thresholds.decide(PROBABILITIES, tuned[chosen]))
-    return {"variant": chosen, "thresholds": tuned[chosen], "validation_macro_f1": macro_f1, "model": models[chosen],
-            "val_report": evaluation.class_report(decided[chosen], pred="decision"),
-            "test_report": evaluation.class_report(test, pred="decision"),
-            "test_by_aspect": evaluation.class_report_by(test, aspect, 50, pred="decision"),
-            "rows": rows.groupBy("split").agg(F.count(F.lit(1)).alias("rows")), "cache": grown}
+    result = {"variant": chosen, "thresholds": tuned[chosen], "validation_macro_f1": macro_f1, "model": models[chosen],
+              "val_report": evaluation.class_report(decided[chosen], pred="decision"),
+              "test_report": evaluation.class_report(test, pred="decision"),
+              "test_by_aspect": evaluation.class_report_by(test, aspect, 50, pred="decision"),
+              "rows": rows.groupBy("split").agg(F.count(F.lit(1)).alias("rows")), "cache": grown}
+    if out:
+        models[chosen].save(f"{out}/model")
+        metrics = [(chosen, label, float(cut), float(macro_f1[chosen])) for label, cut in tuned[chosen].items()]
+        writers.write_json(spark.createDataFrame(metrics, "variant string, label string, threshold double, macro_f1 double"),
+                           f"{out}/metrics")
+        for name in ("val_report", "test_report", "test_by_aspect", "rows"):
+            writers.write_json(result[name], f"{out}/{name}")
+        if grown is not None:
+            writers.write_parquet(grown, f"{out}/aspect_cache")
+    return result
 
 
 def score_table(reviews: DataFrame, model: SentimentModel, out: str | None = None) -> DataFrame:

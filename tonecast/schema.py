@@ -1,4 +1,4 @@
-"""Column contracts of the review tables."""
+"""Column contracts of the review tables: names and order are fixed values."""
 
 from __future__ import annotations
 
@@ -25,4 +25,4 @@ def review_schema(columns: list[str]) -> T.StructType:
 def require_columns(present: list[str], needed: list[str]) -> None:
     missing = sorted(set(needed) - set(present))
     if missing:
-        raise ValueError(f"Missing columns: {missing}")
+        raise ValueError(f"the review table lacks {', '.join(missing)}")
