@@ -11,7 +11,7 @@ by a parity bitmap, whose differing bits never exceed the symmetric difference;
 is kept, and the sets of its edges are compared in full. Lists in which an edge failed are scanned again for all
 surviving pairs that are not yet connected, so no link between two groups is lost and no group is expanded into pairs.
 
-Sets are compared by 64-bit hashes of their shingles, nodes are named by a 128-bit digest of the set.
+Sets are compared by 64-bit hashes of their shingles and are equal when their 128-bit digests are.
 
 Edge cases: null or empty texts and texts without words have size 0 and are linked with nothing; fewer words than a
 shingle make one shingle; repeated rows fall into one group; an empty table gives no row; extra columns are ignored.
@@ -34,7 +34,7 @@ from tonecast.session import materialize
 
 BUCKETS = 1 << 16
 BLOCK = 2048
-SCAN_COST = 1.0  # cost of testing one posting of a list over that of emitting one key
+SCAN_COST = 0.25  # cost of testing one posting of a list over that of emitting one key
 
 
 @dataclass(frozen=True)
@@ -105,9 +105,10 @@ def _frequencies(docs: DataFrame, text: str, sim: Similarity) -> np.ndarray:
 
 def boundary(frequencies: np.ndarray, sim: Similarity) -> int:
     """Largest size of a light set: its subsets cost no more than its postings and the lists they make it scan."""
-    usual = frequencies[frequencies <= 4 * max(1.0, float(np.median(frequencies)))].astype(float)
-    total = usual.sum()
-    shared = max(0.0, ((usual ** 2).sum() - total * total / max(1, len(usual))) / max(1.0, total))
+    counts = np.sort(frequencies[frequencies > 0]).astype(float)
+    rare = counts[:1 + int(np.searchsorted(np.cumsum(counts), counts.sum() * (1 - sim.part / sim.whole)))]
+    # what the spread of the counts shows beyond an even deal; prefixes are filled from the rarest buckets
+    shared = max(0.0, float((rare ** 2).sum() / rare.sum() - rare.mean())) if len(rare) else 0.0
     size = 1
     while size < 1 << 20 and (sim.prefix(size + 1) + 1) / 2 <= 1 + SCAN_COST * shared:
         size += 1
@@ -205,11 +206,11 @@ def _blocks(postings: DataFrame, nodes: DataFrame) -> DataFrame:
     long = postings.groupBy("key").count().where(F.col("count") > BLOCK).select(
         "key", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
     parts = F.coalesce("parts", F.lit(1))
-    dealt = postings.join(long, "key", "left").withColumn("block", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    dealt = postings.join(long, "key", "left").withColumn("block", F.pmod(F.xxhash64("uid"), parts).cast("int"))
     other = F.explode(F.sequence(F.lit(0), parts - 1)).alias("other")
-    return dealt.select("key", "node", "block", other).select(
-        "key", "node", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
-    ).join(nodes.select("node", "size", "bits"), "node")
+    return dealt.select("key", "uid", "block", other).select(
+        "key", "uid", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+    ).join(nodes.select("uid", "size", "bits"), "uid")
 
 
 def _fold(bits: int, width: int, to: int) -> int:
@@ -245,15 +246,15 @@ def survivors(size: np.ndarray, bits: list[bytes], block: np.ndarray, sim: Simil
 
 def _scan(lists: DataFrame, sim: Similarity, every: bool) -> DataFrame:
     """Edges (key, a, b): a spanning forest of the survivors of each list, or all across groups (``every``)."""
-    columns = ["key", "low", "high", "node", "size", "bits", "block", *(["component"] if every else [])]
+    columns = ["key", "low", "high", "uid", "size", "bits", "block", *(["component"] if every else [])]
     dealt = lists.select(*columns).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, ["key", "low", "high"]):
             key, low, high = (t.column(c).to_numpy() for c in ("key", "low", "high"))
-            node, bits = t.column("node").to_pylist(), t.column("bits").to_pylist()
+            uid, bits = t.column("uid").to_pylist(), t.column("bits").to_pylist()
             size, block = t.column("size").to_numpy(), t.column("block").to_numpy()
-            group = t.column("component").to_pylist() if every else node
+            group = t.column("component").to_pylist() if every else uid
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
             edges: list[tuple] = []
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
@@ -271,24 +272,24 @@ def _scan(lists: DataFrame, sim: Similarity, every: bool) -> DataFrame:
                             joins = group[a + i] != group[a + j]
                         else:
                             x, y = top(i), top(j)
-                            joins = x != y and node[a + i] != node[a + j]
+                            joins = x != y
                             root[y] = x
                         if joins:
-                            edges.append((int(key[a]), min(node[a + i], node[a + j]), max(node[a + i], node[a + j])))
+                            edges.append((int(key[a]), *sorted((uid[a + i], uid[a + j]))))
             if edges:
                 k, x, y = zip(*edges, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(x, pa.binary()),
-                                                  pa.array(y, pa.binary())], ["key", "a", "b"])
-    return dealt.mapInArrow(run, "key long, a binary, b binary")
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (k, x, y)], ["key", "a", "b"])
+    return dealt.mapInArrow(run, "key long, a long, b long")
 
 
 def _verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, text: str, sim: Similarity) -> DataFrame:
     """The distinct pairs of ``edges`` with ``linked``, told by their whole sets."""
     pairs = edges.select("a", "b").distinct()
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    ids = nodes.join(wanted, "node", "left_semi").select(F.col("first").alias("doc_id")).distinct()
+    wanted = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
+    named = nodes.select("uid", "node", "first").join(wanted, "uid", "left_semi")
+    ids = named.select("first").distinct()
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias(text))
-    source = source.join(ids, source["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+    source = source.join(ids, source["doc_id"].eqNullSafe(ids["first"]), "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in arrowtext.text_slices(batches, text):
@@ -305,10 +306,10 @@ def _verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str,
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 linked.append(sim.whole * both >= sim.part * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
-    whole = source.mapInArrow(sets, "node binary, set binary").dropDuplicates(["node"])
-    one = pairs.join(whole.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-    two = one.join(whole.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    return two.mapInArrow(compare, "a binary, b binary, linked boolean")
+    whole = source.mapInArrow(sets, "node binary, set binary").dropDuplicates(["node"]).join(named, "node").select("uid", "set")
+    one = pairs.join(whole.select(F.col("uid").alias("a"), F.col("set").alias("x")), "a")
+    two = one.join(whole.select(F.col("uid").alias("b"), F.col("set").alias("y")), "b")
+    return two.mapInArrow(compare, "a long, b long, linked boolean")
 
 
 def linked_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim: Similarity = Similarity()) -> DataFrame:
@@ -316,22 +317,24 @@ def linked_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     profiles = materialize(_profiles(docs, doc_id, text, sim), "profiles")
     firsts = profiles.where("node IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("first"), F.min("uid").alias("uid"))
-    nodes = materialize(profiles.drop("node").join(firsts, "uid").select("node", "first", "size", "bits", "keys"), "nodes")
-    postings = materialize(_shared_keys(nodes.select(F.explode("keys").alias("key"), "node")), "postings")
-    nodes = nodes.select("node", "first", "size", "bits")
+    nodes = materialize(profiles.drop("node", "keys").join(firsts, "uid").select("uid", "node", "first", "size", "bits"), "nodes")
+    postings = profiles.select("uid", "keys").join(firsts.select("uid"), "uid", "left_semi").select(
+        F.explode("keys").alias("key"), "uid")
+    postings = materialize(_shared_keys(postings), "postings")
     edges = materialize(_scan(_blocks(postings, nodes), sim, every=False), "forest")
     tested = materialize(_verified(edges, nodes, docs, doc_id, text, sim), "tested")
     good = tested.where("linked").select("a", "b")
     names = components(good)
     failed = materialize(edges.join(tested.where("NOT linked"), ["a", "b"], "left_semi").select("key").distinct(), "failed")
     if not failed.isEmpty():
-        again = _blocks(postings.join(failed, "key", "left_semi"), nodes).join(names, "node", "left").withColumn(
-            "component", F.coalesce("component", "node"))
+        again = _blocks(postings.join(failed, "key", "left_semi"), nodes).join(
+            names.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
         more = _scan(again, sim, every=True).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
         more = materialize(more, "more")
         good = good.union(_verified(more, nodes, docs, doc_id, text, sim).where("linked").select("a", "b"))
         names = components(good)
-    named = firsts.join(names, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = firsts.join(names.withColumnRenamed("node", "uid"), "uid", "left").withColumn(
+        "component", F.coalesce("component", "uid"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     of_node = named.join(least, "component").select("node", "component_id")
     return profiles.select("doc_id", "size", "node").join(of_node, "node", "left").select(
