@@ -181,24 +181,26 @@ def _runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table
         yield pa.Table.from_batches(held)
 
 
-def _shared_keys(postings: DataFrame) -> DataFrame:
-    """Postings of keys that at least two nodes have; one key after another streams through its task."""
+def _shared_keys(postings: DataFrame, sim: Similarity) -> DataFrame:
+    """Postings whose key another set of a fitting size has; one key after another streams through its task.
+
+    In order of size a set has a fitting partner if and only if a neighbour fits.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, waiting = None, None
+        waiting, fitted = None, False  # the last row, and whether it fits the one before
         for batch in batches:
             if not batch.num_rows:
                 continue
             whole = pa.Table.from_batches([*([waiting] if waiting is not None else []), batch]).combine_chunks()
             batch = whole.to_batches()[0]
-            key = batch.column(0).to_numpy()
-            same = key[1:] == key[:-1]
-            kept = np.concatenate(([key[0] == before], same)) | np.concatenate((same, [False]))
-            waiting, before = batch.slice(len(key) - 1), (key[-2] if len(key) > 1 else before)
-            kept[-1] = False
-            yield batch.filter(pa.array(kept))
-        if waiting is not None and waiting.column(0)[0].as_py() == before:
+            key, size = batch.column(0).to_numpy(), batch.column(2).to_numpy().astype(np.int64)
+            fits = (key[1:] == key[:-1]) & (size[1:] <= sim.top(size[:-1]))
+            kept = np.concatenate(([fitted], fits)) | np.concatenate((fits, [False]))
+            waiting, fitted = batch.slice(len(key) - 1), bool(fits[-1]) if len(fits) else fitted
+            yield batch.slice(0, len(key) - 1).filter(pa.array(kept[:-1]))
+        if waiting is not None and fitted:
             yield waiting
-    return postings.repartition("key").sortWithinPartitions("key").mapInArrow(run, postings.schema)
+    return postings.repartition("key").sortWithinPartitions("key", "size").mapInArrow(run, postings.schema).drop("size")
 
 
 def _blocks(postings: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -318,9 +320,9 @@ def linked_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     firsts = profiles.where("node IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("first"), F.min("uid").alias("uid"))
     nodes = materialize(profiles.drop("node", "keys").join(firsts, "uid").select("uid", "node", "first", "size", "bits"), "nodes")
-    postings = profiles.select("uid", "keys").join(firsts.select("uid"), "uid", "left_semi").select(
-        F.explode("keys").alias("key"), "uid")
-    postings = materialize(_shared_keys(postings), "postings")
+    postings = profiles.select("uid", "size", "keys").join(firsts.select("uid"), "uid", "left_semi").select(
+        F.explode("keys").alias("key"), "uid", F.col("size").cast("int").alias("size"))
+    postings = materialize(_shared_keys(postings, sim), "postings")
     edges = materialize(_scan(_blocks(postings, nodes), sim, every=False), "forest")
     tested = materialize(_verified(edges, nodes, docs, doc_id, text, sim), "tested")
     good = tested.where("linked").select("a", "b")
