@@ -195,6 +195,49 @@ def aspect_detail(v):
     return reports.aspect_summaries(v.scored, "aspect", "sentiment")
 
 
+# the parts of one aspect's detail; the aspect is the one with most texts
+_ONE = "one AS (SELECT * FROM scored WHERE aspect = '" + tx.RULE_FALLBACK + "')"
+
+
+def _part(v, name, aspect=tx.RULE_FALLBACK):
+    return reports.aspect_detail(v.scored, aspect)[name]
+
+
+@check("aspect_detail_yearly", views="scored", ctes=_ONE + f", g AS (SELECT year, {COUNTS} FROM one GROUP BY year HAVING count(*) >= 20)",
+       sql=f'SELECT year, "rows", pos, neg, neu, round_even({NSS}, 1) AS nss FROM g')
+def aspect_detail_yearly(v):
+    return _part(v, "yearly")
+
+
+@check("aspect_detail_ratings", views="scored", ctes=_ONE,
+       sql='SELECT review_rating, count(*) AS "rows" FROM one WHERE review_rating IS NOT NULL GROUP BY review_rating')
+def aspect_detail_ratings(v):
+    return _part(v, "ratings")
+
+
+@check("aspect_detail_sources", views="scored", ctes=_ONE + f""", g AS (SELECT source, {COUNTS} FROM one WHERE source IS NOT NULL GROUP BY source
+  ORDER BY count(*) DESC, source LIMIT 6)""", sql=f"""SELECT source, "rows", round_even({NSS}, 1) AS nss,
+  round_even("rows" / CAST((SELECT count(*) FROM one) AS DOUBLE) * 100, 1) AS pct FROM g""")
+def aspect_detail_sources(v):
+    return _part(v, "sources")
+
+
+@check("aspect_detail_samples", views="scored", ctes=_ONE + """, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY sentiment
+  ORDER BY md5('42:' || review_id), review_id) AS INT) AS rank FROM one WHERE sentiment IN ('Negative', 'Positive'))""",
+       sql="""SELECT aspect, sentiment, rank, review_id, substring(review_text, 1, 350) AS text, coalesce(review_rating, 0) AS rating,
+  coalesce(source, '') AS source, date FROM r WHERE rank <= 6""")
+def aspect_detail_samples(v):
+    return _part(v, "samples")
+
+
+# every aspect of the taxonomy that no text has gets the zero record
+@check("aspect_detail_unseen", views="scored", sql="""SELECT 'Unheard' AS aspect, 0.0::DOUBLE AS nss, CAST(count(*) AS BIGINT) AS "rows", 0.0::DOUBLE AS pct_positive,
+  0.0::DOUBLE AS pct_neutral, 0.0::DOUBLE AS pct_negative, 'stable' AS direction, 0.0::DOUBLE AS recent_nss, 0.0::DOUBLE AS prior_nss, 0.0::DOUBLE AS delta,
+  '' AS top_complaints, '' AS top_praises, 'monitor' AS priority, '' AS action FROM scored WHERE aspect = 'Unheard'""")
+def aspect_detail_unseen(v):
+    return _part(v, "summary", "Unheard")
+
+
 _CONTEXT = _dive(5, "context") + """,
   y AS (SELECT aspect, year, count(*) AS r, count(*) FILTER (WHERE sentiment = 'Positive') - count(*) FILTER (WHERE sentiment = 'Negative') AS d
      FROM scored GROUP BY ALL),

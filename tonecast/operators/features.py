@@ -68,24 +68,39 @@ class TfIdf:
         counted = self.counter.transform(with_terms(df, text)).drop("_terms")
         return counted.withColumn(name, self._weigh()("_tf")).drop("_tf")
 
-    def _weigh(self):
+    def _weights(self):
+        """Function from a batch of count vectors to (row starts, indices, unit-length weights)."""
         idf, sublinear = self.idf, self.sublinear
 
-        @F.arrow_udf(VectorUDT())
-        def weigh(v: pa.Array) -> pa.Array:
-            indices, counts = v.field("indices"), v.field("values")
-            at = indices.flatten().to_numpy(zero_copy_only=False)
+        def weigh(v: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+            indices, counts = v.field("indices").flatten(), v.field("values")
             tf = counts.flatten().to_numpy(zero_copy_only=False)
-            w = (1 + np.log(tf) if sublinear else tf) * idf[at]
+            w = (1 + np.log(tf) if sublinear else tf) * idf[indices.to_numpy(zero_copy_only=False)]
             sizes = np.diff(counts.offsets.to_numpy())
             row = np.repeat(np.arange(len(sizes)), sizes)
             length = np.sqrt(np.bincount(row, w * w, minlength=len(sizes)))
-            starts = np.concatenate([[0], np.cumsum(sizes)]).astype("int32")
-            values = pa.ListArray.from_arrays(pa.array(starts), pa.array(w / length[row]))
-            fields = [v.field("type"), v.field("size"), indices, values]
+            return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype("int32")), indices, pa.array(w / length[row])
+        return weigh
+
+    def _weigh(self):
+        weigh = self._weights()
+
+        @F.arrow_udf(VectorUDT())
+        def vectors(v: pa.Array) -> pa.Array:
+            starts, _, weights = weigh(v)
+            fields = [v.field("type"), v.field("size"), v.field("indices"), pa.ListArray.from_arrays(starts, weights)]
             return pa.StructArray.from_arrays(fields, ["type", "size", "indices", "values"])
+        return vectors
 
-        return weigh
+    def weigh_entries(self, df: DataFrame, text: str, name: str = "entries") -> DataFrame:
+        """Non-zero weights of each row as an array of (index, value), in one pass over the Arrow batches."""
+        weigh = self._weights()
+
+        @F.arrow_udf(_ENTRY)
+        def cells(v: pa.Array) -> pa.Array:
+            starts, indices, weights = weigh(v)
+            return pa.ListArray.from_arrays(starts, pa.StructArray.from_arrays([indices, weights], ["index", "value"]))
+        return self.counter.transform(with_terms(df, text)).drop("_terms").withColumn(name, cells("_tf")).drop("_tf")
 
     def vocabulary(self, df: DataFrame) -> DataFrame:
         """The vocabulary as a table: index, term, idf."""
@@ -122,5 +137,5 @@ def entries(vector: Column) -> Column:
 
 def weights_table(model: TfIdf, df: DataFrame, text: str, key: str) -> DataFrame:
     """Long form (key, term, weight)."""
-    rows = model.transform(df.select(key, text), text).select(key, F.inline(entries(F.col("features"))))
+    rows = model.weigh_entries(df.select(key, text), text).select(key, F.inline("entries"))
     return rows.join(model.names(df), "index").select(key, "term", F.col("value").alias("weight"))
