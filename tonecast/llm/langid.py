@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from tonecast.llm import arrowtext
 
 HASHED, WIDTH, ORDERS = 1 << 15, 16, (2, 3, 4)
+STEPS = 24_000  # gradient steps, whatever the sample
 SAMPLE = 6_000  # labelled documents to learn from, in expectation
 CHUNK = 1 << 20
 _LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -56,8 +57,8 @@ def subwords(text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 yield row[:stop][inside], ((mixed ^ (mixed >> np.uint32(15))) % np.uint32(HASHED)).astype(np.int64)[inside]
 
 
-def learn(texts: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 6, rate: float = 4.0, seed: int = 5) -> Model | None:
-    """Train on (class, subword ids, subword counts); every fifth text calibrates."""
+def learn(texts: list[tuple[str, np.ndarray, np.ndarray]], steps: int = STEPS, rate: float = 4.0, seed: int = 5) -> Model | None:
+    """Train on (class, subword ids, subword counts), one text a step; every fifth text calibrates."""
     classes = sorted({c for c, _, _ in texts})
     fitted = [(classes.index(c), i, (n / n.sum()).astype(np.float32)) for c, i, n in texts if len(i)]
     if not fitted:
@@ -66,17 +67,17 @@ def learn(texts: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 6, rate
     held, train = fitted[::5], [x for k, x in enumerate(fitted) if k % 5] or fitted
     e = rng.normal(0, 0.1, (HASHED, WIDTH)).astype(np.float32)
     w, b = np.zeros((WIDTH, len(classes)), np.float32), np.zeros(len(classes), np.float32)
-    for epoch in range(epochs):
-        step = rate * (1 - epoch / epochs)
-        for k in rng.permutation(len(train)):
-            c, i, n = train[k]
-            mean = n @ e[i]
-            p = _softmax((mean @ w + b)[None])[0]
-            p[c] -= 1
-            back = w @ p
-            w -= 0.1 * step * np.outer(mean, p)
-            b -= 0.01 * step * p
-            e[i] -= step * n[:, None] * back[None]
+    rounds = -(-steps // len(train))
+    for turn, k in enumerate(np.concatenate([rng.permutation(len(train)) for _ in range(rounds)])[:steps]):
+        c, i, n = train[k]
+        step = rate * (1 - turn / steps)
+        mean = n @ e[i]
+        p = _softmax((mean @ w + b)[None])[0]
+        p[c] -= 1
+        back = w @ p
+        w -= 0.1 * step * np.outer(mean, p)
+        b -= 0.01 * step * p
+        e[i] -= step * n[:, None] * back[None]
     weights = e @ w
     logits = np.array([n @ weights[i] + b for _, i, n in held])
     truth = np.array([c for c, _, _ in held])
