@@ -168,3 +168,20 @@ def test_conversation_tail(spark):
                                "conv_id long, turn long, role string, text string")
     assert [(r["conv_id"], r["turn"]) for r in retrieval.conversation_tail(df).orderBy("conv_id", "turn").collect()] == [
         (1, 3), (1, 4), (1, 5), (1, 6), (1, 7), (1, 8), (2, 0)]
+
+
+def test_first_in_order_is_the_same_in_ranges(spark, monkeypatch):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"), "id").repartition(7)
+    want = sorted(scaling.first_in_order(df, 1234, ["k"]).collect())
+    monkeypatch.setattr(scaling, "_SMALL_LIMIT", 10)
+    assert sorted(scaling.first_in_order(df, 1234, ["k"]).collect()) == want
+    assert scaling.first_in_order(df, 9000, ["k"]).count() == 5000
+
+
+def test_rank_with_null_groups_and_many_digits(spark, monkeypatch):
+    df = spark.range(600).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"), "id")
+    monkeypatch.setattr(scaling, "_BUCKET_ROWS", 5)
+    rows = scaling.distributed_rank(df, "g", F.md5(F.col("id").cast("string")), F.col("id")).collect()
+    assert len(rows) == 600
+    for g in (None, 1, 2):
+        assert sorted(r["rank"] for r in rows if r["g"] == g) == list(range(1, 201))

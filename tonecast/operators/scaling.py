@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tonecast.session import materialize
+
 # largest k for which Spark prunes each input partition before the ranking shuffle
 _PRUNED_K = 1000
 # largest n handed to a single final task by orderBy().limit()
@@ -82,6 +84,29 @@ def hash_sample(df: DataFrame, n: int, hashed: Column, tie: Column) -> DataFrame
     return whole.unionByName(rest).drop("_h")
 
 
+def first_in_order(df: DataFrame, n: int, keys: list[str]) -> DataFrame:
+    """The first ``n`` rows by ``keys``. Small results are one top-n.
+
+    For large ones the rows are written in ranges of the keys; whole ranges pass, and only the range that holds the
+    cut is ordered.
+    """
+    if n <= _SMALL_LIMIT:
+        return df.orderBy(*keys).limit(n)
+    ranged = materialize(df.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}  # one row per partition
+    taken, cut = 0, None
+    for part in sorted(sizes):
+        if taken + sizes[part] > n:
+            cut = part
+            break
+        taken += sizes[part]
+    if cut is None:
+        return ranged.drop("_range")
+    whole = ranged.filter(F.col("_range") < cut)
+    rest = ranged.filter(F.col("_range") == cut).orderBy(*keys).limit(n - taken)
+    return whole.unionByName(rest).drop("_range")
+
+
 def distributed_rank(df: DataFrame, group: str, hashed: Column, tie: Column, rank: str = "rank") -> DataFrame:
     """``row_number() over (partition by group order by hash, tie)`` without one task per group.
 
