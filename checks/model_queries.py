@@ -257,7 +257,7 @@ _fitted: dict[tuple[str, str], classifier.SentimentModel] = {}
 
 def _model(v):
     """The sentiment model of a folder's texts, fitted to convergence once per application."""
-    key = v.spark.sparkContext.applicationId, v.sf_dir
+    key = v.spark.sparkContext.applicationId, v.dir
     if key not in _fitted:
         train = splits.with_split(_labelled(v).withColumn("text_id", ex.text_id(F.col("review_text")))).filter("split = 'train'")
         _fitted[key] = classifier.SentimentModel.fit(train)
