@@ -50,33 +50,36 @@ def _hashed(texts: pa.Array) -> Iterator[np.ndarray]:
         start += n
 
 
-def _heads(docs: DataFrame, passage: int, window: int) -> DataFrame:
-    """Per document uid, n_words, digest of the words, and for each suffix at a minimiser its place and head hash."""
+def _suffixes(hashes: np.ndarray, passage: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the suffixes at minimisers and the hashes of their first ``passage - window + 1`` words."""
     tail = passage - window + 1
+    at = minimisers(hashes, window)
+    at = at[at + tail <= len(hashes)]
+    return at, arrowtext.window_hashes(hashes, tail)[at].view(np.int64)
+
+
+def _heads(docs: DataFrame, passage: int, window: int) -> DataFrame:
+    """Per document uid, n_words, digest of the words and the distinct head hashes of its suffixes at minimisers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
         uid = TaskContext.get().partitionId() << 40
         for rows, texts in arrowtext.text_slices(batches):
-            many, name, places, heads = [], [], [], []
+            many, name, heads = [], [], []
             for h in _hashed(texts):
-                at = minimisers(h, window)
-                at = at[at + tail <= len(h)]
                 many.append(len(h))
                 name.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
-                places.append(at.astype(np.int32))
-                heads.append(arrowtext.window_hashes(h, tail)[at].view(np.int64))
+                heads.append(np.unique(_suffixes(h, passage, window)[1]))
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0), pa.array(uid + np.arange(len(many))), pa.array(many, pa.int64()), pa.array(name, pa.binary()),
-                 pa.array(places, pa.list_(pa.int32())), pa.array(heads, pa.list_(pa.int64()))],
-                ["doc_id", "uid", "n_words", "words", "places", "heads"])
+                 pa.array(heads, pa.list_(pa.int64()))], ["doc_id", "uid", "n_words", "words", "heads"])
             uid += len(many)
-    return docs.mapInArrow(run, "doc_id long, uid long, n_words long, words binary, places array<int>, heads array<long>")
+    return docs.mapInArrow(run, "doc_id long, uid long, n_words long, words binary, heads array<long>")
 
 
 def _extended(docs: DataFrame, found: DataFrame, passage: int, window: int) -> DataFrame:
-    """Runs of ``passage`` words that start up to ``window - 1`` words before a found place: hash, uid, start."""
-    source = docs.join(found, docs["doc_id"].eqNullSafe(found["id"]), "inner").select("text", "uid", "words", "places")
+    """Runs of ``passage`` words that start up to ``window - 1`` words before a found suffix: hash, uid, start."""
+    source = docs.join(found, docs["doc_id"].eqNullSafe(found["id"]), "inner").select("text", "uid", "words", "heads")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -86,7 +89,8 @@ def _extended(docs: DataFrame, found: DataFrame, passage: int, window: int) -> D
             for k, h in enumerate(_hashed(texts)):
                 if xxhash.xxh3_128_digest(h.tobytes()) != names[k]:
                     continue  # another text of the same doc_id
-                at = np.array(rows.column(3)[k].as_py(), np.int64)
+                at, own = _suffixes(h, passage, window)
+                at = at[np.isin(own, rows.column(3)[k].values.to_numpy())]
                 starts = np.unique(at[:, None] - np.arange(window))
                 starts = starts[(starts >= 0) & (starts + passage <= len(h))]
                 if len(starts):
@@ -122,9 +126,8 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, window: int = WIN
     whole = materialize(_heads(source, passage, window), "suffixes").where(F.col("n_words") >= passage)
     texts = materialize(whole.groupBy("words").agg(F.min("uid").alias("uid"), F.count("*").alias("n_copies")), "texts")
     single = whole.drop("words").join(texts, "uid")
-    suffixes = single.select("uid", F.explode(F.arrays_zip("places", "heads")).alias("s")).select(
-        F.col("s.heads").alias("head"), "uid", F.col("s.places").alias("place"))
-    shared = of_several(suffixes, "head", "uid").groupBy("uid").agg(F.collect_list("place").alias("places"))
+    suffixes = single.select(F.explode("heads").alias("head"), "uid")
+    shared = of_several(suffixes, "head", "uid").groupBy("uid").agg(F.collect_list("head").alias("heads"))
     found = shared.join(whole.select("uid", F.col("doc_id").alias("id"), "words"), "uid")
     starts = of_several(materialize(_extended(source, found, passage, window), "extended"), "hash", "uid")
     spans = texts.join(_spans(starts, passage), "uid", "left").where("n_copies > 1 OR spans IS NOT NULL")
