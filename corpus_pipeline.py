@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonecast.llm import decontaminate, jaccard_join, packing, pii_crf, quality_rules
+from tonecast.llm import arrowtext, decontaminate, jaccard_join, packing, pii_crf, quality_rules
 from tonecast.llm.queries import table, tokenizer_file
 from tonecast.session import materialize
 
@@ -48,8 +48,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' token ids and their places in sequences of at most 2048 tokens."""
-    return packing.pack(docs, tokenizer_file(), with_ids=True).select(
-        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids")
+    # rows that carry ids are large, so tasks get few at a time
+    with arrowtext.small_batches(spark):
+        return materialize(packing.pack(docs, tokenizer_file(), with_ids=True).select(
+            "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids"), "packed")
 
 
 STAGES = [("quality_rules", quality), ("near_duplicates", near_duplicates), ("decontamination", benchmark_free),
