@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 SLICE_BYTES = 4 << 20
+BATCH_ROWS = 1_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: A-Z lower-cased; every other ASCII byte that is no letter or digit becomes a space.
 ALNUM = bytes(_LOWER[b] if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -33,6 +36,19 @@ def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text",
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start), pa.concat_arrays([text.slice(start, stop - start)])
             start = stop
+        pa.default_memory_pool().release_unused()
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Send tasks fewer rows at a time while the block runs its jobs; layout only."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def raw_bytes(text: pa.Array) -> tuple[np.ndarray, bytes]:

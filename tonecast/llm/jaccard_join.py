@@ -295,27 +295,24 @@ def _verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str,
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in arrowtext.text_slices(batches, text):
-            found = [(digest(s), s.tobytes()) for s in shingle_sets(texts, sim.words) if len(s)]
+            found = [(digest(s), s.view(np.int64)) for s in shingle_sets(texts, sim.words) if len(s)]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)],
-                                                 ["node", "set"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            linked = []
-            for x, y in zip(t.column("x"), t.column("y"), strict=True):
-                a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                linked.append(sim.whole * both >= sim.part * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
-    whole = source.mapInArrow(sets, "node binary, set binary").dropDuplicates(["node"]).join(named, "node").select("uid", "set")
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()),
+                                                  pa.array([x for _, x in found], pa.list_(pa.int64()))], ["node", "set"])
+    whole = source.mapInArrow(sets, "node binary, set array<long>").dropDuplicates(["node"]).join(named, "node").select("uid", "set")
     one = pairs.join(whole.select(F.col("uid").alias("a"), F.col("set").alias("x")), "a")
     two = one.join(whole.select(F.col("uid").alias("b"), F.col("set").alias("y")), "b")
-    return two.mapInArrow(compare, "a long, b long, linked boolean")
+    counted = two.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("both"))
+    return counted.select("a", "b", (sim.whole * F.col("both") >= sim.part * (F.col("n") - F.col("both"))).alias("linked"))
 
 
 def linked_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim: Similarity = Similarity()) -> DataFrame:
     """One row per document: doc_id, size (distinct shingles), component_id (smallest linked doc_id)."""
+    with arrowtext.small_batches(docs.sparkSession):
+        return _linked_groups(docs, doc_id, text, sim)
+
+
+def _linked_groups(docs: DataFrame, doc_id: str, text: str, sim: Similarity) -> DataFrame:
     profiles = materialize(_profiles(docs, doc_id, text, sim), "profiles")
     firsts = profiles.where("node IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("first"), F.min("uid").alias("uid"))
@@ -333,7 +330,8 @@ def linked_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
             names.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
         more = _scan(again, sim, every=True).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
         more = materialize(more, "more")
-        good = good.union(_verified(more, nodes, docs, doc_id, text, sim).where("linked").select("a", "b"))
+        more = materialize(_verified(more, nodes, docs, doc_id, text, sim), "tested")
+        good = good.union(more.where("linked").select("a", "b"))
         names = components(good)
     named = firsts.join(names.withColumnRenamed("node", "uid"), "uid", "left").withColumn(
         "component", F.coalesce("component", "uid"))
