@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonecast.llm import decontaminate, jaccard_join, langid, licenses, packing, pii_crf, quality_rules, suffix_dedup, url_templates, warc
+from tonecast.llm import (conversation_trie, decontaminate, fill_in_middle, jaccard_join, langid, licenses, packing, pii_crf,
+                          quality_rules, setsketch, suffix_dedup, url_templates, warc)
+from tonecast.llm.shingles import Similarity
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -109,12 +111,89 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         told(F.col("pii_spans")).alias("spans"))
 
 
-@query("op8_jaccard_join")
+def _linked_sql(part: int) -> str:
+    """Components of documents whose sets of 3-word shingles have a Jaccard similarity of ``part`` percent."""
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rn, doc_id, {_LOWER_WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT rn, md5(array_to_string(list_slice(w, k, k + least(3, len(w)) - 1), ' ')) AS g FROM
+  (SELECT rn, w, unnest(range(1, len(w) - least(3, len(w)) + 2)) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT rn, count(*) AS n FROM s GROUP BY rn),
+p AS (SELECT x.rn AS a, y.rn AS b, count(*) AS common FROM s x JOIN s y ON x.g = y.g AND x.rn <> y.rn GROUP BY x.rn, y.rn),
+l AS (SELECT a, b FROM p JOIN n m ON m.rn = a JOIN n o ON o.rn = b WHERE 100 * common >= {part} * (m.n + o.n - common)),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a, min(doc_id) AS least FROM r JOIN d ON d.rn = r.b GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(least(doc_id, c.least), doc_id) AS component_id"""
+
+
+_LINKED_END = " FROM d LEFT JOIN n USING (rn) LEFT JOIN c ON c.a = d.rn"
+_LOWER_WORDS = rf"list_filter(string_split_regex(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+
+@query("op8_jaccard_join", _linked_sql(90) + _LINKED_END)
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = jaccard_join.linked_groups(table(spark, sf_dir, "documents"), sim=jaccard_join.Similarity(3, 90, 100))
+    groups = jaccard_join.linked_groups(table(spark, sf_dir, "documents"), sim=Similarity(3, 90, 100))
     return groups.select("doc_id", F.col("size").alias("n_shingles"), "component_id")
 
 
+@query("op13_setsketch", _linked_sql(85) + ", coalesce(least(doc_id, c.least), doc_id) = doc_id AS kept" + _LINKED_END)
+def op13_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = setsketch.near_duplicates(table(spark, sf_dir, "documents"), sim=Similarity(3, 85, 100))
+    return groups.select("doc_id", F.col("size").alias("n_shingles"), "component_id",
+                         (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+_HEX = ", ".join(f"CAST('0x' || substr(h, {8 * k + 1}, 8) AS BIGINT) AS h{k + 1}" for k in range(4))
+
+
+@query("op11_fill_in_middle", rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS l,
+  sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+k AS (SELECT *, {_HEX} FROM d),
+c AS (SELECT *, least(h1 % (len(l) + 1), h2 % (len(l) + 1)) AS i, greatest(h1 % (len(l) + 1), h2 % (len(l) + 1)) AS j,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+    WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM k),
+o AS (SELECT *, coalesce(array_to_string(list_slice(l, 1, i), ''), '') AS p, coalesce(array_to_string(list_slice(l, i + 1, j), ''), '') AS m,
+  coalesce(array_to_string(list_slice(l, j + 1, len(l)), ''), '') AS s FROM c)
+SELECT doc_id, CAST(len(l) AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END)
+  AS output_sha256, sha256(t) AS restored_sha256 FROM o""")
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.transform(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(fill_in_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+# CRC-32 of a decimal number, bit by bit
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [CAST(0 AS BIGINT) FOR i IN range(8)]),
+    lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295)"""
+
+
+@query("op12_conversation_trie", rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+u AS (SELECT conv_id, turn, md5(length(role) || ':' || role || text) AS code,
+  len(list_filter(string_split_regex(text, '[ 	-]+'), lambda x: x <> '')) AS w FROM t),
+o AS (SELECT conv_id, list(code ORDER BY turn NULLS FIRST, code) AS c, list(w ORDER BY turn NULLS FIRST, code) AS w,
+  {_CRC} % 4 AS h FROM u GROUP BY conv_id),
+r AS (SELECT o.conv_id, list_concat(list_slice(coalesce(b.c, []), 1, o.h), list_slice(o.c, o.h + 1, len(o.c))) AS c,
+  list_concat(list_slice(coalesce(b.w, []), 1, o.h), list_slice(o.w, o.h + 1, len(o.w))) AS w
+  FROM o LEFT JOIN o b ON b.conv_id = o.conv_id - o.conv_id % 20),
+n AS (SELECT conv_id, d, list_slice(c, 1, d) AS p, CASE WHEN d = 0 THEN 0 ELSE w[d] END AS w, d = len(c) AS done FROM
+  (SELECT conv_id, c, w, unnest(range(0, len(c) + 1)) AS d FROM r)),
+g AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w,
+  sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (WHERE done), '')) AS ends_sha256 FROM n GROUP BY p, d),
+k AS (SELECT list_slice(p, 1, d - 1) AS p, count(*) AS n_children FROM g WHERE d > 0 GROUP BY 1),
+f AS (SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN k USING (p)),
+a AS (SELECT list_slice(p, 1, e) AS p, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * w) AS saved_tokens
+  FROM (SELECT p, n_children, n_convs, w, unnest(range(0, d + 1)) AS e FROM f) GROUP BY 1)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM f JOIN a USING (p) LEFT JOIN f q ON f.d > 0 AND q.p = list_slice(f.p, 1, f.d - 1)""")
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.build(table(spark, sf_dir, "conversations"))
+
+
 @query("op9_language_id")
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn(
@@ -151,7 +230,6 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
-_LOWER_WORDS = rf"list_filter(string_split_regex(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 
 @query("op4_suffix_dedup", f"""
@@ -186,7 +264,8 @@ _UNIT_WORDS = _ALNUM_WORDS.replace("coalesce(text, '')", "u")
 WITH d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS text FROM documents),
 u AS (SELECT rn, unnest(string_split(text, chr(10))) AS u FROM d
   UNION ALL SELECT rn, u FROM (SELECT rn, unnest(string_split_regex(text, '
-[ 	-]*
+[ 	-
+]*
 ')) AS u FROM d) WHERE contains(u, chr(10))),
 w AS (SELECT rn, row_number() OVER () AS un, {_UNIT_WORDS} AS w FROM u),
 b AS (SELECT rn, un, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM w WHERE len(w) > 1),
