@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonecast.llm import arrowtext
 from tonecast.llm.components import components
 from tonecast.llm.shingles import Similarity
 from tonecast.operators.scaling import join_hot_keys
@@ -52,6 +53,7 @@ def runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]
             held.append(batch)
     if held:
         yield pa.Table.from_batches(held)
+    arrowtext.release()
 
 
 def cuts(*columns: np.ndarray) -> list[tuple[int, int]]:

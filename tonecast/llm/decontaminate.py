@@ -5,19 +5,22 @@ wavelet ranks. Found places become word spans, which are merged per document. On
 benchmark knows are indexed, since no window reaches beyond them. The benchmark is the stated query set: it is sent to
 the tasks in blocks of a bounded number of characters, one pass over the documents per block.
 
-Edge cases: null and empty texts have no words and no hits; a benchmark item without words is never found; repeated
-rows are judged row by row; without benchmark rows nothing is hit; extra columns pass through, but a column named like
+Edge cases: null and empty texts have no words and no hits; a benchmark item without words is never found; words that only
+items without an id hold are hit, but such items are not among ``hit_items``; items of equal text or id are found together,
+in order of id; a very long text is a shard of its own; repeated rows are judged row by row; without benchmark rows nothing is hit; extra columns pass through, but a column named like
 a result (``n_words``, ``n_hit``, ``hit_items``, ``word_spans``, ``contaminated``) is replaced.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +36,7 @@ RESULTS = ("n_words", "word_spans", "hit_items")
 class Phrases:
     """The windows of a block of items: symbols by length, and the items of each window."""
 
-    def __init__(self, items: list[tuple[int, str]], width: int):
+    def __init__(self, items: list[tuple[int | None, str]], width: int):
         text = pa.array([t or "" for _, t in items], pa.large_string())
         codes, self.vocabulary, counts = arrowtext.word_codes(arrowtext.folded(text, arrowtext.ALNUM))
         owners: dict[int, dict[tuple, set]] = defaultdict(lambda: defaultdict(set))
@@ -43,7 +46,7 @@ class Phrases:
             start += n
             size = min(n, width)
             for i in range(n - size + 1 if n else 0):
-                owners[size][tuple(words[i:i + size])].add(item)
+                owners[size][tuple(words[i:i + size])].update([] if item is None else [item])
         self.groups = [(np.array(list(found), np.int64).reshape(-1, size), [sorted(x) for x in found.values()])
                        for size, found in sorted(owners.items())]
         self.shortest = min(owners, default=0)
@@ -108,11 +111,22 @@ def merged(spans: list[int], more: list[int]) -> list[int]:
     return out
 
 
+_parsed: dict[str, Phrases] = {}
+
+
+def _phrases(name: str, items: Broadcast, width: int) -> Phrases:
+    """The worker's windows of a block; the tasks of a worker parse it once."""
+    if name not in _parsed:
+        _parsed.clear()
+        _parsed[name] = Phrases(items.value, width)
+    return _parsed[name]
+
+
 def _pass(df: DataFrame, column: str, items: list[tuple[int, str]], width: int) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(items)
+    shared, name = df.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = Phrases(shared.value, width)
+        phrases = _phrases(name, shared, width)
         for rows, text in arrowtext.text_slices(batches, column):
             counts, spans, found = search_shard(text, phrases)
             spans = [merged(a, b) if a else b for a, b in zip(rows.column("word_spans").to_pylist(), spans, strict=True)]
@@ -126,7 +140,7 @@ def _pass(df: DataFrame, column: str, items: list[tuple[int, str]], width: int)
 
 def _blocks(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterator[list[tuple[int, str]]]:
     """The benchmark in lists of about ``limit`` characters, one at a time."""
-    rows = benchmark.select(F.col(item).cast("long").alias("i"), F.col(text).alias("t")).where("i IS NOT NULL")
+    rows = benchmark.select(F.col(item).cast("long").alias("i"), F.col(text).alias("t"))
     size = rows.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     parts = int(size // limit) + 1
     for k in range(parts):

@@ -8,19 +8,20 @@ scan. The boundary is the size at which both cost the same, given the mean lengt
 
 Equal sets are one node. Inside a list (cut into blocks, so that no task holds a long one) pairs are tested by size and
 by a parity bitmap, whose differing bits never exceed the symmetric difference; only a spanning forest of the survivors
-is kept, and the sets of its edges are compared in full. Lists in which an edge failed are scanned again for all
-surviving pairs that are not yet connected, so no link between two groups is lost and no group is expanded into pairs.
+is kept. What these forests connect is a group, and inside each group the whole sets are compared (``cells``), so no link
+is lost and no group is expanded into pairs.
 
 Sets are compared by 64-bit hashes of their shingles and are equal when their 128-bit digests are.
 
 Edge cases: null or empty texts and texts without words have size 0 and are linked with nothing; fewer words than a
-shingle make one shingle; repeated rows fall into one group; an empty table gives no row; extra columns are ignored.
+shingle make one shingle; repeated rows fall into one group; a null id counts as the largest, so a group is named by it only
+if no member has an id; of ties the row first read leads; very long texts are one row like any other; an empty table gives
+no row; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonecast.llm import arrowtext
-from tonecast.llm.components import components
+from tonecast.llm.cells import cuts, linked_names, runs
+from tonecast.llm.shingles import Similarity, digest, shingle_sets, whole_sets
 from tonecast.session import materialize
 
 BUCKETS = 1 << 16
@@ -37,47 +39,6 @@ BLOCK = 2048
 SCAN_COST = 0.25  # cost of testing one posting of a list over that of emitting one key
 
 
-@dataclass(frozen=True)
-class Similarity:
-    """Shingles of ``words`` words; linked when whole * intersection >= part * union."""
-    words: int = 5
-    part: int = 80
-    whole: int = 100
-
-    def prefix(self, n: int) -> int:
-        return n - -(-self.part * n // self.whole) + 1
-
-    def slack(self, n, m):
-        """Largest symmetric difference of linked sets of sizes n and m."""
-        both = n + m
-        return both - 2 * -(-self.part * both // (self.whole + self.part))
-
-    def top(self, n):
-        """Largest partner of a set of size n."""
-        return n * self.whole // self.part
-
-
-def shingle_sets(text: pa.Array, words: int) -> Iterator[np.ndarray]:
-    """Per text the sorted distinct hashes of its lower-cased shingles."""
-    codes, dictionary, counts = arrowtext.word_codes(arrowtext.folded(text, arrowtext.LOWER))
-    hashes = arrowtext.word_hashes(dictionary)[codes]
-    windows = arrowtext.window_hashes(hashes, words)
-    start = 0
-    for n in counts.tolist():
-        if n >= words:
-            yield np.unique(windows[start:start + n - words + 1])
-        elif n:
-            yield arrowtext.window_hashes(hashes[start:start + n], n) ^ np.uint64(n)
-        else:
-            yield np.zeros(0, np.uint64)
-        start += n
-
-
-def digest(shingles: np.ndarray) -> bytes | None:
-    import xxhash
-    return xxhash.xxh3_128_digest(shingles.astype("<u8").tobytes()) if len(shingles) else None
-
-
 def bitmap(shingles: np.ndarray) -> bytes:
     """Parities of hash buckets, two to four buckets per shingle."""
     width = max(64, 1 << (2 * len(shingles) - 1).bit_length())
@@ -151,34 +112,10 @@ def _profiles(docs: DataFrame, doc_id: str, text: str, sim: Similarity) -> DataF
                 keys.append(keys_of(s, rank, light, sim).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0), pa.array(uid + np.arange(len(size))), pa.array(size, pa.int64()), pa.array(node, pa.binary()), pa.array(bits, pa.binary()),
-                 pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "uid", "size", "node", "bits", "keys"])
+                 pa.array(keys, pa.list_(pa.int64())), rows.column(2)], ["doc_id", "uid", "size", "node", "bits", "keys", "text_hash"])
             uid += len(size)
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias(text))
-    return source.mapInArrow(run, "doc_id long, uid long, size long, node binary, bits binary, keys array<long>")
-
-
-def _runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
-    """Consecutive rows, cut so that rows of equal ``by`` stay together."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        change = np.zeros(batch.num_rows - 1, bool)
-        for name in by:
-            v = batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
-            change |= v[1:] != v[:-1]
-        if held and any(held[-1].column(held[-1].schema.get_field_index(n))[-1].as_py()
-                        != batch.column(batch.schema.get_field_index(n))[0].as_py() for n in by):
-            yield pa.Table.from_batches(held)
-            held = []
-        at = np.flatnonzero(change)
-        if len(at):
-            yield pa.Table.from_batches([*held, batch.slice(0, int(at[-1]) + 1)])
-            held = [batch.slice(int(at[-1]) + 1)]
-        else:
-            held.append(batch)
-    if held:
-        yield pa.Table.from_batches(held)
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias(text), F.xxhash64(text).alias("text_hash"))
+    return source.mapInArrow(run, "doc_id long, uid long, size long, node binary, bits binary, keys array<long>, text_hash long")
 
 
 def _shared_keys(postings: DataFrame, sim: Similarity) -> DataFrame:
@@ -222,120 +159,93 @@ def _fold(bits: int, width: int, to: int) -> int:
     return bits
 
 
-def survivors(size: np.ndarray, bits: list[bytes], block: np.ndarray, sim: Similarity) -> Iterator[tuple[int, np.ndarray]]:
-    """For each member the later ones (by size) that size and bitmap let pass; only pairs across two blocks, if two."""
-    order = np.argsort(size, kind="stable")
-    n, widths = size[order], np.array([len(bits[i]) * 8 for i in order])
-    limit = np.searchsorted(n, sim.top(n), side="right")
-    across = len(np.unique(block)) > 1
-    packed: dict[int, np.ndarray] = {}
-    for w in np.unique(widths).tolist():
-        rows = [_fold(int.from_bytes(bits[i], "little"), len(bits[i]) * 8, w).to_bytes(w // 8, "little")
-                if len(bits[i]) * 8 >= w else bytes(w // 8) for i in order]
-        packed[w] = np.frombuffer(b"".join(rows), np.uint64).reshape(len(rows), -1)
-    for k in range(len(order) - 1):
-        stop = int(limit[k])
-        if stop <= k + 1:
-            continue
-        m = packed[int(widths[k])]
-        differ = np.bitwise_count(m[k + 1:stop] ^ m[k]).sum(axis=1, dtype=np.int64)
-        ok = differ <= sim.slack(n[k], n[k + 1:stop])
-        if across:
-            ok &= block[order[k + 1:stop]] != block[order[k]]
-        if ok.any():
-            yield int(order[k]), order[k + 1:stop][ok]
+class Bitmaps:
+    """Bitmaps of the members of a list, in ascending order of size, folded to each width in use."""
+
+    def __init__(self, size: np.ndarray, bits: list[bytes], sim: Similarity):
+        self.size, self.sim = size, sim
+        self.width = np.array([len(b) * 8 for b in bits])
+        self.packed: dict[int, np.ndarray] = {}
+        for w in np.unique(self.width).tolist():
+            rows = [_fold(int.from_bytes(b, "little"), len(b) * 8, w).to_bytes(w // 8, "little") if len(b) * 8 >= w
+                    else bytes(w // 8) for b in bits]
+            self.packed[w] = np.frombuffer(b"".join(rows), np.uint64).reshape(len(rows), -1)
+
+    def __call__(self, k: int, js: np.ndarray) -> np.ndarray:
+        """Which of the larger members js differ from k by no more than linked sets may."""
+        m = self.packed[int(self.width[k])]
+        differ = np.bitwise_count(m[js] ^ m[k]).sum(axis=1, dtype=np.int64)
+        return differ <= self.sim.slack(self.size[k], self.size[js])
 
 
-def _scan(lists: DataFrame, sim: Similarity, every: bool) -> DataFrame:
-    """Edges (key, a, b): a spanning forest of the survivors of each list, or all across groups (``every``)."""
-    columns = ["key", "low", "high", "uid", "size", "bits", "block", *(["component"] if every else [])]
+def candidates(size: np.ndarray, block: np.ndarray, test: Bitmaps, sim: Similarity) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the pairs that size and bitmap let pass; only pairs across two blocks, if two."""
+    label, limit = np.arange(len(size)), np.searchsorted(size, sim.top(size), side="right")
+    across = len(np.unique(block)) > 1
+    for k in range(len(size) - 1):
+        js = np.arange(k + 1, int(limit[k]))
+        open_ = label[js] != label[k]
+        if across:
+            open_ &= block[js] != block[k]
+        js = js[open_]
+        if len(js):
+            js = js[test(k, js)]
+        if len(js):
+            others, first = np.unique(label[js], return_index=True)
+            yield from ((k, int(js[i])) for i in first)
+            label[np.isin(label, others)] = label[k]
+
+
+def _scan(lists: DataFrame, sim: Similarity) -> DataFrame:
+    """Edges (a, b): a spanning forest of the pairs of each list that pass the test."""
+    columns = ["key", "low", "high", "uid", "size", "bits", "block"]
     dealt = lists.select(*columns).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _runs(batches, ["key", "low", "high"]):
-            key, low, high = (t.column(c).to_numpy() for c in ("key", "low", "high"))
-            uid, bits = t.column("uid").to_pylist(), t.column("bits").to_pylist()
+        for t in runs(batches, ["key", "low", "high"]):
+            ends = cuts(*(t.column(c).to_numpy() for c in ("key", "low", "high")))
+            uid, bits = t.column("uid").to_numpy(), t.column("bits").to_pylist()
             size, block = t.column("size").to_numpy(), t.column("block").to_numpy()
-            group = t.column("component").to_pylist() if every else uid
-            cuts = np.flatnonzero((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
             edges: list[tuple] = []
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
+            for a, b in ends:
                 if b - a < 2:
                     continue
-                root = list(range(b - a))
-
-                def top(x, root=root):
-                    while root[x] != x:
-                        root[x] = x = root[root[x]]
-                    return x
-                for i, js in survivors(size[a:b], bits[a:b], block[a:b], sim):
-                    for j in js.tolist():
-                        if every:
-                            joins = group[a + i] != group[a + j]
-                        else:
-                            x, y = top(i), top(j)
-                            joins = x != y
-                            root[y] = x
-                        if joins:
-                            edges.append((int(key[a]), *sorted((uid[a + i], uid[a + j]))))
+                order = a + np.argsort(size[a:b], kind="stable")
+                test = Bitmaps(size[order], [bits[i] for i in order], sim)
+                own = uid[order].tolist()
+                edges += [(min(own[i], own[j]), max(own[i], own[j]))
+                          for i, j in candidates(size[order], block[order], test, sim)]
             if edges:
-                k, x, y = zip(*edges, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (k, x, y)], ["key", "a", "b"])
-    return dealt.mapInArrow(run, "key long, a long, b long")
-
-
-def _verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, text: str, sim: Similarity) -> DataFrame:
-    """The distinct pairs of ``edges`` with ``linked``, told by their whole sets."""
-    pairs = edges.select("a", "b").distinct()
-    wanted = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
-    named = nodes.select("uid", "node", "first").join(wanted, "uid", "left_semi")
-    ids = named.select("first").distinct()
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias(text))
-    source = source.join(ids, source["doc_id"].eqNullSafe(ids["first"]), "left_semi")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in arrowtext.text_slices(batches, text):
-            found = [(digest(s), s.view(np.int64)) for s in shingle_sets(texts, sim.words) if len(s)]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()),
-                                                  pa.array([x for _, x in found], pa.list_(pa.int64()))], ["node", "set"])
-    whole = source.mapInArrow(sets, "node binary, set array<long>").dropDuplicates(["node"]).join(named, "node").select("uid", "set")
-    one = pairs.join(whole.select(F.col("uid").alias("a"), F.col("set").alias("x")), "a")
-    two = one.join(whole.select(F.col("uid").alias("b"), F.col("set").alias("y")), "b")
-    counted = two.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("both"))
-    return counted.select("a", "b", (sim.whole * F.col("both") >= sim.part * (F.col("n") - F.col("both"))).alias("linked"))
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*set(edges), strict=True)], ["a", "b"])
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def linked_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim: Similarity = Similarity()) -> DataFrame:
-    """One row per document: doc_id, size (distinct shingles), component_id (smallest linked doc_id)."""
+    """One row per document: doc_id, size (distinct shingles), component_id (smallest linked doc_id), text_hash (Spark's
+    xxhash64 of the text) and leads (true for one row of each component, of the smallest id; for every row of size 0)."""
     with arrowtext.small_batches(docs.sparkSession):
         return _linked_groups(docs, doc_id, text, sim)
 
 
 def _linked_groups(docs: DataFrame, doc_id: str, text: str, sim: Similarity) -> DataFrame:
     profiles = materialize(_profiles(docs, doc_id, text, sim), "profiles")
-    firsts = profiles.where("node IS NOT NULL").groupBy("node").agg(
-        F.min("doc_id").alias("first"), F.min("uid").alias("uid"))
+    least = F.min_by(F.struct("doc_id", "uid"), F.struct(F.col("doc_id").isNull(), "doc_id", "uid"))
+    firsts = profiles.where("node IS NOT NULL").groupBy("node").agg(least.alias("f")).select("node", "f.doc_id", "f.uid")
+    firsts = firsts.withColumnRenamed("doc_id", "first")
     nodes = materialize(profiles.drop("node", "keys").join(firsts, "uid").select("uid", "node", "first", "size", "bits"), "nodes")
     postings = profiles.select("uid", "size", "keys").join(firsts.select("uid"), "uid", "left_semi").select(
         F.explode("keys").alias("key"), "uid", F.col("size").cast("int").alias("size"))
     postings = materialize(_shared_keys(postings, sim), "postings")
-    edges = materialize(_scan(_blocks(postings, nodes), sim, every=False), "forest")
-    tested = materialize(_verified(edges, nodes, docs, doc_id, text, sim), "tested")
-    good = tested.where("linked").select("a", "b")
-    names = components(good)
-    failed = materialize(edges.join(tested.where("NOT linked"), ["a", "b"], "left_semi").select("key").distinct(), "failed")
-    if not failed.isEmpty():
-        again = _blocks(postings.join(failed, "key", "left_semi"), nodes).join(
-            names.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
-        more = _scan(again, sim, every=True).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        more = materialize(more, "more")
-        more = materialize(_verified(more, nodes, docs, doc_id, text, sim), "tested")
-        good = good.union(more.where("linked").select("a", "b"))
-        names = components(good)
-    named = firsts.join(names.withColumnRenamed("node", "uid"), "uid", "left").withColumn(
+    edges = _scan(_blocks(postings, nodes), sim)
+    names = linked_names(edges, nodes.withColumnRenamed("bits", "mark"),
+                         lambda wanted: whole_sets(docs, wanted, doc_id, text, sim), sim,
+                         lambda size, bits: Bitmaps(size, bits, sim))
+    named = nodes.select("uid", "node", "first").join(names.withColumnRenamed("node", "uid"), "uid", "left").withColumn(
         "component", F.coalesce("component", "uid"))
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    of_node = named.join(least, "component").select("node", "component_id")
-    return profiles.select("doc_id", "size", "node").join(of_node, "node", "left").select(
-        "doc_id", "size", F.coalesce("component_id", "doc_id").alias("component_id"))
+    lead = F.min_by(F.struct("first", "uid"), F.struct(F.col("first").isNull(), "first", "uid"))
+    leads = named.groupBy("component").agg(lead.alias("lead"))
+    of_node = named.join(leads, "component").select("node", F.col("lead.first").alias("component_id"),
+                                                    F.col("lead.uid").alias("lead"))
+    return profiles.select("doc_id", "uid", "size", "node", "text_hash").join(of_node, "node", "left").select(
+        "doc_id", "size", F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash",
+        F.coalesce(F.col("lead") == F.col("uid"), F.lit(True)).alias("leads"))

@@ -7,7 +7,8 @@ of its length. Ranks are a running number inside the task that cut the piece plu
 length gathers in one place.
 
 Edge cases: a null text is empty; an empty text still has its end id and is a piece of length 1; longer documents
-are cut; repeated rows are packed row by row; an empty table gives no piece; extra columns are ignored but for ``keep``.
+are cut and a text of any length is a slice of its own; pieces of equal length follow in the order of their task and rows;
+repeated rows are packed row by row; an empty table gives no piece; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -41,24 +43,29 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: st
               + ", ids array<int>" * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, turns = TaskContext.get().partitionId(), Counter()
+        task, turns = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        names = [x.split()[0] for x in schema.split(", ")]
         for rows, texts in arrowtext.text_slices(batches, text):
             ids, counts = coder(tokenizer).encode(texts)
-            out: list[tuple] = []
-            start = 0
-            for key, n in zip(rows.column(doc_id).to_pylist(), counts.tolist(), strict=True):
-                own = np.append(ids[start:start + n], np.uint32(END_ID)).astype("<u4")
-                start += n
-                for k in range(0, n + 1, capacity):
-                    part = own[k:k + capacity]
-                    out.append((key, k // capacity, k, len(part), zlib.crc32(part.tobytes()), task, turns[len(part)],
-                                *([part.astype(np.int32)] if with_ids else [])))
-                    turns[len(part)] += 1
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(),
-                     *([pa.list_(pa.int32())] if with_ids else [])]
-            names = [x.split()[0] for x in schema.split(", ")]
+            flat = np.insert(ids, np.cumsum(counts), np.uint32(END_ID)).astype("<u4")
+            sizes = counts + 1
+            cuts = -(-sizes // capacity)
+            owner = np.repeat(np.arange(len(sizes)), cuts)
+            piece = np.arange(len(owner)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+            length = np.minimum(capacity, sizes[owner] - piece * capacity)
+            first = np.cumsum(length) - length
+            raw = memoryview(flat.tobytes())
+            crc = [zlib.crc32(raw[4 * a:4 * (a + n)]) for a, n in zip(first.tolist(), length.tolist(), strict=True)]
+            order = np.argsort(length, kind="stable")
+            run_length = np.bincount(length, minlength=capacity + 1)
+            turn = np.empty(len(length), np.int64)
+            turn[order] = np.arange(len(length)) - np.repeat(np.cumsum(run_length) - run_length, run_length)
+            turn += turns[length]
+            turns += run_length
+            lists = [pa.ListArray.from_arrays(np.append(first, len(flat)).astype(np.int32), flat.view("<i4"))] if with_ids else []
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                [rows.column(0).take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(piece * capacity), pa.array(length),
+                 pa.array(crc, pa.int64()), pa.array(np.full(len(owner), task, np.int32)), pa.array(turn), *lists], names)
     return docs.select(F.col(doc_id).cast("long").alias(doc_id), text).mapInArrow(run, schema)
 
 
@@ -71,6 +78,10 @@ class Stock:
         for length, n in counts.items():
             self.left[length] = n
         self.patterns: list[tuple[tuple[int, ...], int]] = []
+        # indexes by sum: where the search for a pair, and for the first of three, goes on
+        self.pair_from: dict[int, int] = {}
+        self.triple_from: dict[int, int] = {}
+        self.aside: set[int] = set()
 
     def take(self, lengths: tuple[int, ...]) -> bool:
         """Use a combination as often as the stock allows; False if it does not allow it once."""
@@ -82,25 +93,46 @@ class Stock:
             self.patterns.append((lengths, times))
         return times > 0
 
-    def complements(self, gap: int) -> Iterator[tuple[int, ...]]:
-        """Combinations of one, two, then three lengths in stock with the sum ``gap``, largest first."""
-        have = self.left > 0
-        if gap >= 1 and have[gap]:
-            yield (gap,)
-        pair = np.flatnonzero(have[:gap] & have[gap:0:-1]) if gap > 1 else np.zeros(0, int)
-        for b in pair[pair * 2 >= gap][::-1].tolist():
-            yield (b, gap - b)
-        if gap < 3:
-            return
-        small = have[:gap].astype(np.float64)
-        size = 1 << (2 * gap).bit_length()
-        sums = np.fft.irfft(np.fft.rfft(small, size) ** 2, size)[:gap] > 0.5
-        first = np.arange(1, gap - 1)
-        for b in first[have[first] & sums[gap - first]][::-1].tolist():
-            rest = gap - b
-            c = np.flatnonzero(have[:rest] & have[rest:0:-1])
-            for x in c[(c * 2 >= rest) & (c <= b)][::-1].tolist():
-                yield (b, x, rest - x)
+    @contextmanager
+    def without(self, length: int) -> Iterator[None]:
+        """One piece is set aside while its complements are looked up."""
+        before = set(self.aside)
+        self.left[length] -= 1
+        self.aside.add(length)
+        yield
+        self.left[length] += 1
+        self.aside = before
+
+    def _pair(self, total: int, most: int) -> tuple[int, int] | None:
+        """The pair of lengths in stock of the given sum whose larger one is largest, and at most ``most``.
+
+        Stock only shrinks, so a pair that fails is not looked at again, unless it failed for a piece set aside.
+        """
+        big = min(self.pair_from.get(total, total - 1), total - 1)
+        small = min(big, most)
+        while 2 * small >= total:
+            rest = total - small
+            if self.left[small] > (small == rest) and self.left[rest]:
+                return small, rest
+            if small == big and not self.aside & {small, rest}:
+                big = self.pair_from[total] = big - 1
+            small -= 1
+        return None
+
+    def complement(self, gap: int) -> tuple[int, ...] | None:
+        """One, two or three lengths in stock with the sum ``gap``, the first ones as large as can be."""
+        if gap >= 1 and self.left[gap]:
+            return (gap,)
+        if pair := self._pair(gap, gap):
+            return pair
+        while 3 * (first := self.triple_from.get(gap, gap - 2)) >= gap and first > 0:
+            if self.left[first]:
+                with self.without(first):
+                    pair = self._pair(gap - first, first)
+                if pair:
+                    return (first, *pair)
+            self.triple_from[gap] = first - 1
+        return None
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
@@ -112,9 +144,8 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
             if length == capacity:
                 going = stock.take((length,))
                 continue
-            stock.left[length] -= 1  # one is set aside while its complements are looked up
-            found = next((c for c in stock.complements(capacity - length) if _fits(stock, c)), None)
-            stock.left[length] += 1
+            with stock.without(length):
+                found = stock.complement(capacity - length)
             going = found is not None and stock.take((length, *found))
     # best fit of the rest, longest first, on groups of equal sequences by their gap
     gaps: dict[int, Counter] = defaultdict(Counter)
@@ -140,10 +171,6 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
     return stock.patterns + [(p, n) for groups in gaps.values() for p, n in groups.items()]
 
 
-def _fits(stock: Stock, lengths: tuple[int, ...]) -> bool:
-    return all(stock.left[x] >= k for x, k in Counter(lengths).items())
-
-
 def places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
     """Per length rows (first rank, first sequence, pieces per sequence, offset), in order of rank."""
     ranks, rows, sequence = Counter(), defaultdict(list), 0

@@ -27,7 +27,8 @@ from tonecast.llm import arrowtext
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS, SAMPLE_CHARS = 20_000, 50_000  # bounds of the training sample: documents, characters of each
-DIM, ROUNDS, AGREE = 512, 12, 4.0
+DIM, AGREE = 512, 4.0
+TOLERANCE, SETTLE = 1e-3, 100  # messages are damped more and more after SETTLE rounds, so they always come to rest
 SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
 SPAN_SQL = "array<struct<kind: string, start: int, end: int, base: boolean>>"
 
@@ -62,7 +63,7 @@ def base_spans(text: str) -> list[Span]:
             done = found.end()
         at = text.find("@", max(at + 1, done))
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
             out.append(("ip", m.start(), m.end()))
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -84,7 +85,11 @@ class Graph:
     features: np.ndarray  # nodes x features, indices into the weights
     label: np.ndarray
     chain: np.ndarray  # edges x 2
-    skip: np.ndarray
+    tie: np.ndarray  # (node, hub) x 2
+
+    @property
+    def hubs(self) -> int:
+        return int(self.tie[:, 1].max()) + 1 if len(self.tie) else 0
 
 
 _SHAPE = str.maketrans({**{str(d): "0" for d in range(10)},
@@ -113,12 +118,12 @@ def _keys(word: str) -> list[str]:
 
 
 def build_graph(texts: list[str], bases: list[list[Span]]) -> Graph:
-    row, start, end, features, label, chain, skip = [], [], [], [], [], [], []
+    row, start, end, features, label, chain, tie, hubs = [], [], [], [], [], [], [], 0
     for r, text in enumerate(texts):
         if not _HINT.search(text):
             continue
         words = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(text)]
-        spans, last, at = sorted((s, e, KINDS.index(k) + 1) for k, s, e in bases[r]), {}, 0
+        spans, forms, at = sorted((s, e, KINDS.index(k) + 1) for k, s, e in bases[r]), {}, 0
         previous = -2
         for i, (s, e, word) in enumerate(words):
             if not _HINT.search(word):
@@ -133,14 +138,15 @@ def build_graph(texts: list[str], bases: list[list[Span]]) -> Graph:
                 chain.append((node - 1, node))
             previous = i
             for key in _keys(word):
-                # each node is tied to the one before it with the same form: few edges, however often it repeats
-                if key in last and last[key] != node:
-                    skip.append((last[key], node))
-                last[key] = node
+                forms.setdefault(key, []).append(node)
+        # forms of the same nodes have one hub
+        for nodes in {tuple(x) for x in forms.values() if len(x) > 1}:
+            tie += [(node, hubs) for node in nodes]
+            hubs += 1
     whole = lambda x, shape: np.array(x, np.int64).reshape(shape)
     return Graph(whole(row, -1), whole(start, -1), whole(end, -1), whole(features, (len(row), -1)) if row else
-                 np.zeros((0, 8), np.int64), whole(label, -1), np.unique(whole(chain, (-1, 2)), axis=0),
-                 np.unique(whole(skip, (-1, 2)), axis=0))
+                 np.zeros((0, 8), np.int64), whole(label, -1), whole(chain, (-1, 2)),
+                 whole(tie, (-1, 2)))
 
 
 @dataclass
@@ -163,12 +169,23 @@ def _around(edges: np.ndarray, label: np.ndarray) -> np.ndarray:
     return out
 
 
+def _tied(graph: Graph) -> np.ndarray:
+    """For each node the mean labels of the other nodes of each of its hubs, added up."""
+    node, hub = graph.tie.T
+    truth = np.eye(len(KINDS) + 1)[graph.label]
+    counts = np.zeros((graph.hubs, truth.shape[1]))
+    np.add.at(counts, hub, truth[node])
+    out = np.zeros_like(truth)
+    np.add.at(out, node, (counts[hub] - truth[node]) / (counts[hub].sum(axis=1, keepdims=True) - 1))
+    return out
+
+
 def fit(graph: Graph, steps: int = 300, rate: float = 0.5, decay: float = 1e-4) -> Model | None:
     """Maximise the pseudo-likelihood by gradient steps with per-weight rates."""
     n, labels = len(graph.label), len(KINDS) + 1
     if n == 0 or not graph.label.any():
         return None
-    near, far = _around(graph.chain, graph.label), _around(graph.skip, graph.label)
+    near, far = _around(graph.chain, graph.label), _tied(graph)
     # where the sample says nothing, tied words agree
     prior = [np.zeros((DIM, labels)), np.zeros((labels, labels)), AGREE * np.eye(labels)]
     w = [x.copy() for x in prior]
@@ -187,28 +204,37 @@ def fit(graph: Graph, steps: int = 300, rate: float = 0.5, decay: float = 1e-4)
     return Model(*w)
 
 
-def marginals(model: Model, graph: Graph, rounds: int = ROUNDS) -> np.ndarray:
+def marginals(model: Model, graph: Graph, tolerance: float = TOLERANCE) -> np.ndarray:
     """Label probabilities of every node by damped loopy sum-product; pattern matches are evidence."""
-    unary = model.unary[graph.features].sum(axis=1)
+    n = len(graph.label)
+    unary = np.concatenate((model.unary[graph.features].sum(axis=1), np.zeros((graph.hubs, model.unary.shape[1]))))
+    # repeats of a form say the same again, so together they say it once; a pattern match is told in full
+    repeats = np.ones(len(unary))
+    np.maximum.at(repeats, graph.tie[:, 0], np.bincount(graph.tie[:, 1], minlength=graph.hubs)[graph.tie[:, 1]])
+    unary /= repeats[:, None]
     matched = np.flatnonzero(graph.label)
     unary[matched, graph.label[matched]] += 10.0
     both = lambda e: np.concatenate((e, e[:, ::-1]))
-    source, target = np.concatenate((both(graph.chain), both(graph.skip))).T
-    c, s = len(graph.chain), len(graph.skip)
+    source, target = np.concatenate((both(graph.chain), both(graph.tie + [0, n]))).T
+    c, s = len(graph.chain), len(graph.tie)
     back = np.concatenate((np.arange(c) + c, np.arange(c), 2 * c + s + np.arange(s), 2 * c + np.arange(s)))
-    pair = np.concatenate((np.repeat(model.chain[None], 2 * c, 0), np.repeat(model.skip[None], 2 * s, 0)))
-    message = np.zeros((len(source), unary.shape[1]))
-    for _ in range(rounds if len(source) else 0):
+    # over a hub two potentials follow each other and lose a factor of two; with it a tie passes on what an edge would
+    tied = model.skip + np.log(2) * np.eye(len(model.skip))
+    pair = np.concatenate((np.repeat(model.chain[None], 2 * c, 0), np.repeat(tied[None], 2 * s, 0)))
+    message, step, change, rounds = np.zeros((len(source), unary.shape[1])), 0.5, np.inf, 0
+    while len(source) and step * change > tolerance:
         belief = unary.copy()
         np.add.at(belief, target, message)
         out = (belief[source] - message[back])[:, :, None] + pair
         top = out.max(axis=1, keepdims=True)
         new = np.log(np.exp(out - top).sum(axis=1)) + top[:, 0]
         new -= new.max(axis=1, keepdims=True)
-        message = 0.5 * message + 0.5 * new
+        change, rounds = float(np.abs(new - message).max()), rounds + 1
+        step *= 1.0 if rounds < SETTLE else 0.9
+        message += step * (new - message)
     belief = unary
     np.add.at(belief, target, message)
-    return _softmax(belief) if len(belief) else belief
+    return _softmax(belief[:n]) if n else belief[:n]
 
 
 _EDGE = re.compile(r"^[^A-Za-z0-9+(]+|[^A-Za-z0-9]+$")
@@ -255,28 +281,33 @@ def masked(text: str, spans: list[tuple[str, int, int, bool]]) -> str:
 
 
 def train(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model | None:
-    """Fit on documents picked by a hash of their text, ``sample_docs`` of the table in expectation."""
+    """Fit on documents picked by a hash of their text, at most ``sample_docs`` of the table in expectation, each text once."""
     share = min(1.0, sample_docs / max(1, docs.count()))
-    key = F.pmod(F.xxhash64(F.lit(17), F.col(text)), F.lit(1 << 20))
-    picked = docs.select(text).where((key < int(share * (1 << 20)) + 1) & F.col(text).rlike("[0-9@]")
-                                     & (F.length(text) <= sample_chars)).limit(2 * sample_docs)
+    hashed = F.xxhash64(F.lit(17), F.col(text))
+    picked = docs.select(text, hashed.alias("_hash")).where(
+        (F.pmod("_hash", F.lit(1 << 20)) < int(share * (1 << 20)) + 1) & F.col(text).rlike("[0-9@]")
+        & (F.length(text) <= sample_chars)).dropDuplicates(["_hash"]).select(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in arrowtext.text_slices(batches, text):
             found = texts.to_pylist()
             g = build_graph(found, [base_spans(t) for t in found])
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (g.features, g.label, g.chain, g.skip)],
-                                             ["features", "label", "chain", "skip"])
-    parts = picked.mapInArrow(run, "features binary, label binary, chain binary, skip binary").collect()
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (g.features, g.label, g.chain, g.tie)],
+                                             ["features", "label", "chain", "tie"])
+    parts = picked.mapInArrow(run, "features binary, label binary, chain binary, tie binary").collect()
     read = lambda b, shape: np.frombuffer(bytes(b), np.int64).reshape(shape)
-    parts = sorted((bytes(p.features), bytes(p.label), bytes(p.chain), bytes(p.skip)) for p in parts if p.label)
+    parts = sorted((bytes(p.features), bytes(p.label), bytes(p.chain), bytes(p.tie)) for p in parts if p.label)
     if not parts:
         return None
-    base = np.cumsum([0, *(len(p[1]) // 8 for p in parts)])
-    features = np.concatenate([read(p[0], (len(p[1]) // 8, -1)) for p in parts])
-    joined = [np.concatenate([read(p[k], (-1, 2)) + b for p, b in zip(parts, base, strict=False)]) for k in (2, 3)]
-    label, none = np.concatenate([read(p[1], -1) for p in parts]), np.zeros(len(features), np.int64)
-    return fit(Graph(none, none, none, features, label, *joined))
+    graphs, node, hub = [], 0, 0
+    for features, label, chain, tie in parts:
+        own = Graph(*[np.zeros(0)] * 3, read(features, (len(label) // 8, -1)), read(label, -1), read(chain, (-1, 2)) + node,
+                    read(tie, (-1, 2)) + [node, hub])
+        graphs.append(own)
+        node += len(own.label)
+        hub = max(hub, own.hubs)
+    joined = [np.concatenate([getattr(g, name) for g in graphs]) for name in ("features", "label", "chain", "tie")]
+    return fit(Graph(*[np.zeros(0)] * 3, *joined))
 
 
 def find(docs: DataFrame, text: str = "text", model: Model | None = None, certain: float = 0.9,

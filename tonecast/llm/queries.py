@@ -70,7 +70,7 @@ dw AS (SELECT rn, size, k, array_to_string(list_slice(w, k, k + size - 1), ' ')
   (SELECT rn, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM d, (SELECT DISTINCT size FROM iw) WHERE len(w) >= size)),
 h AS (SELECT rn, size, k, item_id FROM dw JOIN iw USING (size, g)),
 hw AS (SELECT rn, count(DISTINCT p) AS n_hit FROM (SELECT rn, unnest(range(k, k + size)) AS p FROM h) GROUP BY rn),
-hi AS (SELECT rn, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM
+hi AS (SELECT rn, count(s) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM
   (SELECT DISTINCT rn, CAST(item_id AS VARCHAR) AS s FROM h) GROUP BY rn)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
@@ -173,7 +173,8 @@ _CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(C
 @query("op12_conversation_trie", rf"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 u AS (SELECT conv_id, turn, md5(length(role) || ':' || role || text) AS code,
-  len(list_filter(string_split_regex(text, '[ 	-]+'), lambda x: x <> '')) AS w FROM t),
+  len(list_filter(string_split_regex(text, '[ 	-
+]+'), lambda x: x <> '')) AS w FROM t),
 o AS (SELECT conv_id, list(code ORDER BY turn NULLS FIRST, code) AS c, list(w ORDER BY turn NULLS FIRST, code) AS w,
   {_CRC} % 4 AS h FROM u GROUP BY conv_id),
 r AS (SELECT o.conv_id, list_concat(list_slice(coalesce(b.c, []), 1, o.h), list_slice(o.c, o.h + 1, len(o.c))) AS c,

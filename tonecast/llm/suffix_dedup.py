@@ -11,8 +11,9 @@ the spans are exactly the words that lie in a run of ``passage`` words of anothe
 Words are lower-cased (A-Z) and compared by 64-bit hashes. Texts that are equal word by word are one text: it is
 searched once and its documents share the spans; held by several documents it is a repeated passage as a whole.
 
-Edge cases: null, empty and short texts have no spans; repeated rows are copies of each other; an empty table gives no
-row; extra columns are ignored.
+Edge cases: null, empty and short texts have no spans; repeated rows are copies of each other, and rows that share an id or
+have none are told apart by their texts; very long texts are one row like any other; an empty table gives no row; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -71,15 +72,17 @@ def _heads(docs: DataFrame, passage: int, window: int) -> DataFrame:
                 name.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
                 heads.append(np.unique(_suffixes(h, passage, window)[1]))
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(uid + np.arange(len(many))), pa.array(many, pa.int64()), pa.array(name, pa.binary()),
-                 pa.array(heads, pa.list_(pa.int64()))], ["doc_id", "uid", "n_words", "words", "heads"])
+                [rows.column(0), rows.column(2), pa.array(uid + np.arange(len(many))), pa.array(many, pa.int64()),
+                 pa.array(name, pa.binary()), pa.array(heads, pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "uid", "n_words", "words", "heads"])
             uid += len(many)
-    return docs.mapInArrow(run, "doc_id long, uid long, n_words long, words binary, heads array<long>")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, uid long, n_words long, words binary, heads array<long>")
 
 
 def _extended(docs: DataFrame, found: DataFrame, passage: int, window: int) -> DataFrame:
     """Runs of ``passage`` words that start up to ``window - 1`` words before a found suffix: hash, uid, start."""
-    source = docs.join(found, docs["doc_id"].eqNullSafe(found["id"]), "inner").select("text", "uid", "words", "heads")
+    same = docs["doc_id"].eqNullSafe(found["id"]) & (docs["text_hash"] == found["found_hash"])
+    source = docs.join(found, same, "inner").select("text", "uid", "words", "heads")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -88,7 +91,7 @@ def _extended(docs: DataFrame, found: DataFrame, passage: int, window: int) -> D
             out = []
             for k, h in enumerate(_hashed(texts)):
                 if xxhash.xxh3_128_digest(h.tobytes()) != names[k]:
-                    continue  # another text of the same doc_id
+                    continue  # another text of the same id and hash
                 at, own = _suffixes(h, passage, window)
                 at = at[np.isin(own, rows.column(3)[k].values.to_numpy())]
                 starts = np.unique(at[:, None] - np.arange(window))
@@ -122,13 +125,13 @@ def _spans(starts: DataFrame, passage: int) -> DataFrame:
 def repeated_passages(docs: DataFrame, passage: int = PASSAGE, window: int = WINDOW, doc_id: str = "doc_id",
                       text: str = "text") -> DataFrame:
     """Documents with repeated passages: doc_id, n_words, n_copies (documents of the same words) and spans in words."""
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
     whole = materialize(_heads(source, passage, window), "suffixes").where(F.col("n_words") >= passage)
     texts = materialize(whole.groupBy("words").agg(F.min("uid").alias("uid"), F.count("*").alias("n_copies")), "texts")
-    single = whole.drop("words").join(texts, "uid")
+    single = whole.select("uid", "heads").join(texts, "uid")
     suffixes = single.select(F.explode("heads").alias("head"), "uid")
     shared = of_several(suffixes, "head", "uid").groupBy("uid").agg(F.collect_list("head").alias("heads"))
-    found = shared.join(whole.select("uid", F.col("doc_id").alias("id"), "words"), "uid")
+    found = shared.join(whole.select("uid", F.col("doc_id").alias("id"), F.col("text_hash").alias("found_hash"), "words"), "uid")
     starts = of_several(materialize(_extended(source, found, passage, window), "extended"), "hash", "uid")
     spans = texts.join(_spans(starts, passage), "uid", "left").where("n_copies > 1 OR spans IS NOT NULL")
     out = whole.select("doc_id", "n_words", "words").join(spans.select("words", "n_copies", "spans"), "words")

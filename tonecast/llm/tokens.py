@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -19,16 +19,52 @@ _WORDWISE = {
         {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
          "behavior": "Removed", "invert": True},
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
-#: Words of these characters split into runs of letters, single digits and runs of marks, whatever stands around them.
-_MARKS = re.escape("".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'<"))
-_PLAIN = re.compile(f"[A-Za-zÀ-ÖØ-öø-ÿ0-9{_MARKS}]+")
-_PIECES = re.compile(f"[a-zß-öø-ÿ]+|[0-9]|[{_MARKS}]+")
-_CACHED = 300_000
+_SPACE, _LETTER, _DIGIT, _MARK, _OTHER = range(5)
+#: Class of an ASCII byte. Words of letters (A-Z, Latin-1 ones too), digits and marks split into runs of letters, single
+#: digits and runs of marks whatever stands around them; words with another character are encoded whole.
+_CLASS = np.full(256, _OTHER, np.uint8)
+for _c in range(128):
+    if chr(_c) in " \t\n\v\f\r":
+        _CLASS[_c] = _SPACE
+    elif chr(_c).isalpha():
+        _CLASS[_c] = _LETTER
+    elif chr(_c).isdigit():
+        _CLASS[_c] = _DIGIT
+    elif 33 <= _c < 127 and chr(_c) not in "'<":
+        _CLASS[_c] = _MARK
+_CACHED = 250_000
 _coders: dict[str, "Coder"] = {}
 
 
+class Ids:
+    """Ids of strings met so far, in one flat array; emptied when it holds ``limit`` strings."""
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = _CACHED):
+        self.encode, self.limit = encode, limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def places(self, strings: list[bytes]) -> np.ndarray:
+        """Where each of the distinct ``strings`` stands in ``start`` and ``size``."""
+        new = [s for s in strings if s not in self.place]
+        if len(self.place) + len(new) > self.limit and self.place:
+            self.clear()
+            new = strings
+        if new:
+            ids = self.encode([s.decode() for s in new])
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            start = len(self.flat) + np.cumsum(size) - size
+            self.place.update(zip(new, range(len(self.start), len(self.start) + len(new)), strict=True))
+            self.flat = np.concatenate((self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))))
+            self.start, self.size = np.concatenate((self.start, start)), np.concatenate((self.size, size))
+        return np.fromiter(map(self.place.__getitem__, strings), np.int64, len(strings))
+
+
 class Coder:
-    """A tokenizer and the ids of words met so far (a bounded cache)."""
+    """A tokenizer and the ids of pieces and words met so far (bounded caches)."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -38,52 +74,89 @@ class Coder:
             config = json.load(f)
         self.wordwise = all(config[k] == v for k, v in _WORDWISE.items())
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.bytewise = {c: level.pre_tokenize_str(chr(c))[0][0] for c in [*range(33, 127), *range(0xC0, 0x100)]}
-        self.words: dict[str, np.ndarray] = {}
-        self.pieces: dict[str, list[int]] = {}
-
-    def _piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) >= _CACHED:
-                self.pieces.clear()
-            ids = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(piece.translate(self.bytewise))]
-        return ids
+        bytewise = {c: level.pre_tokenize_str(chr(c))[0][0] for c in [*range(33, 127), *range(0xC0, 0x100)]}
+        model = self.tokenizer.model
+        self.pieces = Ids(lambda pieces: [[t.id for t in model.tokenize(p if p.isascii() else p.translate(bytewise))] for p in pieces])
+        self.words = Ids(self._encode)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[list[int]]:
-        out, other = [], []
-        for k, word in enumerate(words):
-            if _PLAIN.fullmatch(word):
-                ids: list[int] = []
-                for piece in _PIECES.findall(word.lower()):
-                    ids += self._piece(piece)
-                out.append(ids)
-            else:
-                other.append(k)
-                out.append([])
-        for k, ids in zip(other, self._encode([words[k] for k in other]), strict=True):
-            out[k] = ids
-        return out
-
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and their number per text."""
         if not self.wordwise:
             ids = self._encode(text.to_pylist())
             return (np.fromiter((i for x in ids for i in x), np.uint32),
                     np.fromiter(map(len, ids), np.int64, len(ids)))
-        codes, words, counts = arrowtext.word_codes(text)
-        per_word = self._words(words.to_pylist())
-        sizes = np.fromiter(map(len, per_word), np.int64, len(per_word))
-        flat = np.fromiter((i for x in per_word for i in x), np.uint32, int(sizes.sum()))
-        starts = np.cumsum(sizes) - sizes
-        many = sizes[codes]
-        ends = np.cumsum(many)
-        ids = flat[np.repeat(starts[codes] - (ends - many), many) + np.arange(int(many.sum()))]
-        bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
-        return ids, np.diff(bounds)
+        at, data = arrowtext.raw_bytes(text)
+        plain, whole = _split(at, np.frombuffer(data, np.uint8))
+        starts, ids, sizes = [], [], []
+        for (start, strings), cache in ((plain, self.pieces), (whole, self.words)):
+            if not len(start) and cache is self.words:
+                continue
+            coded = strings.dictionary_encode()
+            place = cache.places(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)]
+            size = cache.size[place]
+            ends = np.cumsum(size)
+            ids.append(cache.flat[np.repeat(cache.start[place] - (ends - size), size) + np.arange(int(size.sum()))])
+            starts.append(start)
+            sizes.append(size)
+        owner = np.searchsorted(at, np.concatenate(starts), side="right") - 1
+        counts = np.bincount(owner, np.concatenate(sizes), minlength=len(text)).astype(np.int64)
+        if not len(whole[0]):
+            return ids[0], counts
+        order = np.argsort(np.repeat(np.concatenate(starts), np.concatenate(sizes)), kind="stable")
+        return np.concatenate(ids)[order], counts
+
+
+def _strings(data: np.ndarray, inside: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Array:
+    """The strings of the bytes ``inside``, each from ``start`` to ``stop``."""
+    offsets = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(stop - start, out=offsets[1:])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start),
+                                            [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[inside].tobytes())])
+
+
+def _split(at: np.ndarray, data: np.ndarray) -> tuple[tuple[np.ndarray, pa.Array], tuple[np.ndarray, pa.Array]]:
+    """Starts and strings of the lower-cased pieces of plain words, and of the other words."""
+    kind = _CLASS[data]
+    lead = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] < 0xC0) & (data[1:] != 0x97) & (data[1:] != 0xB7))
+    kind[lead] = kind[lead + 1] = _LETTER
+    first = np.zeros(len(data) + 1, bool)
+    first[at[:-1]] = True
+    full = kind != _SPACE
+    begins = first[:-1].copy()
+    begins[1:] |= ~full[:-1]
+    begins &= full
+    word = np.flatnonzero(begins)
+    stops = first[1:].copy()
+    stops[-1:] = True
+    stops[:-1] |= ~full[1:]
+    stop = np.flatnonzero(stops & full) + 1
+    other, plain = kind == _OTHER, full
+    odd = np.zeros(len(word), bool)
+    if other.any():
+        odd[np.searchsorted(word, np.flatnonzero(other), side="right") - 1] = True
+        mine = np.zeros(len(data) + 1, np.int8)
+        mine[word[odd]] += 1
+        mine[stop[odd]] -= 1
+        mine = np.cumsum(mine[:-1], dtype=np.int8).astype(bool)
+        plain = full & ~mine
+    starts = begins
+    starts[1:] |= (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    ends = stops
+    ends[:-1] |= starts[1:]
+    starts &= plain
+    ends &= plain
+    low = data.copy()
+    low[(data >= 65) & (data <= 90)] += 32
+    capital = lead[(data[lead + 1] >= 0x80) & (data[lead + 1] <= 0x9E)] + 1
+    low[capital] += 32
+    piece = np.flatnonzero(starts)
+    pieces = _strings(low, plain, piece, np.flatnonzero(ends) + 1)
+    if not odd.any():
+        return (piece, pieces), (piece[:0], pieces[:0])
+    return (piece, pieces), (word[odd], _strings(data, mine, word[odd], stop[odd]))
 
 
 def coder(path: str) -> Coder:
