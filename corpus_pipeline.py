@@ -24,11 +24,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by 0.8 of its 5-word shingles the document of the smallest id; repeated rows stay once."""
+    """Of each group linked by 0.8 of its 5-word shingles one row, of the smallest id.
+
+    Rows without words are linked with nothing; of rows that repeat id and text one stays. A null id counts as the largest.
+    """
     groups = jaccard_join.linked_groups(docs, sim=jaccard_join.Similarity(5, 80, 100))
-    first = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]), "left_semi")
-    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    first = groups.where("leads").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")).distinct()
+    keyed = docs.withColumn("_hash", F.xxhash64("text"))
+    kept = keyed.join(first, keyed["doc_id"].eqNullSafe(first["_id"]) & (keyed["_hash"] == first["_text"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_hash"]).drop("_hash")
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
