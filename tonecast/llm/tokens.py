@@ -90,23 +90,20 @@ class Coder:
                     np.fromiter(map(len, ids), np.int64, len(ids)))
         at, data = arrowtext.raw_bytes(text)
         plain, whole = _split(at, np.frombuffer(data, np.uint8))
-        starts, ids, sizes = [], [], []
+        starts, ids, counts = [], [], np.zeros(len(text), np.int64)
         for (start, strings), cache in ((plain, self.pieces), (whole, self.words)):
-            if not len(start) and cache is self.words:
+            if not len(start):
                 continue
             coded = strings.dictionary_encode()
-            place = cache.places(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)]
+            place = cache.places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
             size = cache.size[place]
-            ends = np.cumsum(size)
-            ids.append(cache.flat[np.repeat(cache.start[place] - (ends - size), size) + np.arange(int(size.sum()))])
-            starts.append(start)
-            sizes.append(size)
-        owner = np.searchsorted(at, np.concatenate(starts), side="right") - 1
-        counts = np.bincount(owner, np.concatenate(sizes), minlength=len(text)).astype(np.int64)
-        if not len(whole[0]):
-            return ids[0], counts
-        order = np.argsort(np.repeat(np.concatenate(starts), np.concatenate(sizes)), kind="stable")
-        return np.concatenate(ids)[order], counts
+            ends = np.concatenate(([0], np.cumsum(size)))
+            ids.append(cache.flat[np.repeat(cache.start[place] - ends[:-1], size) + np.arange(ends[-1])])
+            counts += np.diff(ends[np.searchsorted(start, at)])
+            starts.append(np.repeat(start, size) if len(whole[0]) else start)
+        if len(ids) < 2:
+            return (ids[0] if ids else np.zeros(0, np.uint32)), counts
+        return np.concatenate(ids)[np.argsort(np.concatenate(starts), kind="stable")], counts
 
 
 def _strings(data: np.ndarray, inside: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Array:
