@@ -7,7 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,9 +55,11 @@ class TfIdf:
         if not len(top):
             raise ValueError("no term reaches the minimum document frequency")
         n = df.count()
-        top = top.sort_values("term")
-        counter = CountVectorizerModel.from_vocabulary(top["term"].tolist(), inputCol="_terms", outputCol="_tf")
-        return TfIdf(counter, np.log((1 + n) / (1 + top["df"].to_numpy())) + 1, sublinear)
+        # a table of one term a row fits in seconds; handing the terms over one by one takes a call each
+        rows = df.sparkSession.createDataFrame(pd.DataFrame({"_terms": [[t] for t in top["term"]]}), "_terms array<string>")
+        counter = CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=len(top)).fit(rows)
+        known = top.set_index("term")["df"].reindex(counter.vocabulary).to_numpy()
+        return TfIdf(counter, np.log((1 + n) / (1 + known)) + 1, sublinear)
 
     @property
     def terms(self) -> list[str]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tonecast.functions import expressions as ex
 from tonecast.operators import scaling
+from tonecast.session import materialize
 
 FOLDS = 5
 
@@ -35,7 +36,8 @@ def stratified_folds(df: DataFrame, folds: int = FOLDS, seed: int = 42, group: s
     """
     counted = df.groupBy(group, stratum).agg(F.count(F.lit(1)).alias("n"))
     known = F.when(F.col(stratum).isNotNull(), F.struct(-F.col("n"), F.col(stratum)))
-    majority = counted.groupBy(group).agg(F.min_by(stratum, known).alias("label"), F.sum("n").alias("rows"))
+    # ranking reads the groups several times
+    majority = materialize(counted.groupBy(group).agg(F.min_by(stratum, known).alias("label"), F.sum("n").alias("rows")), "groups")
     ranked = scaling.distributed_rank(majority, "label", ex.seeded_hash(seed, F.col(group)), F.col(group))
     fold = F.pmod(F.col("rank") - 1, F.lit(folds)).cast("int")
     return ranked.select(group, "label", "rows", fold.alias("fold"), split_name(fold).alias("split"))

@@ -107,11 +107,12 @@ def kpi_delta(df: DataFrame, condition: Column, sentiment: str = "sentiment") ->
 def breakdown(df: DataFrame, key: str, sentiment: str = "sentiment", top: int | None = None) -> DataFrame:
     """Rows, NSS and share of all rows per value, largest first; null values only count in the total.
 
-    The total is one number summed from the same grouped counts, whose shuffle both uses share.
+    The total is a grouping set of the same pass: one row that the shares are taken of.
     """
-    grouped = df.groupBy(key).agg(*counts(sentiment))
-    total = grouped.agg(F.sum("rows")).scalar()
-    table = score(grouped.filter(F.col(key).isNotNull())).select(key, "rows", "nss", (F.col("rows") / total * 100).alias("pct"))
+    both = df.groupingSets([[F.col(key)], []], F.col(key)).agg(F.grouping_id().alias("_g"), *counts(sentiment))
+    total = F.max(F.when(F.col("_g") == 1, F.col("rows"))).over(Window.partitionBy(F.lit(0)))
+    whole = both.withColumn("_total", total).filter((F.col("_g") == 0) & F.col(key).isNotNull())
+    table = score(whole).select(key, "rows", "nss", (F.col("rows") / F.col("_total") * 100).alias("pct"))
     table = table.orderBy(F.desc("rows"), key)
     return table if top is None else table.limit(top)
 
