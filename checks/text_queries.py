@@ -7,7 +7,7 @@ from checks.tally_queries import ACTION_CASE, _TREND, _priority
 from tonecast import taxonomy as tx
 from tonecast.functions import expressions as ex
 from tonecast.functions import tokens as tk
-from tonecast.operators import cleaning, insights, phrases, profile, retrieval, scaling
+from tonecast.operators import cleaning, insights, phrases, profile, retrieval, scaling, vector_index
 from tonecast.plans import reports
 from tonecast.sources import caches
 
@@ -362,6 +362,14 @@ def cosine_topk_blocked(v):
     return rounded(_near(v, query_bytes=0), "score")
 
 
+@check("cosine_topk_indexed", ctes=_NEAREST, sql="SELECT query_id, document_id, rank, round(score, 6) AS score FROM nk WHERE rank <= 8 AND query_id % 50 = 0")
+def cosine_topk_indexed(v):
+    """Every vector is listed; queries are those whose id is divisible by 50."""
+    e = v.table("embeddings")
+    index = vector_index.VectorIndex.build(e, "vec_id")
+    return rounded(index.search(e.filter("vec_id % 50 = 0"), 8, "vec_id", include_self=False), "score")
+
+
 def _chunks(v):
     meta = v.scored.select(F.col("id").alias("document_id"), F.coalesce("review_text", F.lit("")).alias("text"), "aspect",
                            "sentiment", "date", F.coalesce("source", F.lit("")).alias("source"))

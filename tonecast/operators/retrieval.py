@@ -19,7 +19,7 @@ _QUERY_SLICE = 256
 _ENTRIES = 16_384  # vector entries multiplied at a time
 
 
-def _keep_best(k: int, digits: int = 12):
+def keep_best(k: int, digits: int = 12):
     """Task-side helper: the k best documents of each query, lowest id first on equal scores."""
     def best(query_ids, document_ids, scores):
         scores = np.round(scores, digits)
@@ -33,11 +33,14 @@ def _keep_best(k: int, digits: int = 12):
     return best
 
 
+def unit(m: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one; zero rows stay."""
+    length = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return m / np.where(length == 0, 1, length)
+
+
 def _cosine():
     def scores(q, d):
-        def unit(m):
-            length = np.sqrt((m * m).sum(axis=1, keepdims=True))
-            return m / np.where(length == 0, 1, length)
         return unit(np.stack(q).astype("float64")) @ unit(np.stack(d).astype("float64")).T
     return scores
 
@@ -68,18 +71,19 @@ def _sparse_dot():
 
 def nearest(queries: DataFrame, documents: DataFrame, k: int = 8, query_id: str = "id", document_id: str = "id",
             vector: str = "embedding", sparse: bool = False, include_self: bool = True,
-            query_bytes: int = QUERY_BYTES) -> DataFrame:
+            query_bytes: int = QUERY_BYTES, vectors: tuple[str, str] | None = None) -> DataFrame:
     """The ``k`` most similar documents of every query: (query_id, document_id, score, rank). Exact.
 
     Few queries (their size is checked) are sent to the tasks and one pass over the documents keeps
     ``k`` rows per query and partition. Otherwise both sides are cut into blocks by id hash and every
     pair of blocks is scored as one matrix product; no pair of rows leaves a task unless it is among
-    the best ``k`` of its block. Blocks are even, so no key is hot.
+    the best ``k`` of its block. Blocks are even, so no key is hot. ``vectors`` names both columns if they differ.
     """
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("qv")).filter(F.col("qv").isNotNull())
-    d = documents.select(F.col(document_id).alias("document_id"), F.col(vector).alias("dv")).filter(F.col("dv").isNotNull())
+    own, other = vectors or (vector, vector)
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(own).alias("qv")).filter(F.col("qv").isNotNull())
+    d = documents.select(F.col(document_id).alias("document_id"), F.col(other).alias("dv")).filter(F.col("dv").isNotNull())
     same_ids = q.schema["query_id"].dataType == d.schema["document_id"].dataType
-    score, best = (_sparse_dot if sparse else _cosine)(), _keep_best(k)
+    score, best = (_sparse_dot if sparse else _cosine)(), keep_best(k)
     drop_self = not include_self and same_ids
     schema = (f"query_id {q.schema['query_id'].dataType.simpleString()}, "
               f"document_id {d.schema['document_id'].dataType.simpleString()}, score double")
