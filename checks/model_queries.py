@@ -292,7 +292,9 @@ def token_attribution(v):
 
 @check("oversample")
 def oversample(v):
-    rows = classifier.with_pair(_labelled(v))
+    """Synthetic rows for the smaller classes of the training split."""
+    labelled = splits.with_split(_labelled(v).withColumn("text_id", ex.text_id(F.col("review_text"))))
+    rows = classifier.with_pair(labelled.filter("split = 'train'"))
     model = features.TfIdf.fit(rows, classifier.PAIR, min_df=2)
     vectors = model.transform(rows, classifier.PAIR)
     balanced = oversampling.interpolate_minority(vectors)

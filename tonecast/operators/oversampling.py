@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonecast.functions import expressions as ex
-from tonecast.operators import retrieval, scaling
+from tonecast.operators import scaling, sparse_neighbours
 from tonecast.operators.features import entries
 
 
@@ -66,21 +66,19 @@ def interpolate_minority(vectors: DataFrame, label: str = "sentiment", key: str
     """Originals plus synthetic minority rows: (key, label, features, copy).
 
     A synthetic row lies between a row and one of its nearest neighbours of the same class. The
-    neighbours are exact: unit-length vectors are compared block by block (see ``retrieval.nearest``),
-    whose work grows with the square of a minority class and is spread evenly over the cluster.
-    Apply it to training rows only.
+    neighbours are exact and found through inverted lists of terms (see ``sparse_neighbours``), so features must not be
+    negative. Apply it to training rows only.
     """
     sizes = class_sizes(vectors, label)
     target = max(sizes.values())
     rows = vectors.select(key, label, "features").filter(F.col(label).isNotNull())
     out = rows.withColumn("copy", F.lit(0))
+    terms = rows.first()["features"].size
     for name, n in sizes.items():
         if n >= target:
             continue
         own = rows.filter(F.col(label) == name)
-        sparse = own.withColumn("_v", entries(F.col("features"))).withColumn(
-            "_v", F.struct(F.col("_v.index").alias("indices"), F.col("_v.value").alias("values")))
-        near = retrieval.nearest(sparse, sparse, neighbours, key, key, "_v", sparse=True, include_self=False)
+        near = sparse_neighbours.nearest(own.select(key, entries(F.col("features")).alias("entries")), neighbours, terms, key)
         near = near.select(F.col("query_id").alias(key), F.col("document_id").alias("_near"), F.col("rank").alias("_pick"))
         copies = _copies(own, key, n, target - n, seed, label)
         hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.col("copy").cast("string")))

@@ -16,7 +16,6 @@ QUERY_BYTES = 32 * 1024 * 1024
 _QUERY_BLOCK = 1024
 _DOCUMENT_BLOCK = 20_000
 _QUERY_SLICE = 256
-_ENTRIES = 16_384  # vector entries multiplied at a time
 
 
 def keep_best(k: int, digits: int = 12):
@@ -45,32 +44,8 @@ def _cosine():
     return scores
 
 
-def _sparse_dot():
-    """Scores of (indices, values) vectors; the query block is laid out over its own features only."""
-    def scores(q, d):
-        flat = [np.concatenate([np.asarray(v[name]) for v in side]) for side in (q, d) for name in ("indices", "values")]
-        rows = [np.repeat(np.arange(len(side)), [len(v["indices"]) for v in side]) for side in (q, d)]
-        used, column = np.unique(flat[0], return_inverse=True)
-        if not len(used):
-            return np.zeros((len(q), len(d)))
-        block = np.zeros((len(used), len(q)))
-        block[column, rows[0]] = flat[1]
-        at = np.minimum(np.searchsorted(used, flat[2]), len(used) - 1)
-        known = used[at] == flat[2]
-        at, value, owner = at[known], flat[3][known], rows[1][known]
-        out = np.zeros((len(d), len(q)))
-        for start in range(0, len(at), _ENTRIES):
-            # entries of one document are consecutive, so their products are summed in runs
-            own = owner[start:start + _ENTRIES]
-            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-            products = block[at[start:start + _ENTRIES]] * value[start:start + _ENTRIES, None]
-            out[own[first]] += np.add.reduceat(products, first, axis=0)
-        return out.T
-    return scores
-
-
 def nearest(queries: DataFrame, documents: DataFrame, k: int = 8, query_id: str = "id", document_id: str = "id",
-            vector: str = "embedding", sparse: bool = False, include_self: bool = True,
+            vector: str = "embedding", include_self: bool = True,
             query_bytes: int = QUERY_BYTES, vectors: tuple[str, str] | None = None) -> DataFrame:
     """The ``k`` most similar documents of every query: (query_id, document_id, score, rank). Exact.
 
@@ -83,7 +58,7 @@ def nearest(queries: DataFrame, documents: DataFrame, k: int = 8, query_id: str
     q = queries.select(F.col(query_id).alias("query_id"), F.col(own).alias("qv")).filter(F.col("qv").isNotNull())
     d = documents.select(F.col(document_id).alias("document_id"), F.col(other).alias("dv")).filter(F.col("dv").isNotNull())
     same_ids = q.schema["query_id"].dataType == d.schema["document_id"].dataType
-    score, best = (_sparse_dot if sparse else _cosine)(), keep_best(k)
+    score, best = _cosine(), keep_best(k)
     drop_self = not include_self and same_ids
     schema = (f"query_id {q.schema['query_id'].dataType.simpleString()}, "
               f"document_id {d.schema['document_id'].dataType.simpleString()}, score double")
@@ -101,7 +76,7 @@ def nearest(queries: DataFrame, documents: DataFrame, k: int = 8, query_id: str
             parts.append(best(ids, document_ids, s))
         return pd.concat(parts)
 
-    few = None if sparse else _collect_bounded(q, query_bytes)
+    few = _collect_bounded(q, query_bytes)
     if few is not None:
         found = d.mapInPandas(_scan(few, top_of, k), schema)
     else:
