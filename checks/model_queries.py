@@ -237,6 +237,12 @@ def tfidf_weights(v):
     return rounded(features.weights_table(model, _pairs(v), classifier.PAIR, "review_id"), "weight", digits=9)
 
 
+@check("vocabulary_summarised", views="scored", ctes=_tfidf(True, 2).replace("LIMIT 80000", "LIMIT 500"), sql="SELECT term, CAST(cf AS BIGINT) AS cf, df FROM vo")
+def vocabulary_summarised(v):
+    """The 500 most frequent terms through bounded summaries and a recount of the candidates."""
+    return v.spark.createDataFrame(features.vocabulary(_pairs(v), classifier.PAIR, 500, capacity=20_000), "term string, cf long, df long")
+
+
 @check("tfidf_raw_counts", views="scored", ctes=_tfidf(False, 1), sql="""SELECT review_id, count(*) AS terms, round(sum(x / norm), 6) AS total, round(max(x / norm), 6) AS largest
   FROM ra JOIN no USING (review_id) GROUP BY review_id""")
 def tfidf_raw_counts(v):

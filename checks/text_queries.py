@@ -159,6 +159,12 @@ def ngrams_1_3(v):
     return phrases.top_phrases(v.texts, 50, 1, 3)
 
 
+@check("ngrams_summarised", views="texts", ctes=_grams("voice", "texts", 1, 3, n=50), sql='SELECT ngram, "count" FROM top')
+def ngrams_summarised(v):
+    """The same through bounded summaries and a recount of the candidates."""
+    return phrases.top_phrases(v.texts, 50, 1, 3, capacity=2_000)
+
+
 @check("bigrams_context_variant", views="texts", ctes=_grams("context", "texts", n=30), sql='SELECT ngram, "count" FROM top')
 def bigrams_context_variant(v):
     return phrases.top_phrases(v.texts, 30, variant="context")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonecast.functions import tokens as tk
+from tonecast.operators import frequent
 
 MAX_FEATURES = 80_000
 _ENTRY = "array<struct<index:int,value:double>>"
@@ -24,8 +25,8 @@ def with_terms(df: DataFrame, text: str, name: str = "_terms") -> DataFrame:
     return split.withColumn(name, F.concat("_uni", tk.ngrams(F.col("_uni"), 2))).drop("_uni")
 
 
-def term_statistics(df: DataFrame, text: str) -> DataFrame:
-    """Corpus frequency ``cf`` and document frequency ``df`` of every term, in one aggregation by term.
+def term_statistics(df: DataFrame, text: str, wanted: DataFrame | None = None) -> DataFrame:
+    """Corpus frequency ``cf`` and document frequency ``df`` of every term (or the ``wanted`` ones), in one aggregation by term.
 
     Each document contributes its terms once per use and once as a set; map-side sums shrink
     frequent terms before the shuffle and no (document, term) pair is shuffled.
@@ -34,8 +35,30 @@ def term_statistics(df: DataFrame, text: str) -> DataFrame:
     uses = F.transform("_terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("c"), F.lit(0).alias("d")))
     seen = F.transform(F.array_distinct("_terms"),
                        lambda t: F.struct(t.alias("term"), F.lit(0).alias("c"), F.lit(1).alias("d")))
-    return (terms.select(F.inline(F.concat(uses, seen))).groupBy("term")
-            .agg(F.sum("c").alias("cf"), F.sum("d").alias("df")))
+    each = terms.select(F.inline(F.concat(uses, seen)))
+    if wanted is not None:
+        each = each.join(frequent.small(wanted), "term", "left_semi")
+    return (each.groupBy("term").agg(F.sum("c").alias("cf"), F.sum("d").alias("df")))
+
+
+def vocabulary(df: DataFrame, text: str, max_features: int = MAX_FEATURES, min_df: int = 2,
+               capacity: int | None = None) -> pd.DataFrame:
+    """The capped vocabulary (term, cf, df), most frequent terms first, ties by term.
+
+    With a ``capacity`` the terms that summaries show as candidates are counted alone (see ``frequent``), unless rare
+    ones, by ``min_df``, leave the cap unfilled or reach below what the summaries know.
+    """
+    def first(wanted: DataFrame | None) -> pd.DataFrame:
+        return (term_statistics(df, text, wanted).filter(F.col("df") >= min_df)
+                .orderBy(F.desc("cf"), "term").limit(max_features).toPandas())
+    if capacity is not None:
+        found = frequent.candidates(with_terms(df, text), "_terms", max_features, capacity)
+        if found is not None:
+            top = first(found[0].withColumnRenamed("item", "term"))
+            # every other term occurs less than found[1] times
+            if found[1] == 0 or (len(top) == max_features and top["cf"].iloc[-1] >= found[1]):
+                return top
+    return first(None)
 
 
 @dataclass(frozen=True)
@@ -48,10 +71,9 @@ class TfIdf:
 
     @staticmethod
     def fit(df: DataFrame, text: str, max_features: int = MAX_FEATURES, min_df: int = 2,
-            sublinear: bool = True) -> "TfIdf":
+            sublinear: bool = True, capacity: int | None = None) -> "TfIdf":
         """Most frequent terms first, ties by term; the capped vocabulary is all the driver receives."""
-        top = (term_statistics(df, text).filter(F.col("df") >= min_df)
-               .orderBy(F.desc("cf"), "term").limit(max_features).select("term", "df").toPandas())
+        top = vocabulary(df, text, max_features, min_df, capacity)
         if not len(top):
             raise ValueError("no term reaches the minimum document frequency")
         n = df.count()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tonecast.functions import tokens as tk
-from tonecast.operators import scaling
+from tonecast.operators import frequent, scaling
 
 
 def _by_count(*names: str) -> list[Column]:
@@ -46,16 +46,26 @@ def cap_texts(df: DataFrame, keys: list[str], max_texts: int | None, order: str
     return scaling.first_per_group(df, keys, [F.asc(order)], max_texts, "_rank").drop("_rank")
 
 
+def phrase_arrays(df: DataFrame, *keys: str, lo: int = 2, hi: int = 2, variant: str = "voice", text: str = "review_text") -> DataFrame:
+    """Word runs of ``lo`` to ``hi`` words of each text after stop-word removal, as one array ``ngrams``."""
+    listed = df.select(*keys, tk.words(F.col(text), variant).alias("_words"))
+    runs = [tk.ngrams(F.col("_words"), n) for n in range(lo, hi + 1)]
+    return listed.select(*keys, (F.concat(*runs) if len(runs) > 1 else runs[0]).alias("ngrams"))
+
+
 def phrase_counts(df: DataFrame, *keys: str, lo: int = 2, hi: int = 2, variant: str = "voice",
                   text: str = "review_text") -> DataFrame:
     """Counts of word runs of ``lo`` to ``hi`` words after stop-word removal."""
-    listed = df.select(*keys, tk.words(F.col(text), variant).alias("_words"))
-    runs = [tk.ngrams(F.col("_words"), n) for n in range(lo, hi + 1)]
-    exploded = listed.select(*keys, F.explode(F.concat(*runs) if len(runs) > 1 else runs[0]).alias("ngram"))
+    exploded = phrase_arrays(df, *keys, lo=lo, hi=hi, variant=variant, text=text).select(*keys, F.explode("ngrams").alias("ngram"))
     return exploded.groupBy(*keys, "ngram").agg(F.count(F.lit(1)).alias("count"))
 
 
-def top_phrases(df: DataFrame, n: int = 20, lo: int = 2, hi: int = 2, variant: str = "voice") -> DataFrame:
+def top_phrases(df: DataFrame, n: int = 20, lo: int = 2, hi: int = 2, variant: str = "voice",
+                capacity: int | None = None) -> DataFrame:
+    """Most frequent word runs. With a ``capacity`` only those that summaries of that size show as candidates are shuffled
+    (see ``frequent``), which pays where most runs occur once or twice in a large table."""
+    if capacity is not None:
+        return frequent.top(phrase_arrays(df, lo=lo, hi=hi, variant=variant), "ngrams", n, capacity, "ngram")
     return phrase_counts(df, lo=lo, hi=hi, variant=variant).orderBy(*_by_count("ngram")).limit(n)
 
 

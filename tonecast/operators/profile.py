@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 
 from tonecast.functions import expressions as ex
 from tonecast.functions import tokens as tk
+from tonecast.operators import quantiles
+from tonecast.session import materialize
 
 
 def missing_profile(df: DataFrame) -> DataFrame:
@@ -22,26 +24,57 @@ def missing_profile(df: DataFrame) -> DataFrame:
 def describe_all(df: DataFrame) -> DataFrame:
     """Per column: non-null rows, distinct values, most frequent value and, for numbers, mean, deviation and quartiles.
 
-    Values are merged with their frequencies first; a tie for the most frequent goes to the smaller text.
+    Moments take one aggregate, quartiles the passes of ``quantiles``, distinct and most frequent values two levels of
+    counting by digest (``_modes``); a tie for the most frequent goes to the smaller text. The result has one row per
+    column, whose numbers pass through the driver.
     """
-    numeric = {f.name for f in df.schema if isinstance(f.dataType, T.NumericType)}
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("text"),
-                               (F.col(c).cast("double") if c in numeric else F.lit(None).cast("double")).alias("v"))
-                      for c in df.columns])
-    merged = (df.select(F.inline(cells)).filter(F.col("text").isNotNull())
-              .groupBy("column", "text", "v").agg(F.count(F.lit(1)).alias("w")))
-    v, w = F.col("v"), F.col("w")
-    weighted = F.sum(F.when(v.isNotNull(), w))
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("w"))
-    t = merged.groupBy("column").agg(
-        F.sum("w").alias("n"), F.count(F.lit(1)).alias("n_distinct"),
-        F.min_by("text", F.struct(-w, F.col("text"))).alias("top"), F.max("w").alias("freq"),
-        (F.sum(v * w) / weighted).alias("mean"), F.sum(v * w).alias("_s"), F.sum(v * v * w).alias("_s2"),
-        weighted.alias("_n"), F.min("v").alias("min"), q.alias("q"), F.max("v").alias("max"))
-    variance = (F.col("_s2") - F.col("_s") * F.col("_s") / F.col("_n")) / F.nullif(F.col("_n") - 1, F.lit(0))
-    return t.select("column", "n", "n_distinct", "top", "freq", "mean",
-                    F.sqrt(F.when(variance < 0, 0.0).otherwise(variance)).alias("std"), "min", F.col("q")[0].alias("q1"),
-                    F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max")
+    spark, numeric = df.sparkSession, [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
+    measures = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    told = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(df.columns)],
+                  *[f(F.col(c).cast("double")).alias(f"{m}{i}") for i, c in enumerate(numeric) for m, f in measures.items()]).first()
+    q = quantiles.exact(df, numeric, [0.25, 0.5, 0.75]) if numeric else {}
+    modes = {r["column"]: r for r in _modes(df).collect()}
+    rows = []
+    for i, c in enumerate(df.columns):
+        if not told[f"n{i}"]:
+            continue
+        k = numeric.index(c) if c in numeric else None
+        own = {m: None if k is None else told[f"{m}{k}"] for m in measures}
+        rows.append((c, told[f"n{i}"], modes[c]["n_distinct"], modes[c]["top"], modes[c]["freq"], own["mean"], own["std"], own["min"],
+                     *(q.get((c, p)) for p in (0.25, 0.5, 0.75)), own["max"]))
+    return spark.createDataFrame(rows, "column string, n long, n_distinct long, top string, freq long, mean double, std double, "
+                                       "min double, q1 double, median double, q3 double, max double")
+
+
+_HEAD = 32  # leading characters of a text that travel with its digest
+_BUCKETS = 256
+
+
+def _modes(df: DataFrame) -> DataFrame:
+    """Per column with values: n_distinct, the most frequent text (the smallest of a tie) and its freq.
+
+    Texts are counted by digest, then by column and a bucket of digests, so no task holds a column's values and no whole
+    text is shuffled. Where the winners share a longer head, a second pass takes the smallest text among them.
+    """
+    def cells(of: DataFrame, columns: list[str]) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("text")) for c in columns])
+        return of.select(F.inline(each)).filter(F.col("text").isNotNull()).select(
+            "column", "text", F.unhex(F.md5("text")).alias("digest"), F.substring("text", 1, _HEAD).alias("head"))
+    per = materialize(cells(df, df.columns).groupBy("column", "digest").agg(
+        F.count(F.lit(1)).alias("w"), F.min("head").alias("head")), "digests")
+    best = F.min_by(F.struct("w", "head"), F.struct(-F.col("w"), F.col("head"))).alias("best")
+    bucket = F.pmod(F.xxhash64("digest"), F.lit(_BUCKETS)).alias("bucket")
+    some = per.groupBy("column", bucket).agg(F.count(F.lit(1)).alias("n"), best).select("column", "n", "best.*")
+    won = some.groupBy("column").agg(F.sum("n").alias("n_distinct"), best).select("column", "n_distinct", "best.*")
+    won = materialize(won, "modes")  # one row per column
+    long = [r["column"] for r in won.filter(F.length("head") == _HEAD).collect()]
+    if not long:
+        return won.select("column", "n_distinct", F.col("head").alias("top"), F.col("w").alias("freq"))
+    tied = per.join(F.broadcast(won.select("column", "w", "head")), ["column", "w", "head"], "left_semi").select("column", "digest")
+    # only texts with the head of a winner are looked at
+    near = cells(df, long).join(F.broadcast(won.select("column", "head")), ["column", "head"], "left_semi")
+    tops = near.join(tied, ["column", "digest"], "left_semi").groupBy("column").agg(F.min("text").alias("top"))
+    return won.join(tops, "column", "left").select("column", "n_distinct", F.coalesce("top", "head").alias("top"), F.col("w").alias("freq"))
 
 
 def length_stats(df: DataFrame, group: str | None = None) -> DataFrame:
