@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tonecast.functions import expressions as ex
-from tonecast.operators import retrieval, scaling, splits
+from tonecast.operators import evaluation, retrieval, scaling, splits
 from tonecast.sources import caches
 
 
@@ -185,3 +185,63 @@ def test_rank_with_null_groups_and_many_digits(spark, monkeypatch):
     assert len(rows) == 600
     for g in (None, 1, 2):
         assert sorted(r["rank"] for r in rows if r["g"] == g) == list(range(1, 201))
+
+
+# ---- folds by label mix ----------------------------------------------------------------
+
+def _greedy(groups, folds):
+    """One group after another, the most uneven first, to the fold of least deviation."""
+    labels = len(groups[0])
+    totals = [max(1, sum(g[j] for g in groups)) for j in range(labels)]
+    held = [[0] * labels for _ in range(folds)]
+    for g in sorted(groups, key=lambda g: (-np.var(g), g)):
+        def cost(k):
+            return np.mean([np.std([(held[i][j] + (g[j] if i == k else 0)) / totals[j] for i in range(folds)]) for j in range(labels)])
+        k = min(range(folds), key=cost)
+        held[k] = [h + x for h, x in zip(held[k], g)]
+    return held, totals
+
+
+def _deviation(held, totals):
+    return np.mean([np.std([h[j] / totals[j] for h in held]) for j in range(len(totals))])
+
+
+@pytest.mark.parametrize("seed, n", [(1, 40), (2, 200), (3, 11)])
+def test_folds_balance_the_label_mix(spark, seed, n):
+    rng = np.random.default_rng(seed)
+    groups = [tuple(int(x) for x in rng.poisson([3, 0.7, 0.2]) * (rng.random(3) < 0.6)) for _ in range(n)]
+    groups[0] = (60, 5, 9)  # a text that occurs very often
+    rows = [(f"g{i}", label) for i, g in enumerate(groups) for label, c in zip("ABC", g) for _ in range(c)]
+    rows += [("unlabelled", None)] * 3 + [("other", "Z")] + [(None, "A")]
+    df = spark.createDataFrame(rows, "text_id string, sentiment string")
+    got = splits.mixed_folds(df, ["A", "B", "C"]).collect()
+    folds = {r["text_id"]: r["fold"] for r in got}
+    assert len(got) == len({k for k, _ in rows}) and set(folds.values()) <= set(range(5))
+    held, totals = [[0, 0, 0] for _ in range(5)], [0, 0, 0]
+    for key, label in rows:
+        if label in ("A", "B", "C"):
+            held[folds[key]]["ABC".index(label)] += 1
+            totals["ABC".index(label)] += 1
+    own = [g for g in groups if sum(g)] + [(1, 0, 0)]
+    assert _deviation(held, [max(1, t) for t in totals]) <= _deviation(*_greedy(own, 5)) * 1.05 + 0.01
+    assert {r["text_id"]: r["split"] for r in got} == {k: ["test", "val", "train", "train", "train"][f] for k, f in folds.items()}
+
+
+def test_folds_of_nothing(spark):
+    assert splits.deal_profiles([], 5) == []
+    assert splits.mixed_folds(spark.createDataFrame([], "text_id string, sentiment string"), ["A"]).count() == 0
+
+
+def test_confusion_of_many_labels(spark):
+    """Ten thousand rows of a thousand labels: every cell of the matrix once, in blocks."""
+    rng = np.random.default_rng(1)
+    rows = [(f"l{a}", f"l{b}") for a, b in zip(rng.integers(0, 1000, 10_000), rng.integers(500, 1300, 10_000))] + [(None, "l1"), ("l2", None)]
+    df = spark.createDataFrame(rows, "aspect string, aspect_pred string")
+    table = evaluation.union_confusion(df)
+    labels = {x for a, b in rows if a and b for x in (a, b)}
+    told = table.agg(F.count("*"), F.sum("rows"), F.count_distinct("true_label", "pred_label")).first()
+    assert tuple(told) == (len(labels) ** 2, 10_000, len(labels) ** 2)
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "Window" not in plan
+    counts = {(r["true_label"], r["pred_label"]): r["rows"] for r in table.filter("rows > 0").collect()}
+    assert counts == {k: n for k, n in __import__("collections").Counter((a, b) for a, b in rows if a and b).items()}

@@ -92,11 +92,123 @@ def test_prepared_dashboard_is_pruned(spark, tmp_path):
     assert "review_text" not in text.split("ReadSchema")[1]
 
 
-def test_collection_grows_by_id(spark, tmp_path):
+def _reviews(spark, ids, text, aspect="Staff"):
+    return spark.createDataFrame([(i, text, 3, "web", "2020-01-01", aspect, "Negative") for i in ids],
+                                 "review_id string, review_text string, review_rating int, source string, created_at_date string, aspect string, sentiment string")
+
+
+def _documents(collection, version=None):
+    return sorted((r.id, r.document) for r in collection.read(version).collect())
+
+
+def test_collection_is_kept_in_versions(spark, tmp_path):
+    """Unchanged aspects keep their files; every version stays readable; seeding again changes nothing."""
     from tonecast.plans import jobs
-    def reviews(ids, text):
-        return spark.createDataFrame([(i, text, 3, "web", "2020-01-01", "Staff", "Negative") for i in ids],
-                                     "review_id string, review_text string, review_rating int, source string, created_at_date string, aspect string, sentiment string")
-    one = jobs.grow_collection(reviews(["a", "b"], "old"), None, str(tmp_path / "one"))
-    two = jobs.grow_collection(reviews(["b", "c"], "new"), one, str(tmp_path / "two"), force=True)
-    assert sorted((r.id, r.document) for r in two.collect()) == [("Staff_a", "old"), ("Staff_b", "new"), ("Staff_c", "new")]
+    path = str(tmp_path / "docs")
+    both = _reviews(spark, ["a", "b"], "old").union(_reviews(spark, ["x"], "fare", "Fare & Payment"))
+    kept = jobs.grow_collection(both, path)
+    assert _documents(kept) == [("Fare & Payment_x", "fare"), ("Staff_a", "old"), ("Staff_b", "old")]
+    before = kept.manifest()
+    jobs.grow_collection(_reviews(spark, ["z"], "late"), path)
+    assert kept.versions() == [1]
+    jobs.grow_collection(_reviews(spark, ["b", "c"], "new").union(_reviews(spark, ["x"], "fare", "Fare & Payment")), path, force=True)
+    assert _documents(kept) == [("Fare & Payment_x", "fare"), ("Staff_a", "old"), ("Staff_b", "new"), ("Staff_c", "new")]
+    assert kept.manifest()['"Fare & Payment"'] == before['"Fare & Payment"'] and kept.manifest()['"Staff"'] != before['"Staff"']
+    assert len(_documents(kept, 1)) == 3
+    assert kept.upsert(kept.read()) is None and kept.versions() == [1, 2]
+    plan = kept.read().filter("aspect = 'Staff'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(aspect" in plan
+
+
+def test_collection_survives_a_broken_change(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+    from tonecast.plans import jobs
+    path = str(tmp_path / "docs")
+    kept = jobs.grow_collection(_reviews(spark, ["a", "b"], "old"), path)
+    want = _documents(kept)
+    # a task fails while the documents are written
+    broken = _reviews(spark, ["b", "c"], "new").withColumn("review_text", F.when(F.col("review_id") == "c", F.raise_error(F.lit("lost"))).otherwise("new"))
+    with pytest.raises(Exception, match="lost"):
+        jobs.grow_collection(broken, path, force=True)
+    assert _documents(kept) == want
+    # the documents are there, but the manifest is not
+    monkeypatch.setattr(type(kept), "_publish", lambda self, folders: (_ for _ in ()).throw(RuntimeError("gone")))
+    with pytest.raises(RuntimeError):
+        jobs.grow_collection(_reviews(spark, ["c"], "new"), path, force=True)
+    monkeypatch.undo()
+    assert _documents(kept) == want
+    # the newest manifest was cut off
+    jobs.grow_collection(_reviews(spark, ["c"], "new"), path, force=True)
+    file = tmp_path / "docs" / "manifests" / "000000000002.json"
+    whole = file.read_bytes()
+    file.write_bytes(whole[:len(whole) // 2])
+    (tmp_path / "docs" / "manifests" / ".000000000002.json.crc").unlink(missing_ok=True)
+    assert _documents(kept) == want
+
+
+def _raw(days):
+    return [(f"text {k}", k % 5 + 1, "web", day, "Silom", "here", "Staff", "Positive", "Staff", "Positive", 0.9) for k, day in enumerate(days)]
+
+
+_NAMES = "review_text review_rating source created_at_date bts_line reviewer_hometown aspect sentiment aspect_pred sentiment_pred sentiment_confidence".split()
+
+
+def test_prepared_table_is_refreshed_by_month(spark, tmp_path):
+    """A second load writes the months that changed only; a month of most rows is spread over files."""
+    import os
+    from tonecast.plans import jobs
+
+    def csv(rows, name):
+        spark.createDataFrame(rows, _NAMES).coalesce(1).write.option("header", True).csv(str(tmp_path / name))
+        return str(tmp_path / name)
+    days = ["2020-03-05"] * 300 + ["2020-04-01"] * 20 + ["2021-01-09"] * 20 + ["no date"] * 5
+    out = str(tmp_path / "prepared")
+    first = csv(_raw(days), "one")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the table is small
+    jobs.prepare_dashboard(spark, first, out)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = lambda: {os.path.join(d, f) for d, _, names in os.walk(out) for f in names if f.endswith(".parquet")}
+    before = files()
+    sizes = [spark.read.parquet(f).count() for f in before if "2020-03" in f]
+    assert len(sizes) > 2 and max(sizes) < 200
+    assert jobs.refresh_dashboard(spark, str(tmp_path / "one"), out) == [] and files() == before
+    changed = _raw(days)
+    changed[305] = ("other text", *changed[305][1:])  # of April
+    rows = [r for r in changed if not r[3].startswith("2021")]
+    second = csv(rows, "two")
+    assert jobs.refresh_dashboard(spark, second, out) == ["2020-04", "2021-01"]
+    after = files()
+    assert {f for f in before if "2020-03" in f or "none" in f} == {f for f in after if "2020-03" in f or "none" in f}
+    assert not [f for f in after if "2021-01" in f]
+    from tonecast.sources import readers
+    columns = sorted(readers.read_dashboard(spark, second).columns)
+    told = lambda df: sorted(map(str, df.select(columns).collect()))
+    assert told(readers.read_prepared(spark, out)) == told(readers.read_dashboard(spark, second))
+
+
+def test_bucketed_cache_is_not_shuffled(spark):
+    from pyspark.sql import functions as F
+    from tonecast.sources import caches
+    old = spark.range(500).select(F.col("id").cast("string").alias("text_id"), F.lit("old").alias("aspect_pred"))
+    caches.write_bucketed(old.union(old), "kept_aspects", buckets=8)
+    try:
+        df = spark.range(900).select((F.col("id") % 600).cast("string").alias("text_id"), F.lit("t").alias("review_text")).union(
+            spark.createDataFrame([(None, "x")], "text_id string, review_text string"))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = df.select("text_id").distinct().repartition(8, "text_id").join(spark.table("kept_aspects"), "text_id", "left_anti")
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in text and "Exchange" not in text[text.index("BatchScan") if "BatchScan" in text else text.index("FileScan") - 200:]
+        seen = []
+
+        def scorer(rows):
+            seen.append(rows.count())
+            return rows.withColumn("aspect_pred", F.lit("new"))
+        got = caches.complete_bucketed(df, "kept_aspects", scorer)
+        values = {r["text_id"]: r["aspect_pred"] for r in got.collect()}
+        assert got.count() == 901 and values["3"] == "old" and values["599"] == "new" and values[None] is None
+        assert spark.table("kept_aspects").count() == 600
+        caches.complete_bucketed(df, "kept_aspects", scorer)
+        assert seen == [100, 0] and spark.table("kept_aspects").count() == 600
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE kept_aspects")

@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tonecast.functions import expressions as ex
 from tonecast.schema import SENTIMENTS
+from tonecast.session import materialize
 
 
 def pair_counts(df: DataFrame, *keys: str, true: str = "sentiment", pred: str = "sentiment_pred") -> DataFrame:
@@ -106,25 +106,28 @@ def label_union(df: DataFrame, a: str, b: str) -> DataFrame:
             .filter(F.col("label").isNotNull()).distinct().orderBy("label"))
 
 
+_LABEL_BLOCK = 512  # labels that a true label meets in one row of the zero fill
+
+
 def union_confusion(df: DataFrame, true: str = "aspect", pred: str = "aspect_pred") -> DataFrame:
     """Matrix over the union of both label sets, zero-filled, with row shares.
 
-    The label list is attached to the pair counts (labels times labels rows); each true label expands it once.
+    The labels, an open set, stay a table. It is dealt into blocks by hash; each true label is copied to every block and
+    meets the labels of one there, so the fill is an even equi-join that no task holds a whole side of.
     """
-    pairs = pair_counts(df, true=true, pred=pred).filter(F.col("t").isNotNull() & F.col("p").isNotNull())
-    whole = Window.partitionBy(F.lit(0))
-    labels = F.array_sort(F.array_union(F.collect_set("t").over(whole), F.collect_set("p").over(whole)))
-    # every label gets a (possibly empty) map predicted -> rows
-    known = pairs.withColumn("labels", labels).select("labels", F.inline(F.array(
-        F.struct(F.col("t").alias("true_label"), F.struct("p", "n").alias("hit")),
-        F.struct(F.col("p").alias("true_label"), F.lit(None).cast("struct<p:string,n:bigint>").alias("hit")))))
-    rows = known.groupBy("true_label").agg(F.map_from_entries(F.collect_list("hit")).alias("hits"),
-                                           F.coalesce(F.sum("hit.n"), F.lit(0)).alias("total"),
-                                           F.any_value("labels").alias("labels"))
-    cells = rows.select("true_label", "hits", "total", F.explode("labels").alias("pred_label"))
-    n = F.coalesce(F.try_element_at("hits", F.col("pred_label")), F.lit(0))
-    return cells.select("true_label", "pred_label", n.alias("rows"),
-                        (n / F.greatest(F.col("total"), F.lit(1))).alias("share"))
+    pairs = materialize(pair_counts(df, true=true, pred=pred).filter(F.col("t").isNotNull() & F.col("p").isNotNull()), "pairs")
+    labels = pairs.select(F.explode(F.array("t", "p")).alias("label")).distinct()
+    blocks = max(1, -(-labels.count() // _LABEL_BLOCK))
+    totals = pairs.groupBy("t").agg(F.sum("n").alias("total"))
+    rows = labels.join(totals, F.col("label") == F.col("t"), "left").select(
+        F.col("label").alias("true_label"), F.coalesce("total", F.lit(0)).alias("total"),
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    columns = labels.select(F.col("label").alias("pred_label"), F.pmod(F.xxhash64("label"), F.lit(blocks)).cast("int").alias("block"))
+    cells = rows.join(columns, "block").drop("block")
+    n = F.coalesce("n", F.lit(0))
+    found = pairs.select(F.col("t").alias("true_label"), F.col("p").alias("pred_label"), "n")
+    return cells.join(found, ["true_label", "pred_label"], "left").select(
+        "true_label", "pred_label", n.alias("rows"), (n / F.greatest(F.col("total"), F.lit(1))).alias("share"))
 
 
 def calibration(df: DataFrame, confidence: str = "sentiment_confidence", bins: int = 10,

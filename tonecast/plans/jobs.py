@@ -11,9 +11,10 @@ from tonecast.operators import (cleaning, errors, evaluation, oversampling, phra
                                 thresholds, topics)
 from tonecast.operators.classifier import (PAIR, PROBABILITIES, SentimentModel, prediction_view, score_reviews,
                                            select_variant, with_pair)
-from tonecast.schema import SCORED_COLUMNS
+from tonecast.schema import DOCUMENT_SCHEMA, SCORED_COLUMNS
 from tonecast.session import materialize
 from tonecast.sources import caches, readers, writers
+from tonecast.sources.collection import Collection
 
 
 def clean(spark: SparkSession, raw_csv: str, out: str) -> DataFrame:
@@ -24,17 +25,54 @@ def clean(spark: SparkSession, raw_csv: str, out: str) -> DataFrame:
 
 
 def prepare_dashboard(spark: SparkSession, scored_csv: str, out: str) -> DataFrame:
-    """Scored reviews with parsed dates, calendar and lengths as Parquet by year, parsed once for all reports."""
-    writers.write_parquet(readers.read_dashboard(spark, scored_csv).repartition("year"), out, "year")
+    """Scored reviews with parsed dates, calendar and lengths as Parquet by year and month, parsed once for all reports.
+
+    Rows are written in ranges of month and id, so a month of any size is spread over tasks and files.
+    """
+    _write_months(readers.read_dashboard(spark, scored_csv), out, "errorifexists")
     return readers.read_prepared(spark, out)
 
 
-def grow_collection(reviews: DataFrame, old: DataFrame | None, out: str, force: bool = False) -> DataFrame:
-    """Retrieval documents of all reviews merged into a collection by id, written by aspect to a new path."""
-    new = retrieval.seed_documents(reviews)
-    merged = new if old is None else caches.merge_documents(old, new, force)
-    writers.write_parquet(merged, out, "aspect")
-    return reviews.sparkSession.read.parquet(out)
+def refresh_dashboard(spark: SparkSession, scored_csv: str, out: str) -> list[str]:
+    """Bring a prepared table up to date with its source: only months whose rows differ are written again.
+
+    Months are compared by row counts and sums of row hashes on both sides. A month that has no rows any more is left
+    out. Returns the months written.
+    """
+    new, old = readers.read_dashboard(spark, scored_csv), readers.read_prepared(spark, out)
+
+    def told(df: DataFrame, side: str) -> DataFrame:
+        columns = sorted(c for c in new.columns if c != "month_of")
+        return _with_month(df).groupBy("month_of").agg(
+            F.count("*").alias(f"{side}_n"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias(f"{side}_h"))
+    both = told(new, "new").join(told(old, "old"), "month_of", "full")
+    same = F.col("new_n").eqNullSafe(F.col("old_n")) & F.col("new_h").eqNullSafe(F.col("old_h"))
+    changed = both.filter(~same).select("month_of", F.col("new_n").isNull().alias("gone")).collect()  # calendar months
+    months = sorted(r["month_of"] for r in changed if not r["gone"])
+    if months:
+        _write_months(_with_month(new).filter(F.col("month_of").isin(months)), out, "overwrite")
+    for r in changed:
+        if r["gone"]:
+            year = "__HIVE_DEFAULT_PARTITION__" if r["month_of"] == "none" else int(r["month_of"][:4])
+            writers.remove(spark, f"{out.rstrip('/')}/year={year}/month_of={r['month_of']}")
+    return months + sorted(r["month_of"] for r in changed if r["gone"])
+
+
+def _with_month(df: DataFrame) -> DataFrame:
+    return df.withColumn("month_of", F.coalesce("year_month", F.lit("none")))
+
+
+def _write_months(df: DataFrame, out: str, mode: str) -> None:
+    dated = _with_month(df)
+    ranged = dated.repartitionByRange("month_of", F.xxhash64("review_text", "aspect", "created_at_date"))
+    writers.write_parquet(ranged, out, ["year", "month_of"], mode, overwrite_parts=mode == "overwrite")
+
+
+def grow_collection(reviews: DataFrame, path: str, force: bool = False) -> Collection:
+    """Retrieval documents of all reviews put into the collection kept under ``path`` (see ``sources.collection``)."""
+    kept = Collection(reviews.sparkSession, path, DOCUMENT_SCHEMA)
+    kept.upsert(retrieval.seed_documents(reviews), force)
+    return kept
 
 
 def score_artifacts(spark: SparkSession, raw_csv: str, out: str) -> dict[str, DataFrame]:

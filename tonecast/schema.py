@@ -26,3 +26,6 @@ def require_columns(present: list[str], needed: list[str]) -> None:
     missing = sorted(set(needed) - set(present))
     if missing:
         raise ValueError(f"the review table lacks {', '.join(missing)}")
+
+#: Retrieval documents and their metadata.
+DOCUMENT_SCHEMA = "id string, document string, sentiment string, source string, date string, rating int, aspect string"

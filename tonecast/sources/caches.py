@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonecast.operators import scaling
+from tonecast.session import materialize
 
 
 def distinct_by_key(df: DataFrame, key: str) -> DataFrame:
@@ -52,3 +53,31 @@ def merge_documents(collection: DataFrame, new: DataFrame, force: bool = False,
         return collection
     kept = collection.join(new.select(key), key, "left_anti")
     return kept.unionByName(new)
+
+
+BUCKETS = 64
+
+
+def write_bucketed(cache: DataFrame, table: str, key: str = "text_id", buckets: int = BUCKETS) -> DataFrame:
+    """The cache, one row per key, as a table bucketed and sorted by key in the warehouse; joins read it without a shuffle."""
+    rows = distinct_by_key(cache, key).repartition(buckets, key)
+    rows.write.bucketBy(buckets, key).sortBy(key).format("parquet").mode("errorifexists").saveAsTable(table)
+    return cache.sparkSession.table(table)
+
+
+def complete_bucketed(df: DataFrame, table: str, scorer: Callable[[DataFrame], DataFrame], key: str = "text_id",
+                      value: str = "aspect_pred") -> DataFrame:
+    """Rows with the cached value, after appending to the bucketed table what it lacked: new keys only are written.
+
+    Keys of the rows are reduced to distinct ones and meet the table bucket by bucket, so the table is neither shuffled
+    nor rewritten. Rows of a frequent text are spread when the value is attached.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.sql(f"DESCRIBE EXTENDED {table}").filter("col_name = 'Num Buckets'").first()["data_type"])
+    texts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("review_text").alias("review_text"))
+    needed = texts.repartition(buckets, key).join(spark.table(table).select(key), key, "left_anti")
+    fresh = materialize(scorer(needed).select(key, value).filter(F.col(value).isNotNull()), "scored")
+    if not fresh.isEmpty():
+        fresh.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).format("parquet").mode("append").saveAsTable(table)
+    values = texts.select(key).repartition(buckets, key).join(spark.table(table), key).select(key, value)
+    return scaling.join_hot_keys(df, values, key, "left")

@@ -45,8 +45,8 @@ def read_dashboard(spark: SparkSession, path: str, parquet: bool = False) -> Dat
 
 
 def read_prepared(spark: SparkSession, path: str) -> DataFrame:
-    """The dashboard table as ``jobs.prepare_dashboard`` wrote it; filters on year and dates reach the files."""
-    return spark.read.parquet(path)
+    """The dashboard table as ``jobs.prepare_dashboard`` wrote it; filters on year prune folders, those on dates reach the files."""
+    return spark.read.parquet(path).drop("month_of")
 
 
 def read_pairs(df: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,10 +10,14 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
-def write_parquet(df: DataFrame, path: str, partition_by: str | None = None, mode: str = "errorifexists") -> None:
-    """Parquet, by default unpartitioned; clean review tables are best partitioned by ``year``."""
+def write_parquet(df: DataFrame, path: str, partition_by: str | list[str] | None = None, mode: str = "errorifexists",
+                  overwrite_parts: bool = False) -> None:
+    """Parquet, by default unpartitioned. With ``overwrite_parts`` and mode overwrite only partitions that ``df`` has are replaced."""
     writer = df.write.mode(mode)
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    if overwrite_parts:
+        writer = writer.option("partitionOverwriteMode", "dynamic")
+    columns = [partition_by] if isinstance(partition_by, str) else partition_by or []
+    (writer.partitionBy(*columns) if columns else writer).parquet(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -24,3 +28,9 @@ def write_nss_text(overall: DataFrame, path: str, mode: str = "errorifexists") -
     """Two text lines with row count and score of a one-row table (rows, nss)."""
     line = F.format_string("rows=%d\nNSS=%.2f", F.col("rows"), F.bround("nss", 2))
     overall.select(line.alias("value")).write.mode(mode).text(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of a table, on any file system Spark knows."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
