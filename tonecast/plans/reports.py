@@ -5,12 +5,15 @@ Report values are rounded for display; operators return them unrounded.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonecast import taxonomy as tx
 from tonecast.operators import attribution, classifier, errors, evaluation, insights, phrases, retrieval, tallies, trends
 from tonecast.operators.filters import Filters, apply_filters, predicate
+from tonecast.session import materialize
 
 
 def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
@@ -185,3 +188,31 @@ def question_contexts(df: DataFrame, questions: DataFrame, chunks: DataFrame) ->
     return retrieval.context_text(questions, chunks, retrieval.statistics_text(retrieval.aspect_contexts(df)))
 
 
+#: Columns that name a row of a composed report's tables; the others are its items.
+TABLE_KEYS = {
+    "confusion": ["true_label", "pred_label"], "aspect_confusion": ["true_label", "pred_label"], "per_class": ["label"],
+    "calibration": ["bin"], "per_aspect": ["aspect"], "deep_dives": ["aspect"], "sources": ["source"], "lines": ["bts_line"],
+    "yearly": ["year"], "types": ["error_type"], "samples": ["error_type", "rank"], "by_aspect": ["aspect"],
+    "sentiments": ["sentiment"], "rating_sentiment": ["review_rating"], "cards": ["section", "position"],
+}
+
+
+def flat(tables: dict[str, DataFrame]) -> DataFrame:
+    """A composed report as one table: section, key (values of the key columns), item and its number or text."""
+    out = None
+    for section, table in tables.items():
+        keys = TABLE_KEYS.get(section, [])
+        kinds = dict(table.dtypes)
+        items = [F.struct(F.lit(c).alias("item"),
+                          (F.lit(None).cast("double") if kinds[c] == "string" else F.col(c).cast("double")).alias("value"),
+                          (F.col(c) if kinds[c] == "string" else F.lit(None).cast("string")).alias("text"))
+                 for c in table.columns if c not in keys]
+        rows = table.select(F.lit(section).alias("section"), F.concat_ws("|", *keys).alias("key"), F.inline(F.array(*items)))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def composed(report: Callable[..., dict[str, DataFrame]], df: DataFrame, filters: Filters = Filters()) -> dict[str, DataFrame]:
+    """The tables of a report over filtered rows that are written once, so the source is scanned once however many tables there are."""
+    rows = materialize(apply_filters(df, filters), "report")
+    return report(rows, Filters(label_source=filters.label_source))
