@@ -40,8 +40,10 @@ SCAN_COST = 0.25  # cost of testing one posting of a list over that of emitting
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """Parities of hash buckets, two to four buckets per shingle."""
-    width = max(64, 1 << (2 * len(shingles) - 1).bit_length())
+    """Parities of hash buckets: two to four buckets per shingle in small sets, in larger ones enough for unrelated sets
+    to differ in more buckets than linked ones may."""
+    n = len(shingles)
+    width = max(64, min(1 << (2 * n - 1).bit_length(), max(1024, 1 << (n // 2).bit_length())))
     odd = np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
@@ -232,12 +234,12 @@ def _linked_groups(docs: DataFrame, doc_id: str, text: str, sim: Similarity) ->
     least = F.min_by(F.struct("doc_id", "uid"), F.struct(F.col("doc_id").isNull(), "doc_id", "uid"))
     firsts = profiles.where("node IS NOT NULL").groupBy("node").agg(least.alias("f")).select("node", "f.doc_id", "f.uid")
     firsts = firsts.withColumnRenamed("doc_id", "first")
-    nodes = materialize(profiles.drop("node", "keys").join(firsts, "uid").select("uid", "node", "first", "size", "bits"), "nodes")
-    postings = profiles.select("uid", "size", "keys").join(firsts.select("uid"), "uid", "left_semi").select(
-        F.explode("keys").alias("key"), "uid", F.col("size").cast("int").alias("size"))
+    # one shuffle of bitmaps and keys serves everything that reads them
+    nodes = materialize(profiles.drop("node", "doc_id", "text_hash").join(firsts, "uid"), "nodes")
+    postings = nodes.select(F.explode("keys").alias("key"), "uid", F.col("size").cast("int").alias("size"))
     postings = materialize(_shared_keys(postings, sim), "postings")
     edges = _scan(_blocks(postings, nodes), sim)
-    names = linked_names(edges, nodes.withColumnRenamed("bits", "mark"),
+    names = linked_names(edges, nodes.drop("keys").withColumnRenamed("bits", "mark"),
                          lambda wanted: whole_sets(docs, wanted, doc_id, text, sim), sim,
                          lambda size, bits: Bitmaps(size, bits, sim))
     named = nodes.select("uid", "node", "first").join(names.withColumnRenamed("node", "uid"), "uid", "left").withColumn(
