@@ -1,10 +1,10 @@
 """Exact quantiles of many columns at once by distributed selection.
 
 A wanted value is the one of a given rank in its column. Each pass over the rows counts, for every wanted value, the rows
-below, at the ends of and inside an interval that is known to hold it, and summarises the inside by approximate
-percentiles around the place where the value must lie. An end whose count covers the rank is the value; otherwise the next
-interval is what the summary brackets, or, if counting it shows that the bracket missed, the next values inside. Rows in
-question fall about a thousandfold a pass, and no task holds more of a column than a summary of bounded size.
+below, at the ends of and inside an interval that is known to hold it, and summarises the inside by a grid of approximate
+percentiles. An end whose count covers the rank is the value; otherwise the next interval is the part of the grid around
+the rank, or, if counting it shows that the grid missed, the next values inside. Rows in question fall about a hundredfold
+a pass, and no task holds more of a column than a summary of bounded size.
 """
 
 from __future__ import annotations
@@ -15,7 +15,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ACCURACY = 2_000  # size of a summary: it tells ranks to one part in this
+from tonecast.session import materialize
+
+ACCURACY = 4_000  # size of a summary: it tells ranks to one part in this
+GRID = 250  # percentiles taken of it
 _PER_PASS = 24  # values looked for in one aggregate
 
 
@@ -28,35 +31,31 @@ class Wanted:
     high: float
     safe_low: float
     safe_high: float
-    share: float  # where in the interval the rank lies
     value: float | None = None
 
     def measures(self) -> list[Column]:
-        v = F.col(self.column).cast("double")
+        v = F.col(self.column)
         inside = F.when((v > self.low) & (v < self.high), v)
-        ends = F.array(F.lit(max(self.share - 2 / ACCURACY, 0.0)), F.lit(min(self.share + 2 / ACCURACY, 1.0)))
+        grid = F.array(*[F.lit(k / GRID) for k in range(GRID + 1)])
         return [F.count_if(v < self.low), F.count_if(v == self.low), F.count(inside), F.count_if((v == self.high) & (v > self.low)),
-                F.min(inside), F.max(inside), F.percentile_approx(inside, ends, F.lit(ACCURACY))]
+                F.min(inside), F.max(inside), F.percentile_approx(inside, grid, F.lit(ACCURACY))]
 
-    def narrow(self, below: int, at_low: int, inside: int, at_high: int, first: float, last: float, between: list[float]) -> None:
+    def narrow(self, below: int, at_low: int, inside: int, at_high: int, first: float, last: float, grid: list[float]) -> None:
         if not below <= self.rank < below + at_low + inside + at_high:
-            self.low, self.high, self.share = self.safe_low, self.safe_high, 0.5
+            self.low, self.high = self.safe_low, self.safe_high
         elif self.rank < below + at_low:
             self.value = self.low
         elif self.rank >= below + at_low + inside:
             self.value = self.high
         else:
             self.safe_low, self.safe_high = first, last
-            rank = self.rank - below - at_low
-            share = rank / max(inside - 1, 1)
-            # the summary was read around the former share; it brackets the rank if that has hardly moved
-            near = abs(share - self.share) <= 1 / ACCURACY
-            self.low, self.high = between if near else (first, last)
-            self.share = 0.5 if near else share
+            share = (self.rank - below - at_low) / max(inside - 1, 1)
+            self.low = grid[max(math.floor((share - 2 / ACCURACY) * GRID), 0)]
+            self.high = grid[min(math.ceil((share + 2 / ACCURACY) * GRID), GRID)]
 
 
 def _bounds(df: DataFrame, columns: list[str]) -> dict[str, tuple[int, float, float]]:
-    v = {c: F.col(c).cast("double") for c in columns}
+    v = {c: F.col(c) for c in columns}
     told = df.agg(*[f(x).alias(f"{n}{i}") for i, x in enumerate(v.values()) for n, f in (("n", F.count), ("a", F.min), ("b", F.max))]).first()
     return {c: (told[f"n{i}"], told[f"a{i}"], told[f"b{i}"]) for i, c in enumerate(columns)}
 
@@ -64,15 +63,17 @@ def _bounds(df: DataFrame, columns: list[str]) -> dict[str, tuple[int, float, fl
 def exact(df: DataFrame, columns: list[str], probabilities: list[float]) -> dict[tuple[str, float], float | None]:
     """Linearly interpolated quantiles of numeric columns: {(column, probability): value}.
 
-    Nulls are left out, a column without values has None. Values are compared as doubles and must not be NaN.
+    Nulls are left out, a column without values has None. Values are compared as doubles and must not be NaN. The columns
+    are written once, as every pass reads them.
     """
+    df = materialize(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), "numbers")
     bounds = _bounds(df, columns)
     places = {(c, p): p * (bounds[c][0] - 1) for c in columns for p in probabilities}
     wanted: dict[tuple[str, int], Wanted] = {}
     for (c, _), place in places.items():
         n, low, high = bounds[c]
         for rank in {math.floor(place), math.ceil(place)} if n else ():
-            wanted[c, rank] = Wanted(c, rank, low, high, low, high, rank / max(n - 1, 1))
+            wanted[c, rank] = Wanted(c, rank, low, high, low, high)
     todo = list(wanted.values())
     while todo:
         for k in range(0, len(todo), _PER_PASS):
