@@ -78,7 +78,7 @@ class TfIdf:
             raise ValueError("no term reaches the minimum document frequency")
         n = df.count()
         # a table of one term a row fits in seconds; handing the terms over one by one takes a call each
-        rows = df.sparkSession.createDataFrame(pd.DataFrame({"_terms": [[t] for t in top["term"]]}), "_terms array<string>")
+        rows = df.sparkSession.createDataFrame(top[["term"]]).select(F.array("term").alias("_terms"))
         counter = CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=len(top)).fit(rows)
         known = top.set_index("term")["df"].reindex(counter.vocabulary).to_numpy()
         return TfIdf(counter, np.log((1 + n) / (1 + known)) + 1, sublinear)
