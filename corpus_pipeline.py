@@ -2,6 +2,10 @@
 
 Each stage takes all documents its predecessor kept; every stage but the last returns the columns of documents.
 Stages are written as Parquet under the shared folder and read again by the next.
+
+Edge cases: null and empty texts, and all under ten words, fail the quality rules; very long texts are rows like any other;
+rows that repeat id and text, and of near copies all but the row of the smallest id (a null id is the largest), go in the
+second stage; an empty table stays empty; further columns of any name are kept by all stages but the last.
 """
 
 from __future__ import annotations
@@ -30,9 +34,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     groups = jaccard_join.linked_groups(docs, sim=jaccard_join.Similarity(5, 80, 100))
     first = groups.where("leads").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")).distinct()
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    kept = keyed.join(first, keyed["doc_id"].eqNullSafe(first["_id"]) & (keyed["_hash"] == first["_text"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    keyed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    kept = keyed.join(first, keyed["id"].eqNullSafe(first["_id"]) & (keyed["hash"] == first["_text"]), "left_semi")
+    return kept.dropDuplicates(["id", "hash"]).select("doc.*")
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
