@@ -252,29 +252,28 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _templates_sql() -> str:
+    """A row per template and bigram: number and name of the template, its bigrams, bigram, its occurrences."""
     rows = []
-    for name, own in sorted((n, licenses.bigrams(t)) for n, texts in licenses.TEMPLATES.items() for t in texts):
-        rows.append(f"('{name}', [" + ", ".join(f"'{a} {b}'" for a, b in sorted(own)) + "])")
+    for number, (name, own) in enumerate(licenses.ordered(licenses.TEMPLATES)):
+        rows += [f"({number}, '{name}', {sum(own.values())}, '{a} {b}', {n})" for (a, b), n in sorted(own.items())]
     return ", ".join(rows)
 
 
-_UNIT_WORDS = _ALNUM_WORDS.replace("coalesce(text, '')", "u")
-
-
 @query("op2_license_scan", rf"""
-WITH d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS text FROM documents),
-u AS (SELECT rn, unnest(string_split(text, chr(10))) AS u FROM d
-  UNION ALL SELECT rn, u FROM (SELECT rn, unnest(string_split_regex(text, '
-[ 	-
-]*
-')) AS u FROM d) WHERE contains(u, chr(10))),
-w AS (SELECT rn, row_number() OVER () AS un, {_UNIT_WORDS} AS w FROM u),
-b AS (SELECT rn, un, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM w WHERE len(w) > 1),
-t AS (SELECT * FROM (VALUES {_templates_sql()}) AS x(name, s)),
-m AS (SELECT rn, un, name, CAST(2 * len(list_intersect(b, s)) AS DOUBLE) / (len(b) + len(s)) AS dice FROM b, t
-  WHERE 2 * least(len(b), len(s)) >= 0.8 * (len(b) + len(s))),
-k AS (SELECT rn, un, name, dice FROM m WHERE dice >= 0.8 QUALIFY row_number() OVER (PARTITION BY un ORDER BY dice DESC, name) = 1),
-a AS (SELECT rn, count(*) AS n_notices, string_agg(DISTINCT name, ',' ORDER BY name) AS names, max(dice) AS best_dice FROM k GROUP BY rn)
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, {_ALNUM_WORDS} AS w FROM documents),
+b AS (SELECT rn, p, w[p] || ' ' || w[p + 1] AS g FROM (SELECT rn, w, unnest(range(1, len(w))) AS p FROM d)),
+t AS (SELECT * FROM (VALUES {_templates_sql()}) AS x(t, name, n, g, often)),
+k AS (SELECT rn, t, name, n, p, g, often, row_number() OVER (PARTITION BY rn, t, g ORDER BY p) AS k FROM b JOIN t USING (g)),
+h AS (SELECT k.rn, k.t, k.name, k.n, k.p, coalesce(o.p, 0) AS pushed
+  FROM k LEFT JOIN k o ON o.rn = k.rn AND o.t = k.t AND o.g = k.g AND o.k = k.k - k.often),
+x AS (SELECT a.rn, a.t, a.name, a.p AS a, e.p + 1 AS e, CAST(2 * sum(CASE WHEN e.pushed < a.p THEN 1 ELSE 0 END) OVER
+    (PARTITION BY a.rn, a.t, a.p ORDER BY e.p) AS DOUBLE) / (e.p - a.p + 1 + a.n) AS dice
+  FROM h a JOIN h e ON e.rn = a.rn AND e.t = a.t AND e.p >= a.p AND e.p - a.p + 1 <= 1.5 * a.n),
+m AS (SELECT * FROM x WHERE dice >= 0.8 QUALIFY row_number() OVER (PARTITION BY rn, t, a ORDER BY dice DESC, e) = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY rn ORDER BY dice DESC, e - a DESC, t, a) AS place FROM m),
+u AS (SELECT * FROM r WHERE NOT EXISTS
+  (SELECT 1 FROM r o WHERE o.rn = r.rn AND o.place < r.place AND o.a <= r.e AND o.e >= r.a)),
+a AS (SELECT rn, count(*) AS n_notices, string_agg(DISTINCT name, ',' ORDER BY name) AS names, max(dice) AS best_dice FROM u GROUP BY rn)
 SELECT doc_id, coalesce(n_notices, 0) AS n_notices, coalesce(names, '') AS licenses, coalesce(best_dice, 0.0) AS best_dice
 FROM d LEFT JOIN a USING (rn)""")
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
