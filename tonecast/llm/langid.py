@@ -5,8 +5,13 @@ are trained together by stochastic gradient descent on a bounded sample of label
 kept back to calibrate the scores (one temperature) and to set the score under which a prediction is not accepted.
 Since both layers are linear, a prediction is the mean of one row of class weights per subword.
 
+The sample holds an equal part of each language (all texts of a rare one), so no language stops being a class as a table
+grows; its expected size is at most 1.1 times the larger of SAMPLE and LEAST times the languages. One row per language,
+as many as the model has classes, is broadcast to pick it.
+
 Edge cases: a null text or one without a letter is ``und`` with score 0, and so is every text when there is nothing to
-learn from; repeated rows are predicted row by row; extra columns pass through, but columns named ``lang_pred``,
+learn from; of languages with the same score the first by name is predicted; a text is read whole, whatever its length;
+repeated rows are learned from once and predicted row by row; extra columns pass through, but columns named ``lang_pred``,
 ``score`` or ``accepted`` are replaced.
 """
 
@@ -18,14 +23,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonecast.llm import arrowtext
 
 HASHED, WIDTH, ORDERS = 1 << 15, 16, (2, 3, 4)
 STEPS = 24_000  # gradient steps, whatever the sample
-SAMPLE = 6_000  # labelled documents to learn from, in expectation
+SAMPLE = 6_000  # labelled texts to learn from, in equal parts per language
+LEAST = 200  # texts of a language whatever the number of languages
+PARTS = 16  # tasks that turn the sample into features
 CHUNK = 1 << 20
 _LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -97,22 +104,36 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Model | None:
-    """Learn from rows with a label, picked by a hash of ``key``: ``sample`` of them in expectation."""
-    rows = labelled.select(key, text, F.col(label).cast("string").alias("_label")).where(
-        F.col("_label").isNotNull() & F.col(text).isNotNull())
-    share = min(1.0, sample / max(1, rows.count()))
-    picked = rows.where(F.pmod(F.xxhash64(F.lit(29), key), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * sample)
+def sampled(labelled: DataFrame, text: str = "text", label: str = "lang", sample: int = SAMPLE, least: int = LEAST) -> DataFrame:
+    """Distinct (_text, _label) to learn from: of each language all, or in expectation its part of ``sample``.
+
+    A language's part is an equal one, but ``least`` texts at any rate, so that rare languages stay classes at every
+    size. Texts are counted (to about 5 %) and picked by a hash of the text, so copies neither count nor crowd.
+    """
+    rows = labelled.select(F.col(text).alias("_text"), F.col(label).cast("string").alias("_label"),
+                           F.xxhash64(F.lit(29), text).alias("_h")).where("_label IS NOT NULL AND _text IS NOT NULL")
+    texts = rows.groupBy("_label").agg(F.approx_count_distinct("_h", 0.05).alias("_n"))
+    bound = F.greatest(F.lit(least), F.floor(F.lit(sample) / F.count("*").over(Window.partitionBy())))
+    share = texts.select(F.col("_label").alias("_l"), F.least(F.lit(1.0), 1.1 * bound / F.greatest("_n", F.lit(1))).alias("_share"))
+    spot = F.pmod(F.col("_h"), F.lit(1 << 40)) / float(1 << 40)
+    picked = rows.join(F.broadcast(share), F.col("_label") == F.col("_l")).where(spot < F.col("_share"))
+    # copies go before anything is dealt by the text, then the bounded sample is spread
+    return picked.dropDuplicates(["_h", "_label"]).repartition(PARTS, "_h").select("_text", "_label")
+
+
+def train(labelled: DataFrame, text: str = "text", label: str = "lang", sample: int = SAMPLE, least: int = LEAST) -> Model | None:
+    """Learn from a bounded sample (see ``sampled``) of the rows with a label."""
+    picked = sampled(labelled, text, label, sample, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in arrowtext.text_slices(batches, text, CHUNK):
+        for part, texts in arrowtext.text_slices(batches, "_text", CHUNK):
             seen = [np.zeros(0, np.int64)]
             for row, h in subwords(texts):
                 seen.append(row * HASHED + h)
             ids, counts = np.unique(np.concatenate(seen), return_counts=True)
             cuts = np.searchsorted(ids, np.arange(1, len(texts)) * HASHED)
             yield pa.RecordBatch.from_arrays(
-                [part.column(2), pa.array([x.astype(np.int32).tobytes() for x in np.split(ids % HASHED, cuts)]),
+                [part.column(1), pa.array([x.astype(np.int32).tobytes() for x in np.split(ids % HASHED, cuts)]),
                  pa.array([x.astype(np.int32).tobytes() for x in np.split(counts, cuts)])], ["label", "ids", "counts"])
     found = picked.mapInArrow(run, "label string, ids binary, counts binary").collect()
     read = lambda x: np.frombuffer(bytes(x), np.int32)

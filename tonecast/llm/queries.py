@@ -198,8 +198,8 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_language_id")
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn(
-        "held_out", F.crc32(F.col("doc_id").cast("string")) % 3 == 1)
-    model = langid.train(docs.where("NOT held_out"))
+        "held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)))
+    model = langid.train(docs.where("NOT held_out AND doc_id IS NOT NULL"))
     return langid.predict(docs.select("doc_id", "text", "held_out"), model).select(
         "doc_id", "held_out", "lang_pred", "score", "accepted")
 
