@@ -2,18 +2,21 @@
 
 Urls that a rule judges are the labels. The tree of a host is grown level by level on counts of distinct paths:
 segments that are numbers or ids become ``{n}`` or ``{id}``, a place with many different segments becomes ``*``, and
-branches whose labelled shares do not differ significantly are merged. A template is rejected when it has enough labels
+branches whose labelled shares do not differ significantly are merged. A branch is grown as deep as its paths go, unless
+all below it is labelled or it has too few labels to reject anything. A template is rejected when it has enough labels
 and its share of blocked ones, smoothed towards its parent's and a prior, is high; all else is allowed. Everything is
 built-in functions; counts are aggregated before they are shuffled, and each level is a written table.
 
 Edge cases: a null url or one without ``://`` has an empty host and path, fits no rule and is allowed; repeated rows
-are judged alike; an empty table gives no row; extra columns pass through, but columns named ``host``, ``path``,
-``rule`` or ``verdict`` are replaced.
+are judged alike; of rules of the same length the first is taken; urls are read whole; an empty table gives no row;
+extra columns pass through, but columns named ``host``, ``path``, ``rule`` or ``verdict`` are replaced and those named
+``_host``, ``_segments`` or ``_bad`` dropped.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,8 +41,7 @@ class Rule:
 
 @dataclass(frozen=True)
 class Settings:
-    depth: int = 4  # deeper segments are one branch
-    many: int = 8  # at so many different segments, more than ``share`` of the urls there, a place is a wildcard
+    many: int = 8  # at so many different segments, more than ``share`` of the distinct paths there, a place is a wildcard
     share: float = 0.5
     z: float = 1.96  # branches whose shares differ less are merged
     support: int = 5  # labels that a branch needs to be merged or rejected
@@ -67,13 +69,11 @@ def rule_of(rules: list[Rule]) -> Column:
     return out if out is not None else F.lit(None).cast("string")
 
 
-def _segments(depth: int) -> Column:
-    """Generalised segments of a path, of a fixed depth."""
+def _segments() -> Column:
+    """Generalised segments of a whole path."""
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
-    parts = F.transform(parts, lambda s: F.when(s.rlike(r"^[0-9]+(\.[A-Za-z]+)?$"), F.regexp_replace(s, "^[0-9]+", "{n}"))
+    return F.transform(parts, lambda s: F.when(s.rlike(r"^[0-9]+(\.[A-Za-z]+)?$"), F.regexp_replace(s, "^[0-9]+", "{n}"))
                         .when(s.rlike(r"^(?=.*[0-9])[0-9A-Za-z_-]{8,}$"), F.lit("{id}")).otherwise(s))
-    head = F.slice(parts, 1, depth)
-    return F.when(F.size(parts) > depth, F.concat(head, F.array(F.lit("**")))).otherwise(head)
 
 
 def _smoothed(blocked: Column, labelled: Column, expected: Column, s: Settings) -> Column:
@@ -97,40 +97,52 @@ def _merged_names(children: DataFrame, place: list[str], s: Settings) -> DataFra
 
 
 def templates(paths: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """Template, labels and smoothed purity of each distinct (_host, _segments) with counts rows, labelled, blocked."""
-    tree = paths.withColumns({"template": F.lit("")})
-    sums = paths.groupBy("_host").agg(F.sum("labelled").alias("_l"), F.sum("blocked").alias("_b"))
-    tree = tree.join(sums, "_host").withColumn("purity", _smoothed(F.col("_b"), F.col("_l"), F.lit(s.prior), s)).drop("_l", "_b")
-    tree = materialize(tree, "tree")
-    deepest = tree.agg(F.coalesce(F.max(F.size("_segments")), F.lit(0))).first()[0]
-    for level in range(deepest):
-        tree = tree.withColumn("segment", F.coalesce(F.get("_segments", F.lit(level)), F.lit("")))
-        children = materialize(tree.groupBy("_host", "template", "segment").agg(
-            *(F.sum(c).alias(c) for c in ("rows", "labelled", "blocked"))), "children")
-        place = ["_host", "template"]
-        width = children.where("segment <> ''").groupBy(*place).agg(F.count("*").alias("kinds"), F.sum("rows").alias("at"))
-        wild = width.where((F.col("kinds") >= s.many) & (F.col("kinds") > s.share * F.col("at"))).select(*place, F.lit("*").alias("wild"))
-        named = children.join(wild, place, "left").withColumn(
-            "wild", F.when(F.col("segment") == "", F.lit("")).otherwise(F.col("wild")))
+    """Template, labels (support) and smoothed purity of each distinct (_host, _segments) with rows, labelled, blocked.
+
+    A branch is grown only while something below it is open: it needs ``support`` labels, which no branch below it
+    exceeds, and rows without a label. What it leaves ungrown keeps the branch's template. Paths that end at a branch
+    are judged by its purity and their own labels.
+    """
+    place, counts = ["_host", "template"], ["rows", "labelled", "blocked"]
+    kept = [*_KEYS, "template", "purity", "rows", "labelled"]
+    tree = paths.select(*_KEYS, *counts, F.lit("").alias("template"))
+    sums = tree.groupBy(*place).agg(*(F.sum(c).alias("_" + c) for c in counts))
+    purity = _smoothed(F.col("_blocked"), F.col("_labelled"), F.lit(s.prior), s)
+    tree = materialize(tree.join(sums.withColumn("purity", purity), place), "tree")
+    is_open = (F.col("_labelled") >= s.support) & (F.col("_labelled") < F.col("_rows"))
+    done, level = [], 0
+    while True:
+        done.append(tree.where(~is_open).select(*kept, F.col("_labelled").alias("support")))
+        growing = tree.where(is_open).drop(*("_" + c for c in counts)).withColumn(
+            "segment", F.coalesce(F.get("_segments", F.lit(level)), F.lit("")))
+        children = materialize(growing.groupBy(*place, "segment").agg(
+            F.count("*").alias("paths"), *(F.sum(c).alias(c) for c in counts)), "children")
+        if children.isEmpty():
+            break
+        ends = children.where("segment = ''").select(*place, F.col("labelled").alias("support"))
+        done.append(growing.where("segment = ''").join(ends, place).select(*kept, "support"))
+        inner = children.where("segment <> ''")
+        width = inner.groupBy(*place).agg(F.count("*").alias("kinds"), F.sum("paths").alias("at"))
+        wild = width.where((F.col("kinds") >= s.many) & (F.col("kinds") > s.share * F.col("at"))).select(
+            *place, F.lit("*").alias("wild"))
+        named = inner.join(wild, place, "left")
         merged = _merged_names(named.where("wild IS NULL"), place, s)
         named = materialize(named.join(merged, [*place, "segment"], "left").withColumn(
             "name", F.coalesce("wild", "name", "segment")), "named")
-        both = named.groupBy(*place, "name").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
+        both = named.groupBy(*place, "name").agg(*(F.sum(c).alias("_" + c) for c in counts))
         names = named.select(*place, "segment", "name").join(both, [*place, "name"])
-        tree = materialize(tree.join(names, [*place, "segment"]).select(
-            *_KEYS, "rows", "labelled", "blocked",
-            F.when(F.col("name") == "", F.col("template")).otherwise(F.concat_ws("/", "template", "name")).alias("template"),
-            F.when(F.col("name") == "", F.col("purity")).otherwise(_smoothed(F.col("b"), F.col("l"), F.col("purity"), s)).alias("purity")),
-            "tree")
-    support = tree.groupBy("_host", "template").agg(F.sum("labelled").alias("support"))
-    return tree.join(support, ["_host", "template"])
+        tree = materialize(growing.join(names, [*place, "segment"]).select(
+            *_KEYS, *counts, *("_" + c for c in counts), F.concat_ws("/", "template", "name").alias("template"),
+            _smoothed(F.col("_blocked"), F.col("_labelled"), F.col("purity"), s).alias("purity")), "tree")
+        level += 1
+    return reduce(DataFrame.unionByName, done)
 
 
 def judge(urls: DataFrame, rules: list[Rule], url: str = "url", settings: Settings = Settings()) -> DataFrame:
     """Add host, path, rule and verdict (allow or block: the rule's, else the template's)."""
     allows = [r.text for r in rules if r.allow]
     cut = with_parts(urls.drop("host", "path", "rule", "verdict"), url).withColumn("rule", rule_of(rules))
-    cut = cut.withColumns({"_host": F.col("host"), "_segments": _segments(settings.depth)})
+    cut = cut.withColumns({"_host": F.col("host"), "_segments": _segments()})
     labelled = F.col("rule").isNotNull()
     blocked = labelled & ~F.col("rule").isin(allows)
     paths = cut.groupBy(*_KEYS).agg(F.count("*").alias("rows"), F.sum(labelled.cast("long")).alias("labelled"),
