@@ -212,3 +212,13 @@ def test_bucketed_cache_is_not_shuffled(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE kept_aspects")
+
+
+@pytest.mark.parametrize("text", ["plain", " both ends ", "\ttab", 'say "so"', '"', "a,b", "a\nb\n", "\n", "a\\b", "\\", "", " ", None, "é ü\u2003"])
+def test_csv_keeps_every_text(spark, tmp_path, text):
+    """An empty field is null; everything else comes back as it was."""
+    rows = [("1", text, "x"), ("2", "next", None)]
+    df = spark.createDataFrame(rows, "review_id string, review_text string, source string")
+    writers.write_csv(df, str(tmp_path / "csv"))
+    back = readers.read_csv(spark, str(tmp_path / "csv")).orderBy("review_id").collect()
+    assert [tuple(r) for r in back] == [("1", text or None, "x"), rows[1]]

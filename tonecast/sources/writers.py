@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    """CSV that ``readers.read_csv`` gives back as it was: blanks at either end of a field stay, null and empty come back as null."""
+    df.write.mode(mode).options(**_CSV).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: str | list[str] | None = None, mode: str = "errorifexists",
