@@ -33,10 +33,10 @@ def explain(df: DataFrame, model: SentimentModel, mean: np.ndarray, top_k: int |
     """
     coefficients = model.regression.coefficientMatrix.toArray()
     base = model.regression.interceptVector.toArray() + coefficients @ mean
-    scored = model.transform(df.select(key, "review_text", aspect), aspect).select(
-        key, "review_text", aspect, "sentiment_pred")
+    scored = model.transform(df.select(key, "review_text", aspect), aspect, keep_features=True).select(
+        key, "features", "sentiment_pred")
     index = F.array_position(F.array(*[F.lit(c) for c in model.classes]), F.col("sentiment_pred")).cast("int") - 1
-    vectors = model.features.transform(with_pair(scored, aspect), PAIR).withColumn("_c", index)
+    vectors = scored.withColumn("_c", index)
 
     @F.arrow_udf("array<struct<index:int,value:double>>")
     def contributions(v: pa.Array, c: pa.Array) -> pa.Array:

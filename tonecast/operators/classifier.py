@@ -83,8 +83,11 @@ class SentimentModel:
             elasticNetParam=0.0, regParam=1.0 / (C * total), maxIter=max_iter, tol=TOLERANCE)
         return SentimentModel(features, estimator.fit(rows), classes)
 
-    def transform(self, df: DataFrame, aspect: str = "aspect") -> DataFrame:
-        """Map-only scoring: probabilities per class, predicted label, confidence to four places."""
+    def transform(self, df: DataFrame, aspect: str = "aspect", keep_features: bool = False) -> DataFrame:
+        """Map-only scoring: probabilities per class, predicted label, confidence to four places.
+
+        ``keep_features`` leaves the weighted terms in ``features``, for what explains the scores.
+        """
         vectors = self.features.transform(with_pair(df, aspect), PAIR, "features")
         model = self.regression.setFeaturesCol("features").setProbabilityCol("_prob")
         model = model.setRawPredictionCol("").setPredictionCol("")
@@ -95,7 +98,7 @@ class SentimentModel:
                  for s in SENTIMENTS}
         return out.withColumns({
             **probs, "sentiment_pred": F.element_at(labels, F.array_position("_p", F.col("_top")).cast("int")),
-            "sentiment_confidence": F.bround("_top", 4)}).drop(PAIR, "_prob", "_p", "_top", "features")
+            "sentiment_confidence": F.bround("_top", 4)}).drop(PAIR, "_prob", "_p", "_top", *([] if keep_features else ["features"]))
 
     def save(self, path: str) -> None:
         """Features, regression and class order, each in its own folder under ``path``."""

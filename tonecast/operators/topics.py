@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tonecast.functions import tokens as tk
 from tonecast.operators import scaling
+from tonecast.session import materialize
 
 _SCHEMA = "topic int, rank int, term string, weight double"
 
@@ -26,12 +27,10 @@ def topics(df: DataFrame, k: int = 6, n_words: int = 12, max_features: int = 400
         return spark.createDataFrame([], _SCHEMA)
     counter = CountVectorizer(inputCol="words", outputCol="features", vocabSize=max_features, minDF=min_df).fit(words)
     vectors = counter.transform(words).select("features")
-    vectors = scaling.compact(vectors, vectors.count(), 200).persist()  # every iteration passes over them
-    try:
-        model = LDA(k=k, maxIter=max_iter, optimizer="online", subsamplingRate=1.0, seed=seed).fit(vectors)
-        described = model.describeTopics(n_words).collect()  # k rows
-    finally:
-        vectors.unpersist()
+    # every iteration passes over them
+    vectors = materialize(scaling.compact(vectors, vectors.count(), 200), "topics")
+    model = LDA(k=k, maxIter=max_iter, optimizer="online", subsamplingRate=1.0, seed=seed).fit(vectors)
+    described = model.describeTopics(n_words).collect()  # k rows
     vocabulary = counter.vocabulary
     rows = [(r["topic"], i + 1, vocabulary[t], float(w)) for r in described
             for i, (t, w) in enumerate(zip(r["termIndices"], r["termWeights"]))]
