@@ -104,7 +104,7 @@ def test_copies_do_not_hide_a_wildcard(spark):
 
 
 def test_clashing_names_and_labels_only(spark):
-    schema = "page_id long, url string, _host string, template string, segment string, rows int, verdict string"
-    df = spark.createDataFrame([(k, f"http://bad.org/spam/a{k}", "h", "t", "s", 1, "v") for k in range(9)], schema)
+    schema = "page_id long, url string, _host string, _bad int, template string, segment string, rows int, verdict string"
+    df = spark.createDataFrame([(k, f"http://bad.org/spam/a{k}", "h", 1, "t", "s", 1, "v") for k in range(9)], schema)
     got = ut.judge(df, RULES).collect()
     assert len(got) == 9 and all(r.verdict == "block" and r.template == "t" and r.rows == 1 for r in got)

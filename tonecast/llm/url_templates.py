@@ -141,7 +141,7 @@ def templates(paths: DataFrame, s: Settings = Settings()) -> DataFrame:
 def judge(urls: DataFrame, rules: list[Rule], url: str = "url", settings: Settings = Settings()) -> DataFrame:
     """Add host, path, rule and verdict (allow or block: the rule's, else the template's)."""
     allows = [r.text for r in rules if r.allow]
-    cut = with_parts(urls.drop("host", "path", "rule", "verdict"), url).withColumn("rule", rule_of(rules))
+    cut = with_parts(urls.drop("host", "path", "rule", "verdict", "_bad"), url).withColumn("rule", rule_of(rules))
     cut = cut.withColumns({"_host": F.col("host"), "_segments": _segments()})
     labelled = F.col("rule").isNotNull()
     blocked = labelled & ~F.col("rule").isin(allows)
