@@ -3,7 +3,8 @@
 The measures (lengths, symbols, stop words, repeated lines and windows) are column expressions over the text, the
 rules are rows of a table that are turned into comparisons. There is no shuffle and no user function.
 
-Edge cases: a null or empty text has no words and fails the base rule; extra columns are kept, a column named like a
+Edge cases: a null or empty text has no words and fails the base rule; a text of any length is measured whole; a measure
+equal to a bound breaks no rule; repeated rows are judged row by row; an empty table gives no row; extra columns are kept, a column named like a
 result is replaced.
 """
 
@@ -14,12 +15,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# fixed values: frequent function words of the languages handled
+# fixed values: frequent function words of English, German, French, Spanish, Italian, Portuguese, Dutch, Polish, Swedish,
+# Danish and Norwegian, Czech, Romanian, Turkish, Finnish, Hungarian, Indonesian
 STOP_WORDS = sorted(set((
     "the of and to in is a that for on as by are was with it from this at or be an "
     "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als "
     "de la le et les des en un du une que est pour qui dans par plus pas au sur "
-    "el y los se del las por con no una su para es al lo como").split()))
+    "el y los se del las por con no una su para es al lo como "
+    "il di che per con non sono della del si " "os um uma não com da do em mais "
+    "het een van dat niet op te zijn met voor " "nie na do że jest się jak ale od " "och att det som på av för inte har "
+    "og at til ikke af som har " "je že ve na se jako ale byl " "și să cu nu mai din sunt este "
+    "ve bir bu için ile çok olarak " "ja ei on että oli hän mutta " "az és hogy nem egy is volt "
+    "yang dan untuk dengan tidak ini itu dari").split()))
 #: as they are written inside and at the start of a sentence
 STOP_FORMS = STOP_WORDS + [w.capitalize() for w in STOP_WORDS]
 SPACE = r"[\x20\x09-\x0D]+"
@@ -37,7 +44,7 @@ class Rule:
     min_words: int = 1
 
 
-#: Ratios are per word, but dup_lines and short lines per line with a word.
+#: Ratios are per word, but dup_lines per line with a word.
 DEFAULT_RULES = (
     Rule("mean_word_length", "mean_word_length", 2.0, 16.0),
     Rule("symbols", "symbol_ratio", None, 0.3),
@@ -77,7 +84,11 @@ def _repeat_words(words: Column) -> Column:
 
 
 def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_stop_words, n_repeat_words (long) and the ratios."""
+    """Add n_words, word_chars, n_symbols, n_beyond_ascii, n_lines, n_dup_lines, n_stop_words, n_repeat_words (long) and the ratios.
+
+    ``stop_ratio`` is null, and no rule on it broken, where most characters lie beyond ASCII: the lists hold no language
+    of another script.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.filter(F.split(t, SPACE), lambda w: w != "")
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -89,17 +100,19 @@ def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
             _repeat_words(w).alias("n_repeat_words"))).alias("w"),
         _let(lines, lambda x: F.struct(
             F.size(x).alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"))).alias("l"),
-        F.length(F.regexp_replace(t, f"[^{SYMBOLS}]+", "")).alias("n_symbols"))
+        F.length(F.regexp_replace(t, f"[^{SYMBOLS}]+", "")).alias("n_symbols"),
+        F.length(F.regexp_replace(t, r"[\x00-\x7F]+", "")).alias("n_beyond_ascii"))
     # the generator of one row keeps the optimiser from copying the expression into every use
     out = df.withColumn("_q", F.explode(F.array(counted)))
     out = out.withColumns({
         "n_words": F.col("_q.w.n_words").cast("long"), "word_chars": F.col("_q.w.word_chars").cast("long"),
-        "n_symbols": F.col("_q.n_symbols").cast("long"), "n_lines": F.col("_q.l.n_lines").cast("long"),
+        "n_symbols": F.col("_q.n_symbols").cast("long"), "n_beyond_ascii": F.col("_q.n_beyond_ascii").cast("long"),
+        "n_lines": F.col("_q.l.n_lines").cast("long"),
         "n_dup_lines": F.col("_q.l.n_dup_lines").cast("long"), "n_stop_words": F.col("_q.w.n_stop_words").cast("long"),
         "n_repeat_words": F.col("_q.w.n_repeat_words").cast("long")}).drop("_q")
     return out.withColumns({
         "mean_word_length": _ratio("word_chars", "n_words"), "symbol_ratio": _ratio("n_symbols", "n_words"),
-        "stop_ratio": _ratio("n_stop_words", "n_words"), "dup_line_ratio": _ratio("n_dup_lines", "n_lines")})
+        "stop_ratio": F.when(2 * F.col("n_beyond_ascii") <= F.col("word_chars"), _ratio("n_stop_words", "n_words")), "dup_line_ratio": _ratio("n_dup_lines", "n_lines")})
 
 
 def _ratio(part: str, whole: str) -> Column:

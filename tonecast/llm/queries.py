@@ -37,13 +37,14 @@ c AS (SELECT rn, least(5, i - coalesce(lag(i) OVER (PARTITION BY rn ORDER BY i),
 s AS (SELECT rn, sum(add) AS n FROM c GROUP BY rn),
 m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
   CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+  length(regexp_replace(t, '[\x00-\x7F]+', '', 'g')) AS n_beyond_ascii,
   CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
   CAST(len(list_filter(w, lambda x: x IN ({_STOP}))) AS BIGINT) AS n_stop_words,
   CAST(coalesce(s.n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN s USING (rn)),
 b AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed, concat_ws(',',
   CASE WHEN n_words >= 1 AND (word_chars / greatest(n_words, 1) < 2.0 OR word_chars / greatest(n_words, 1) > 16.0) THEN 'mean_word_length' END,
   CASE WHEN n_words >= 1 AND n_symbols / greatest(n_words, 1) > 0.3 THEN 'symbols' END,
-  CASE WHEN n_words >= 50 AND n_stop_words / greatest(n_words, 1) < 0.06 THEN 'stop_words' END,
+  CASE WHEN n_words >= 50 AND 2 * n_beyond_ascii <= word_chars AND n_stop_words / greatest(n_words, 1) < 0.06 THEN 'stop_words' END,
   CASE WHEN n_words >= 1 AND n_dup_lines / greatest(n_lines, 1) > 0.5 THEN 'dup_lines' END) AS broken_rules FROM m)
 """
 
