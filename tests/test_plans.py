@@ -7,8 +7,8 @@ from tonecast.operators.filters import Filters, apply_filters
 
 # these run Python inside tasks by design
 PYTHON = {"cosine_topk", "cosine_topk_blocked", "cosine_topk_indexed", "retrieved_chunks", "question_sources", "context_text", "tfidf_weights", "tfidf_raw_counts", "ngrams_summarised", "vocabulary_summarised",
-          "score_reviews", "predict_view", "token_attribution", "oversample", "model_state"}
-FITTED = {"score_reviews", "model_state", "predict_view", "token_attribution", "oversample", "lda_topics", "tfidf_weights", "tfidf_raw_counts"}
+          "score_reviews", "predict_view", "token_attribution", "oversample", "model_state", "saved_model"}
+FITTED = {"score_reviews", "saved_model", "model_state", "predict_view", "token_attribution", "oversample", "lda_topics", "tfidf_weights", "tfidf_raw_counts"}
 
 
 @pytest.mark.parametrize("name", [n for n in CHECKS if n not in FITTED])
