@@ -111,10 +111,11 @@ def first_rule(text: Column, rules: list[tuple[str, str]], fallback: str) -> Col
     return chain.otherwise(fallback)
 
 
-def known_aspect(question: Column, named: dict[str, str]) -> Column:
-    """First aspect of which the question holds a word, else null; ``named`` lists words between blanks."""
-    pattern = {aspect: words.replace(" ", "|") for aspect, words in named.items()}
-    return F.coalesce(*(F.when(F.lower(question).rlike(p), aspect) for aspect, p in pattern.items()))
+def known_aspect(question: Column, named: dict[str, tuple[str, ...]]) -> Column:
+    """First aspect one of whose words the question holds, else null."""
+    lowered = F.lower(question)
+    held = {aspect: reduce(Column.__or__, [lowered.contains(w) for w in words]) for aspect, words in named.items()}
+    return F.coalesce(*(F.when(test, aspect) for aspect, test in held.items()))
 
 
 def nss_band(value: Column) -> Column:
