@@ -103,12 +103,16 @@ def _found(lowered: Column, pattern: str) -> Column:
 
 def first_rule(text: Column, rules: list[tuple[str, str]], fallback: str) -> Column:
     """Name of the first keyword rule found in the text, else ``fallback``."""
-    lowered = F.lower(F.coalesce(text, F.lit("")))
     (name, pattern), *rest = rules
-    chain = F.when(_found(lowered, pattern), name)
-    for name, pattern in rest:
-        chain = chain.when(_found(lowered, pattern), name)
-    return chain.otherwise(fallback)
+
+    def named(lowered: Column) -> Column:
+        chain = F.when(_found(lowered, pattern), name)
+        for other, words in rest:
+            chain = chain.when(_found(lowered, words), other)
+        return chain.otherwise(fallback)
+
+    # the lambda holds the lowered text, which would otherwise be made anew for every keyword
+    return F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), named)[0]
 
 
 def known_aspect(question: Column, named: dict[str, tuple[str, ...]]) -> Column:

@@ -43,8 +43,9 @@ def merge_labels(df: DataFrame) -> DataFrame:
 
 
 def with_rule_aspect(df: DataFrame, name: str = "aspect_pred", fallback: str = tx.RULE_FALLBACK) -> DataFrame:
-    """Keyword-rule aspect of the review text."""
-    return df.withColumn(name, ex.first_rule(F.col("review_text"), tx.ASPECT_RULES, fallback))
+    """Keyword-rule aspect of the review text, found once per row: what reads the name is not pushed below an explode."""
+    ruled = ex.first_rule(F.col("review_text"), tx.ASPECT_RULES, fallback)
+    return df.withColumn(name, F.explode(F.array(ruled)))
 
 
 def reassign_pseudo(df: DataFrame, keep_off_topic: bool = False) -> DataFrame:
