@@ -1,10 +1,11 @@
 """Steps that must grow with their input alone."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tonecast import taxonomy as tx
 from tonecast.functions import expressions as ex
-from tonecast.operators import cleaning
+from tonecast.operators import cleaning, retrieval
 
 
 def test_rules_read_the_text_once(spark):
@@ -14,3 +15,26 @@ def test_rules_read_the_text_once(spark):
     assert plan.count("lower(") == 1
     assert [r["aspect"] for r in df.collect()] == ["Crowding & Comfort", "Fare & Payment System", tx.RULE_FALLBACK]
     assert df.select(ex.first_rule(F.col("review_text"), [("a", "seat|x")], "-").alias("n")).collect()[0]["n"] == "a"
+
+
+def test_neighbours_are_screened(spark, monkeypatch):
+    """Few pairs are scored in double precision and sorted; equal vectors, ties, broken vectors and results stay."""
+    rng = np.random.default_rng(1)
+    m = rng.normal(size=(3_000, 16))
+    m[7], m[9], m[11, 0], m[12] = m[5], m[5], np.nan, 0
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(m)], "id long, embedding array<double>").coalesce(1)
+    s = np.round(retrieval.unit(m) @ retrieval.unit(m).T, 12)
+    np.fill_diagonal(s, -np.inf)
+    s[np.isnan(s)] = -np.inf
+    wanted = {(i, int(j)) for i in range(len(m)) if i != 11 for j in np.lexsort((np.arange(len(m)), -s[i]))[:4]}
+    for size in (retrieval.QUERY_BYTES, 0):
+        found = retrieval.nearest(df, df, 4, include_self=False, query_bytes=size)
+        assert {(r["query_id"], r["document_id"]) for r in found.collect()} == wanted
+        # comparing all pairs happens once, however often the result is read
+        assert "InPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    sorted_rows = []
+    frame = retrieval.pd.DataFrame.sort_values
+    monkeypatch.setattr(retrieval.pd.DataFrame, "sort_values", lambda self, *a, **kw: sorted_rows.append(len(self)) or frame(self, *a, **kw))
+    own = retrieval._vectors(np.arange(len(m)), list(m))
+    retrieval.best_pairs(4, True)(own, own)
+    assert sum(sorted_rows) < 0.05 * len(m) ** 2

@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 from tonecast import taxonomy as tx
 from tonecast.functions import expressions as ex
 from tonecast.operators import insights, scaling, tallies, trends
+from tonecast.session import materialize
 
 # queries whose vectors take at most this many bytes travel to every task; more are blocked
 QUERY_BYTES = 32 * 1024 * 1024
-_QUERY_BLOCK = 1024
+# rows of a block; each row is copied once per block of the other side, so both sides have large ones
+_QUERY_BLOCK = 16_384
+_LEAST_BLOCK = 1024
 _DOCUMENT_BLOCK = 20_000
 _QUERY_SLICE = 256
+_GROUP = 32
+_PAIRS = 65_536
 
 
 def keep_best(k: int, digits: int = 12):
@@ -38,10 +43,55 @@ def unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(length == 0, 1, length)
 
 
-def _cosine():
-    def scores(q, d):
-        return unit(np.stack(q).astype("float64")) @ unit(np.stack(d).astype("float64")).T
-    return scores
+def _vectors(ids: np.ndarray, rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, unit vectors and the same in single precision, without vectors that have no score."""
+    m = unit(np.stack(rows).astype("float64"))
+    told = np.isfinite(m).all(axis=1)
+    ids, m = (ids, m) if told.all() else (ids[told], m[told])
+    return ids, m, m.astype("float32")
+
+
+def _reached(scores: np.ndarray, k: int) -> np.ndarray:
+    """A score that at least ``k`` documents of each query reach: the k-th of the maxima of groups of documents."""
+    n = scores.shape[1] // _GROUP
+    if n < k:
+        return np.full(len(scores), -np.inf, "float32")
+    tops = scores[:, :n * _GROUP].reshape(len(scores), n, _GROUP).max(axis=2)
+    return np.partition(tops, n - k, axis=1)[:, n - k]
+
+
+def best_pairs(k: int, drop_self: bool, digits: int = 12):
+    """Task-side helper: the ``k`` best documents of each query, lowest id first on equal scores.
+
+    Products in single precision leave aside what lies below a score that ``k`` documents reach, by more than their
+    error; the few others are scored again in double precision and sorted.
+    """
+    def best(queries: tuple, documents: tuple, floors: np.ndarray | None = None) -> pd.DataFrame:
+        (query_ids, q, q32), (document_ids, d, d32) = queries, documents
+        # error of single precision products of unit vectors, on both sides, and the digits that are rounded off
+        slack = np.float32(4 * (q.shape[1] + 4) * 2.0 ** -24 + 10.0 ** -digits)
+        sorted_ids = np.argsort(document_ids, kind="stable") if drop_self and document_ids.dtype.kind in "iu" else None
+        parts = []
+        for start in range(0, len(query_ids) if len(document_ids) else 0, _QUERY_SLICE):
+            ids = query_ids[start:start + _QUERY_SLICE]
+            s = q32[start:start + _QUERY_SLICE] @ d32.T
+            if sorted_ids is not None:
+                first, last = (np.searchsorted(document_ids, ids, side, sorter=sorted_ids) for side in ("left", "right"))
+                for row in np.flatnonzero(last > first):
+                    s[row, sorted_ids[first[row]:last[row]]] = -np.inf
+            elif drop_self:
+                s[ids[:, None] == document_ids[None, :]] = -np.inf
+            least = _reached(s, k)
+            if floors is not None:
+                least = np.maximum(least, floors[start:start + _QUERY_SLICE].astype("float32"))
+            row, at = np.nonzero((s >= (least - slack)[:, None]) & (s > -np.inf))
+            score = np.concatenate([np.einsum("ij,ij->i", q[start + row[i:i + _PAIRS]], d[at[i:i + _PAIRS]])
+                                    for i in range(0, len(row), _PAIRS)] or [np.zeros(0)])
+            found = pd.DataFrame({"_row": row, "query_id": ids[row], "document_id": document_ids[at], "score": np.round(score, digits)})
+            found = found.sort_values(["_row", "score", "document_id"], ascending=[True, False, True], kind="stable")
+            parts.append(found.groupby("_row").head(k).drop(columns="_row"))
+        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "document_id": [], "score": []})
+    return best
 
 
 def nearest(queries: DataFrame, documents: DataFrame, k: int = 8, query_id: str = "id", document_id: str = "id",
@@ -58,30 +108,16 @@ def nearest(queries: DataFrame, documents: DataFrame, k: int = 8, query_id: str
     q = queries.select(F.col(query_id).alias("query_id"), F.col(own).alias("qv")).filter(F.col("qv").isNotNull())
     d = documents.select(F.col(document_id).alias("document_id"), F.col(other).alias("dv")).filter(F.col("dv").isNotNull())
     same_ids = q.schema["query_id"].dataType == d.schema["document_id"].dataType
-    score, best = _cosine(), keep_best(k)
-    drop_self = not include_self and same_ids
     schema = (f"query_id {q.schema['query_id'].dataType.simpleString()}, "
               f"document_id {d.schema['document_id'].dataType.simpleString()}, score double")
-
-    step = _QUERY_SLICE
-
-    def top_of(query_ids, qv, document_ids, dv):
-        # slices of queries keep the score matrix of a batch small
-        parts = []
-        for start in range(0, len(query_ids), step):
-            ids = query_ids[start:start + step]
-            s = score(qv[start:start + step], dv)
-            if drop_self:
-                s[ids[:, None] == document_ids[None, :]] = -np.inf
-            parts.append(best(ids, document_ids, s))
-        return pd.concat(parts)
-
+    best = best_pairs(k, not include_self and same_ids)
     few = _collect_bounded(q, query_bytes)
     if few is not None:
-        found = d.mapInPandas(_scan(few, top_of, k), schema)
+        found = d.mapInPandas(_scan(few, best, k), schema)
     else:
-        found = _blocked(q, d, top_of, schema)
-    return scaling.first_per_group(found, ["query_id"], [F.desc("score"), F.asc("document_id")], k)
+        found = _blocked(q, d, best, schema)
+    # every reader of a lazy result would compare all vectors again
+    return materialize(scaling.first_per_group(found, ["query_id"], [F.desc("score"), F.asc("document_id")], k), "nearest")
 
 
 def _collect_bounded(q: DataFrame, limit: int) -> pd.DataFrame | None:
@@ -89,26 +125,31 @@ def _collect_bounded(q: DataFrame, limit: int) -> pd.DataFrame | None:
     return q.toPandas() if size <= limit else None
 
 
-def _scan(few: pd.DataFrame, top_of, k: int):
+def _scan(few: pd.DataFrame, best, k: int):
     ids, vectors = few["query_id"].to_numpy(), list(few["qv"])
 
     def run(batches):
-        kept = None
+        kept, floors, queries = None, None, _vectors(ids, vectors) if len(ids) else None
         for pdf in batches:
             if not len(pdf) or not len(ids):
                 continue
-            new = top_of(ids, vectors, pdf["document_id"].to_numpy(), list(pdf["dv"]))
+            new = best(queries, _vectors(pdf["document_id"].to_numpy(), list(pdf["dv"])), floors)
             kept = new if kept is None else (
                 pd.concat([kept, new]).sort_values(["query_id", "score", "document_id"], ascending=[True, False, True])
                 .groupby("query_id").head(k))
+            # what a query has found in earlier batches is the least that later ones must reach
+            full = kept.groupby("query_id")["score"].agg(["size", "min"])
+            floors = full["min"].where(full["size"] >= k, -np.inf).reindex(queries[0]).fillna(-np.inf).to_numpy()
         if kept is not None:
             yield kept
     return run
 
 
-def _blocked(q: DataFrame, d: DataFrame, top_of, schema: str) -> DataFrame:
-    n_q = max(1, -(-q.count() // _QUERY_BLOCK))
-    n_d = max(1, -(-d.count() // _DOCUMENT_BLOCK))
+def _blocked(q: DataFrame, d: DataFrame, best, schema: str) -> DataFrame:
+    many, n_d = q.count(), max(1, -(-d.count() // _DOCUMENT_BLOCK))
+    # small inputs are cut finer, so that every core has a pair of blocks
+    cells = 3 * q.sparkSession.sparkContext.defaultParallelism
+    n_q = max(1, -(-many // _QUERY_BLOCK), min(-(-many // _LEAST_BLOCK), -(-cells // n_d)))
 
     def spread(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
         numbers = F.sequence(F.lit(0), F.lit(n_other - 1))
@@ -121,7 +162,7 @@ def _blocked(q: DataFrame, d: DataFrame, top_of, schema: str) -> DataFrame:
     def pair(a, b):
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "document_id": [], "score": []})
-        return top_of(a["query_id"].to_numpy(), list(a["qv"]), b["document_id"].to_numpy(), list(b["dv"]))
+        return best(_vectors(a["query_id"].to_numpy(), list(a["qv"])), _vectors(b["document_id"].to_numpy(), list(b["dv"])))
 
     return left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInPandas(pair, schema)
 
