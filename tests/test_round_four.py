@@ -1,11 +1,12 @@
 """Steps that must grow with their input alone."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tonecast import taxonomy as tx
 from tonecast.functions import expressions as ex
-from tonecast.operators import cleaning, retrieval
+from tonecast.operators import cleaning, frequent, retrieval
 
 
 def test_rules_read_the_text_once(spark):
@@ -40,3 +41,18 @@ def test_neighbours_are_screened(spark, monkeypatch):
     own = retrieval._vectors(np.arange(len(m)), list(m))
     retrieval.best_pairs(4, True)(own, own)
     assert sum(sorted_rows) < 0.05 * len(m) ** 2
+
+
+def test_summaries_stay_in_arrow():
+    """Sums and cuts of summaries handle whole arrays and lose nothing they do not tell."""
+    rng, held, counts, short = np.random.default_rng(2), pa.array([], pa.string()), np.zeros(0, np.int64), 0
+    drawn = [rng.zipf(1.5, 500) for _ in range(6)]
+    for part in drawn:
+        coded = pa.array([str(x) for x in part]).dictionary_encode()
+        held, counts = frequent.added(held, counts, coded.dictionary, np.bincount(coded.indices.to_numpy()))
+        held, counts, fell = frequent.trimmed(held, counts, 20)
+        short += fell
+        assert isinstance(held, pa.Array) and len(held) <= 20 and len(set(held.to_pylist())) == len(held)
+    names, true = np.unique(np.concatenate(drawn).astype(str), return_counts=True)
+    low = dict(zip(held.to_pylist(), counts.tolist(), strict=True))
+    assert short > 0 and all(low.get(i, 0) <= n <= low.get(i, 0) + short for i, n in zip(names, true.tolist(), strict=True))

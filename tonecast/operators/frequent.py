@@ -11,8 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,32 +22,41 @@ CAPACITY = 200_000
 _BROADCAST_ROWS = 500_000
 
 
-def trimmed(counts: pd.Series, capacity: int) -> tuple[pd.Series, int]:
+def trimmed(items: pa.Array, counts: np.ndarray, capacity: int) -> tuple[pa.Array, np.ndarray, int]:
     """The summary cut to ``capacity`` items, and by how much every count fell."""
     if len(counts) <= capacity:
-        return counts, 0
-    least = int(np.partition(counts.to_numpy(), len(counts) - capacity - 1)[len(counts) - capacity - 1])
-    counts = counts - least
-    return counts[counts > 0], least
+        return items, counts, 0
+    least = int(np.partition(counts, len(counts) - capacity - 1)[len(counts) - capacity - 1])
+    kept = counts > least
+    return items.filter(pa.array(kept)), counts[kept] - least, least
+
+
+def added(items: pa.Array, counts: np.ndarray, more: pa.Array, n: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The sums of two summaries; both list every item once."""
+    at = pc.index_in(items, value_set=more)
+    new = at.is_null()
+    n = n.copy()
+    n[at.drop_null().to_numpy()] += counts[~new.to_numpy(zero_copy_only=False)]
+    return pa.concat_arrays([more, items.filter(new)]), np.concatenate([n, counts[new.to_numpy(zero_copy_only=False)]])
 
 
 def summaries(df: DataFrame, items: str, capacity: int = CAPACITY) -> DataFrame:
     """Per task the kept items with their counts (item, low) and one row of the shortfall (null item)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, short = pd.Series(dtype="int64"), 0
+        held, counts, short = pa.array([], pa.string()), np.zeros(0, np.int64), 0
         for batch in batches:
             coded = batch.column(0).flatten().drop_null().dictionary_encode()
             if not len(coded):
                 continue
-            n = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
-            held = held.add(pd.Series(n, index=coded.dictionary.to_pylist()), fill_value=0).astype("int64")
+            n = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary)).astype(np.int64)
+            # most items of a batch are cut at once, so they stay in Arrow
+            held, counts = added(held, counts, coded.dictionary.cast(pa.string()), n)
             if len(held) > 2 * capacity:
-                held, fell = trimmed(held, capacity)
+                held, counts, fell = trimmed(held, counts, capacity)
                 short += fell
-        held, fell = trimmed(held, capacity)
+        held, counts, fell = trimmed(held, counts, capacity)
         for k in range(0, len(held), 100_000):
-            part = held.iloc[k:k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.index, pa.string()), pa.array(part.to_numpy(), pa.int64())], ["item", "low"])
+            yield pa.RecordBatch.from_arrays([held.slice(k, 100_000), pa.array(counts[k:k + 100_000], pa.int64())], ["item", "low"])
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([short + fell], pa.int64())], ["item", "low"])
     return df.select(items).mapInArrow(run, "item string, low long")
 
