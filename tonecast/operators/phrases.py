@@ -60,13 +60,43 @@ def phrase_counts(df: DataFrame, *keys: str, lo: int = 2, hi: int = 2, variant:
     return exploded.groupBy(*keys, "ngram").agg(F.count(F.lit(1)).alias("count"))
 
 
+_FREQUENT_WORDS = 2_000  # words that a phrase expression lists
+
+
+def _frequent_phrases(df: DataFrame, n: int, hi: int, variant: str, text: str = "review_text") -> DataFrame | None:
+    """Exact counts of every run of 1 to ``hi`` words that may be among the ``n`` most frequent, and of few others.
+
+    A run occurs no more often than each of its words, so words below the count of the n-th word are in none of them.
+    None if too many words reach that count, or there are fewer than ``n``.
+    """
+    counts = word_counts(df, variant=variant, text=text).orderBy(*_by_count("term"))
+    top = counts.limit(_FREQUENT_WORDS + 1).collect()
+    if len(top) < n:
+        return None
+    kept = [r["term"] for r in top if r["count"] >= top[n - 1]["count"]]
+    if len(kept) > _FREQUENT_WORDS:
+        return None
+    # other words become null, and so does every run that holds one
+    listed = df.select(tk.words(F.col(text), variant).alias("_all")).select(
+        F.transform("_all", lambda w: F.when(w.isin(*kept), w)).alias("_words"))
+    runs = [F.col("_words")]
+    for shift in range(2, hi + 1):
+        rest = F.slice("_words", F.lit(shift), F.greatest(F.size("_words"), F.lit(0)))
+        runs.append(F.zip_with(runs[-1], rest, lambda a, b: F.concat(a, F.lit(" "), b)))
+    each = listed.select(F.explode(F.filter(F.concat(*runs), lambda r: r.isNotNull())).alias("ngram"))
+    return each.groupBy("ngram").agg(F.count(F.lit(1)).alias("count"))
+
+
 def top_phrases(df: DataFrame, n: int = 20, lo: int = 2, hi: int = 2, variant: str = "voice",
                 capacity: int | None = None) -> DataFrame:
-    """Most frequent word runs. With a ``capacity`` only those that summaries of that size show as candidates are shuffled
+    """Most frequent word runs. Where single words are among them, only runs of frequent words are counted. With a ``capacity`` only those that summaries of that size show as candidates are shuffled
     (see ``frequent``), which pays where most runs occur once or twice in a large table."""
     if capacity is not None:
         return frequent.top(phrase_arrays(df, lo=lo, hi=hi, variant=variant), "ngrams", n, capacity, "ngram")
-    return phrase_counts(df, lo=lo, hi=hi, variant=variant).orderBy(*_by_count("ngram")).limit(n)
+    counts = _frequent_phrases(df, n, hi, variant) if lo == 1 and hi > 1 else None
+    if counts is None:
+        counts = phrase_counts(df, lo=lo, hi=hi, variant=variant)
+    return counts.orderBy(*_by_count("ngram")).limit(n)
 
 
 def top_phrases_by(df: DataFrame, keys: list[str], n: int, variant: str = "voice", max_texts: int | None = None,
