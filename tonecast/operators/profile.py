@@ -47,26 +47,26 @@ def describe_all(df: DataFrame) -> DataFrame:
 
 
 _HEAD = 32  # leading characters of a text that travel with its digest
-_BUCKETS = 256
 
 
 def _modes(df: DataFrame) -> DataFrame:
     """Per column with values: n_distinct, the most frequent text (the smallest of a tie) and its freq.
 
-    Texts are counted by digest, then by column and a bucket of digests, so no task holds a column's values and no whole
-    text is shuffled. Where the winners share a longer head, a second pass takes the smallest text among them.
+    Texts are counted by digest, so no task holds a column's values and no whole text is shuffled; the rest are plain
+    aggregates over the counts, which nothing sorts. Where the winners share a longer head, a second pass takes the smallest text among them.
     """
     def cells(of: DataFrame, columns: list[str]) -> DataFrame:
         each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("text")) for c in columns])
         return of.select(F.inline(each)).filter(F.col("text").isNotNull()).select(
             "column", "text", F.unhex(F.md5("text")).alias("digest"), F.substring("text", 1, _HEAD).alias("head"))
-    per = materialize(cells(df, df.columns).groupBy("column", "digest").agg(
-        F.count(F.lit(1)).alias("w"), F.min("head").alias("head")), "digests")
-    best = F.min_by(F.struct("w", "head"), F.struct(-F.col("w"), F.col("head"))).alias("best")
-    bucket = F.pmod(F.xxhash64("digest"), F.lit(_BUCKETS)).alias("bucket")
-    some = per.groupBy("column", bucket).agg(F.count(F.lit(1)).alias("n"), best).select("column", "n", "best.*")
-    won = some.groupBy("column").agg(F.sum("n").alias("n_distinct"), best).select("column", "n_distinct", "best.*")
-    won = materialize(won, "modes")  # one row per column
+    # the head follows from the digest; as a key it leaves a count of fixed size, which is hashed and not sorted
+    per = materialize(cells(df, df.columns).groupBy("column", "digest", "head").agg(F.count(F.lit(1)).alias("w")), "digests")
+    own = [F.col("column") == c for c in df.columns]
+    told = per.agg(*[m.alias(f"{n}{i}") for i, c in enumerate(own) for n, m in (("n", F.count_if(c)), ("w", F.max(F.when(c, F.col("w")))))]).first()
+    heads = per.agg(*[F.min(F.when(c & (F.col("w") == told[f"w{i}"]), F.col("head"))).alias(f"h{i}") for i, c in enumerate(own)]).first()
+    won = df.sparkSession.createDataFrame(
+        [(c, told[f"n{i}"], told[f"w{i}"], heads[f"h{i}"]) for i, c in enumerate(df.columns) if told[f"n{i}"]],
+        "column string, n_distinct long, w long, head string")  # one row per column
     long = [r["column"] for r in won.filter(F.length("head") == _HEAD).collect()]
     if not long:
         return won.select("column", "n_distinct", F.col("head").alias("top"), F.col("w").alias("freq"))
