@@ -85,3 +85,28 @@ def test_far_fewer_scores_than_pairs(spark):
     floors = sn.nearest(df, 3, terms).groupBy("query_id").agg({"score": "min"}).toDF("id", "floor")
     scored = lists.pairs(lists.asked(lambda i, v, n, w, f: sn.seed_terms(i, v, n, w))) + lists.pairs(lists.asked(sn.needed_terms, floors))
     assert scored < 0.1 * 1500 ** 2
+
+
+def test_rows_of_many_common_terms_are_dealt_in_blocks(spark, monkeypatch):
+    """Every list holds every row, so sending members to lists copies the table once a term; blocks copy it a few times."""
+    monkeypatch.setattr(sn, "LEAST_BLOCK", 20)
+    rng, n, terms = np.random.default_rng(4), 200, 300
+    rows = []
+    for k in range(n):
+        index = np.sort(rng.choice(terms, 200, replace=False))
+        value = rng.random(200)
+        rows.append((k, index, value / np.linalg.norm(value)))
+    dealt = []
+    scored = sn.Lists._scored
+    monkeypatch.setattr(sn.Lists, "_scored", lambda self, cells, k: dealt.append(cells.count()) or scored(self, cells, k))
+    got = sn.nearest(frame(spark, rows), 3, terms).collect()
+    assert sum(dealt) <= 2 * 6 * n
+    want = brute(rows, terms, 3)
+    near = {(r["query_id"], r["rank"]): r["score"] for r in got}
+    assert len(got) == len(want) and all(abs(near[q, rank] - s) < 1e-9 for (q, _, rank), s in want.items())
+
+
+def test_copies_of_a_row_are_one_neighbour(spark):
+    rows = [(1, [0, 1], [0.6, 0.8]), (2, [0, 1], [0.6, 0.8]), (2, [0, 1], [0.6, 0.8]), (3, [0], [1.0]), (3, [0], [1.0])]
+    got = sorted((r["rank"], r["document_id"]) for r in sn.nearest(frame(spark, rows), 2, 2).filter("query_id = 1").collect())
+    assert got == [(1, 2), (2, 3)]

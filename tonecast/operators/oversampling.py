@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tonecast.functions import expressions as ex
 from tonecast.operators import scaling, sparse_neighbours
 from tonecast.operators.features import entries
+from tonecast.session import materialize
 
 
 def class_sizes(df: DataFrame, label: str) -> dict[str, int]:
@@ -69,9 +70,10 @@ def interpolate_minority(vectors: DataFrame, label: str = "sentiment", key: str
     neighbours are exact and found through inverted lists of terms (see ``sparse_neighbours``), so features must not be
     negative. Apply it to training rows only.
     """
-    sizes = class_sizes(vectors, label)
+    # every class and every part of the result reads the vectors; they are made from the texts once
+    rows = materialize(vectors.select(key, label, "features").filter(F.col(label).isNotNull()), "vectors")
+    sizes = class_sizes(rows, label)
     target = max(sizes.values())
-    rows = vectors.select(key, label, "features").filter(F.col(label).isNotNull())
     out = rows.withColumn("copy", F.lit(0))
     terms = rows.first()["features"].size
     for name, n in sizes.items():

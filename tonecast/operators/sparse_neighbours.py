@@ -5,6 +5,9 @@ the most frequent first, as long as what they can add to any score (weight times
 the length of the part left aside) stays below the floor: a vector that shares none of the other terms cannot be among
 the best k. The members of the lists of those other terms are compared in one sparse product per list, so every
 neighbour is found and the lists of frequent terms are rarely read.
+
+A member goes to every list with its whole vector. Where that sends more rows than dealing the table out in blocks and
+comparing each block with each, as with long texts that share many terms, the blocks are compared instead.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from tonecast.operators import scaling
 from tonecast.session import materialize
 
 BLOCK_ROWS = 2048  # members of a list that a task compares with as many others
+BLOCK_ENTRIES, LEAST_BLOCK, LEAST_BLOCKS = 3_000_000, 256, 6  # when the table itself is cut: entries of a block, its least rows, and blocks of larger tables
 SEED_TERMS, SEED_ROWS = 4, 256  # terms of a vector that give its floor, and the longest list they may have
 _ENTRIES = 16_384
 _SLICE = 256
@@ -123,6 +127,31 @@ class Lists:
         sizes = asked.groupBy("term").count().toPandas()
         return int((sizes["count"] * self.frequency[sizes["term"]]).sum())
 
+    def blocks(self, n: int) -> int:
+        """Blocks that the table of ``n`` rows is cut into where each is compared with each."""
+        by_size = BLOCK_ENTRIES * n // max(int(self.frequency.sum()), 1)
+        return max(1, -(-n // max(1, min(by_size, max(LEAST_BLOCK, -(-n // LEAST_BLOCKS))))))
+
+    def sent(self, asked: DataFrame) -> int:
+        """Rows, each with its vector, that comparing the asked lists deals out."""
+        of = self.frequency[asked.select("term").distinct().toPandas()["term"].to_numpy(dtype=np.int64)]  # at most the vocabulary
+        parts = -(-of // BLOCK_ROWS)
+        return int((of * np.where(parts > 1, 2 * parts, 1)).sum())
+
+    def every(self, k: int, blocks: int) -> DataFrame:
+        """The best ``k`` others of each row in each block of the table: (query_id, document_id, score)."""
+        own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+        each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+        yes, no, term = F.lit(True), F.lit(False), F.lit(0).alias("term")
+        vector, rows = ["id", "index", "value"], self.rows.filter(F.col("id").isNotNull())
+        if blocks == 1:
+            dealt = rows.select(term, F.lit(0).alias("qb"), F.lit(0).alias("db"), *vector, yes.alias("asks"), yes.alias("holds"))
+        else:
+            asking = rows.select(term, own.alias("qb"), each.alias("db"), *vector, yes.alias("asks"), no.alias("holds"))
+            holding = rows.select(term, each.alias("qb"), own.alias("db"), *vector, no.alias("asks"), yes.alias("holds"))
+            dealt = asking.unionByName(holding)
+        return self._scored(dealt, k)
+
     def compared(self, asked: DataFrame, k: int) -> DataFrame:
         """The best ``k`` others of each asking row in each asked list: (query_id, document_id, score)."""
         asked = asked.withColumn("asks", F.lit(True))
@@ -141,8 +170,12 @@ class Lists:
         short = listed.filter("parts = 1").select("term", F.lit(0).alias("qb"), F.lit(0).alias("db"), "id", "asks", F.lit(True).alias("holds"))
         asking = listed.filter("parts > 1 AND asks").select("term", own.alias("qb"), every.alias("db"), "id", F.lit(True).alias("asks"), F.lit(False).alias("holds"))
         holding = listed.filter("parts > 1").select("term", every.alias("qb"), own.alias("db"), "id", F.lit(False).alias("asks"), F.lit(True).alias("holds"))
-        by = ["term", "qb", "db"]
         dealt = short.union(asking.select(*short.columns)).union(holding.select(*short.columns)).join(self.rows, "id")
+        return self._scored(dealt, k)
+
+    def _scored(self, dealt: DataFrame, k: int) -> DataFrame:
+        """The best ``k`` held rows of each asking row of a cell (term, qb, db)."""
+        by = ["term", "qb", "db"]
 
         def run(batches):
             for t in _runs(batches, by):
@@ -151,18 +184,21 @@ class Lists:
                 if not asks.any() or not d.num_rows:
                     continue
                 ids, rows, q = d.column("id").to_numpy(zero_copy_only=False), _rows(d), t.filter(pa.array(asks))
+                order = np.argsort(ids, kind="stable")
+                first = np.flatnonzero(np.concatenate(([True], ids[order][1:] != ids[order][:-1])))  # an id may repeat
+                known = ids[order][first]
                 for start in range(0, q.num_rows, _SLICE):
                     part = q.slice(start, _SLICE)
                     names = part.column("id").to_numpy(zero_copy_only=False)
                     scores = np.round(products(_rows(part), rows), _DIGITS)
-                    scores[names[:, None] == ids[None, :]] = -np.inf
-                    order = np.argsort(ids, kind="stable")
-                    best = order[np.argsort(-scores[:, order], axis=1, kind="stable")[:, :k]]
+                    scores = scores[:, order] if len(known) == len(ids) else np.maximum.reduceat(scores[:, order], first, axis=1)
+                    scores[names[:, None] == known[None, :]] = -np.inf
+                    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
                     found = np.take_along_axis(scores, best, axis=1)
                     kept = found > -np.inf
                     if kept.any():
                         yield pa.RecordBatch.from_pydict({"query_id": np.repeat(names, kept.sum(axis=1)),
-                                                          "document_id": ids[best[kept]], "score": found[kept]})
+                                                          "document_id": known[best[kept]], "score": found[kept]})
         cells = dealt.repartition(*by).sortWithinPartitions(*by)
         return cells.mapInArrow(run, f"query_id {self.id_type}, document_id {self.id_type}, score double")
 
@@ -176,10 +212,17 @@ def nearest(vectors: DataFrame, k: int, terms: int, key: str = "id", entries: st
     e = F.col(entries)
     rows = materialize(vectors.select(F.col(key).alias("id"), F.transform(e, lambda x: x["index"]).alias("index"),
                                       F.transform(e, lambda x: x["value"]).alias("value")), "sparse")
-    lists = Lists(rows, terms)
-    first = materialize(lists.compared(lists.asked(lambda i, v, n, w, f: seed_terms(i, v, n, w)), k), "floors")
+    lists, n = Lists(rows, terms), rows.count()
+    blocks = lists.blocks(n)
+    seeds = materialize(lists.asked(lambda i, v, n, w, f: seed_terms(i, v, n, w)), "seeds")
+    if lists.sent(seeds) > 2 * n * blocks:
+        return _best(lists.every(k, blocks), k)
+    first = materialize(lists.compared(seeds, k), "floors")
     floors = _best(first, k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).otherwise(0.0).alias("floor"))
-    more = lists.compared(materialize(lists.asked(needed_terms, floors.withColumnRenamed("query_id", "id")), "asked"), k)
+    asked = materialize(lists.asked(needed_terms, floors.withColumnRenamed("query_id", "id")), "asked")
+    if lists.sent(asked) > 2 * n * blocks:
+        return _best(lists.every(k, blocks), k)
+    more = lists.compared(asked, k)
     # rows without a common term score 0: the lowest ids are offered to rows that may share a term with fewer than k
     low = F.array(*[F.lit(r[0]) for r in rows.select("id").orderBy("id").limit(2 * k + 1).collect()] or [F.lit(None).cast(lists.id_type)])
     few = rows.select(F.col("id").alias("query_id")).join(floors.filter("floor > 0"), "query_id", "left_anti")
