@@ -1,10 +1,13 @@
-"""Column expressions shared by the operators. All of them stay in the JVM."""
+"""Column expressions shared by the operators. All of them stay in the JVM, but for keyword rules, which read Arrow batches."""
 
 from __future__ import annotations
 
 import re
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,7 +105,14 @@ def _found(lowered: Column, pattern: str) -> Column:
 
 
 def first_rule(text: Column, rules: list[tuple[str, str]], fallback: str) -> Column:
-    """Name of the first keyword rule found in the text, else ``fallback``."""
+    """Name of the first keyword rule found in the text, else ``fallback``.
+
+    Alternations of plain keywords and optional characters are matched by an automaton, in one pass over the text for all
+    keywords of a rule; rules with other regex syntax are left to ``_found``.
+    """
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+    if all(re.fullmatch(r"(?:[\w |]|\.\?)+", pattern, re.ASCII) for _, pattern in rules):
+        return _first_keyword(rules, fallback)(lowered)
     (name, pattern), *rest = rules
 
     def named(lowered: Column) -> Column:
@@ -112,7 +122,23 @@ def first_rule(text: Column, rules: list[tuple[str, str]], fallback: str) -> Col
         return chain.otherwise(fallback)
 
     # the lambda holds the lowered text, which would otherwise be made anew for every keyword
-    return F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), named)[0]
+    return F.transform(F.array(lowered), named)[0]
+
+
+def _first_keyword(rules: list[tuple[str, str]], fallback: str):
+    # a dot stands for any character but the line ends of Java's patterns
+    patterns = [(name, words.replace(".", "[^\\n\\r\\x{85}\\x{2028}\\x{2029}]")) for name, words in rules]
+
+    @F.arrow_udf("string")
+    def first(texts: pa.Array) -> pa.Array:
+        names, left = np.full(len(texts), fallback, dtype=object), np.arange(len(texts))
+        for name, pattern in patterns:
+            hit = pc.match_substring_regex(texts, pattern)
+            found = hit.to_numpy(zero_copy_only=False).astype(bool)
+            names[left[found]] = name
+            texts, left = texts.filter(pc.invert(hit)), left[~found]
+        return pa.array(names, pa.string())
+    return first
 
 
 def known_aspect(question: Column, named: dict[str, tuple[str, ...]]) -> Column:

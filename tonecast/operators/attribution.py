@@ -18,9 +18,12 @@ def background_mean(df: DataFrame, model: SentimentModel, n: int | None = None,
     rows = df.select(key, "review_text", aspect).na.drop()
     rows = rows if n is None else sample_rows(rows, n, seed, key)
     vectors = model.features.transform(with_pair(rows, aspect), PAIR).select("features")
-    sums = vectors.select(F.inline(entries(F.col("features")))).groupBy("index").agg(F.sum("value").alias("s")).toPandas()
+    # a row counts itself as one more entry, so the texts are read once
+    itself = F.array(F.struct(F.lit(-1).alias("index"), F.lit(1.0).alias("value")))
+    sums = vectors.select(F.inline(F.concat(entries(F.col("features")), itself))).groupBy("index").agg(F.sum("value").alias("s")).toPandas()
+    index, total = sums["index"].to_numpy(dtype="int64"), sums["s"].to_numpy()
     mean = np.zeros(len(model.features.idf))
-    mean[sums["index"].to_numpy(dtype="int64")] = sums["s"].to_numpy() / max(rows.count(), 1)
+    mean[index[index >= 0]] = total[index >= 0] / max(total[index < 0].sum(), 1)
     return mean
 
 
@@ -44,19 +47,18 @@ def explain(df: DataFrame, model: SentimentModel, mean: np.ndarray, top_k: int |
         at = indices.flatten().to_numpy(zero_copy_only=False)
         x = v.field("values").flatten().to_numpy(zero_copy_only=False)
         sizes = np.diff(indices.offsets.to_numpy())
-        cls = np.repeat(c.to_numpy(zero_copy_only=False), sizes)
-        phi = coefficients[cls, at] * (x - mean[at])
-        cells = pa.StructArray.from_arrays([pa.array(at), pa.array(phi)], ["index", "value"])
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        phi = coefficients[c.to_numpy(zero_copy_only=False)[row], at] * (x - mean[at])
+        order = np.lexsort((at, -np.abs(phi), row))
+        if top_k is not None:  # places inside the row
+            order = order[np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < top_k]
+            sizes = np.minimum(sizes, top_k)
+        cells = pa.StructArray.from_arrays([pa.array(at[order]), pa.array(phi[order])], ["index", "value"])
         starts = np.concatenate([[0], np.cumsum(sizes)]).astype("int32")
         return pa.ListArray.from_arrays(pa.array(starts), cells)
 
-    keyed = F.transform(contributions("features", "_c"),
-                        lambda e: F.struct((-F.abs(e["value"])).alias("o"), e["index"].alias("index"), e["value"].alias("value")))
-    ordered = F.array_sort(keyed)
-    if top_k is not None:
-        ordered = F.slice(ordered, 1, top_k)
     bases = F.element_at(F.array(*[F.lit(float(b)) for b in base]), F.col("_c") + 1)
-    rows = vectors.select(key, "sentiment_pred", bases.alias("base_value"), F.posexplode(ordered).alias("pos", "e"))
+    rows = vectors.select(key, "sentiment_pred", bases.alias("base_value"), F.posexplode(contributions("features", "_c")).alias("pos", "e"))
     return (rows.select(key, "sentiment_pred", "base_value", (F.col("pos") + 1).alias("rank"),
                         F.col("e.index").alias("index"), F.col("e.value").alias("value"))
             .join(model.features.names(df), "index").select(key, "sentiment_pred", "base_value", "term", "value", "rank"))
