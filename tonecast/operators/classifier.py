@@ -77,10 +77,11 @@ class SentimentModel:
             for c in classes:
                 weight = F.when(F.col(label) == c, total / (len(classes) * n[c])).otherwise(weight)
         rows = vectors.select("features", index.cast("double").alias("_y"), weight.cast("double").alias("_w"))
-        rows = materialize(scaling.compact(rows, total), "instances")
+        rows, depth = scaling.for_steps(materialize(scaling.compact(rows, total), "instances"), total)
         estimator = LogisticRegression(
             featuresCol="features", labelCol="_y", weightCol="_w", family="multinomial", standardization=False,
-            elasticNetParam=0.0, regParam=1.0 / (C * total), maxIter=max_iter, tol=TOLERANCE)
+            elasticNetParam=0.0, regParam=1.0 / (C * total), maxIter=max_iter, tol=TOLERANCE,
+            aggregationDepth=depth)
         return SentimentModel(features, estimator.fit(rows), classes)
 
     def transform(self, df: DataFrame, aspect: str = "aspect", keep_features: bool = False) -> DataFrame:

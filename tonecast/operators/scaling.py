@@ -147,3 +147,18 @@ def compact(df: DataFrame, rows: int, rows_per_task: int = 5_000) -> DataFrame:
     """
     wanted = max(1, -(-rows // rows_per_task))
     return df.repartition(wanted) if wanted < df.rdd.getNumPartitions() else df
+
+
+def for_steps(df: DataFrame, rows: int, rows_per_task: int = 50_000) -> tuple[DataFrame, int]:
+    """A table for a fit of many steps, and the aggregation depth with which each step sends the driver one sum.
+
+    ``treeAggregate`` divides the partitions by the depth-th root of their number, rounded up, until that no longer helps,
+    and what is left sends its sum to the driver. From 28 partitions and depth 3 it goes to 7 and to 1, as it does from 28
+    times a power of 4 with one more level for each. Small tables stay in the few tasks they have.
+    """
+    if rows <= 25_000:
+        return df, 2
+    partitions, depth = 28, 3
+    while rows > partitions * rows_per_task:
+        partitions, depth = 4 * partitions, depth + 1
+    return df.repartition(partitions), depth
