@@ -275,7 +275,7 @@ def model_state(v):
     """Every row gets a label of the taxonomy and a confidence, and the fit ended before its limit of steps."""
     model = _model(v)
     found = classifier.score_reviews(v.texts, model)
-    done = model.regression.summary.totalIterations < 2000
+    done = model.steps < 2000
     return found.agg(F.count("*").alias("scored_rows"), F.count_if(F.col("sentiment_confidence").between(1 / 3 - 1e-3, 1)).alias("in_range"),
                      F.count_if(F.col("sentiment_pred").isin(*LABELS)).alias("known_labels")).withColumn("converged", F.lit(done))
 
