@@ -24,9 +24,7 @@ _TASK_ROWS = 25_000
 # tasks that add up a step's sum, each a range of the features
 _SLICES = 8
 # steps kept to estimate curvature, and steps over which the objective is compared to tell convergence
-_MEMORY, _WINDOW = 20, 10
-# about the mean of p * (1 - p): it only scales the search
-_CURVATURE = 0.2
+_MEMORY, _WINDOW = 30, 10
 _COLUMNS = {"starts": "int64", "indices": "int32", "values": "float64", "y": "int32", "w": "float64"}
 
 
@@ -65,16 +63,28 @@ def _added(parts: RDD) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([found[k] for k in range(_SLICES)], axis=1).astype("float64"), found[-1]
 
 
-def _squares(blocks: RDD, size: int) -> tuple[np.ndarray, float]:
-    """Weighted sum of squares of each feature, and of the weights."""
+def _curvature(blocks: RDD, weights: np.ndarray, intercepts: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Summed curvature of the loss by the coefficients of each feature and by the intercepts, means over the classes; sum of the weights."""
+    sc = blocks.context
+    sent = sc.broadcast((weights, intercepts))
+
     def part(own: Iterator[tuple]) -> Iterator[tuple[int, np.ndarray]]:
-        sums, tail = np.zeros((1, size)), np.zeros(1)
-        for starts, index, value, _, w in own:
-            sums[0] += np.bincount(index, np.repeat(w, np.diff(starts)) * value * value, size)
-            tail += w.sum()
+        coefficients, shifts = sent.value
+        kinds, size = coefficients.shape
+        sums, tail = np.zeros((1, size)), np.zeros(2)
+        for starts, index, value, y, w in own:
+            sizes = np.diff(starts)
+            row = np.repeat(np.arange(len(y)), sizes)
+            z = np.stack([np.bincount(row, coefficients[k][index] * value, len(y)) + shifts[k] for k in range(kinds)], axis=1)
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            bend = w * (p * (1 - p)).mean(axis=1)
+            sums[0] += np.bincount(index, bend[row] * value * value, size)
+            tail += bend.sum(), w.sum()
         yield from [(-1, tail), *enumerate(np.array_split(sums, _SLICES, axis=1))]
     sums, tail = _added(blocks.mapPartitions(part))
-    return sums[0], float(tail[0])
+    sent.destroy()
+    return sums[0], float(tail[0]), float(tail[1])
 
 
 def _losses(blocks: RDD, weights: np.ndarray, intercepts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -116,27 +126,33 @@ def _losses(blocks: RDD, weights: np.ndarray, intercepts: np.ndarray) -> tuple[f
     return float(tail[-1]), whole(sums), whole(tail[:-1])
 
 
-def _direction(gradient: np.ndarray, kept: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Quasi-Newton direction from the last steps and their changes of the gradient (L-BFGS)."""
+def _direction(gradient: np.ndarray, kept: list[tuple[np.ndarray, np.ndarray]], curvature: np.ndarray) -> np.ndarray:
+    """Quasi-Newton direction (L-BFGS) from the curvature along the axes, the last steps and their changes of the gradient."""
     q, shares = -gradient, []
     for step, change in reversed(kept):
         shares.append((step @ q) / (change @ step))
         q = q - shares[-1] * change
     if not kept:
-        return q / max(1.0, np.linalg.norm(q))
+        return q / curvature / max(1.0, np.sqrt(q @ (q / curvature)))
     step, change = kept[-1]
-    q *= (step @ change) / (change @ change)
+    q = q / curvature * ((step @ change) / (change @ (change / curvature)))
     for (step, change), share in zip(kept, reversed(shares)):
         q = q + step * (share - (change @ q) / (change @ step))
     return q
 
 
-def _minimise(objective, point: np.ndarray, max_iter: int, tolerance: float) -> tuple[np.ndarray, int]:
-    """Minimum of a smooth convex function and the steps taken; as many as ``max_iter`` if it has not converged."""
+def _minimise(objective, bend, point: np.ndarray, max_iter: int, tolerance: float) -> tuple[np.ndarray, int]:
+    """Minimum of a smooth convex function and the steps taken; as many as ``max_iter`` if it has not converged.
+
+    ``bend`` gives the curvature along the axes. It is asked at the start and after 8, 16, 32 ... steps.
+    """
     value, gradient = objective(point)
+    curvature = bend(point)
     kept, values = [], [value]
     for done in range(max_iter):
-        q = _direction(gradient, kept)
+        if done >= 8 and not done & (done - 1):
+            curvature = bend(point)
+        q = _direction(gradient, kept, curvature)
         slope, length, low, high = gradient @ q, 1.0, 0.0, None
         for _ in range(30):
             at, slant = objective(point + length * q)
@@ -166,23 +182,27 @@ def fit(rows: DataFrame, kinds: int, size: int, total: int, penalty: float, max_
     """Model of ``total`` rows (features, class ``_y`` of ``kinds``, weight ``_w``) and the steps it took.
 
     Minimises the mean weighted loss plus ``penalty / 2`` times the squared coefficients, as ``LogisticRegression`` does
-    without standardisation, from intercepts of zero. Features are scaled by the curvature they can have, which takes about
-    half the steps; a step sends the driver ``4 * (kinds - 1) * size`` bytes, whatever the number of rows and tasks.
+    without standardisation, from zero. A step sends the driver ``4 * (kinds - 1) * size`` bytes, whatever the number of
+    rows and tasks.
     """
     blocks = _blocks(rows, total)
-    squares, weight = _squares(blocks, size)
-    scale = np.concatenate([np.tile(np.sqrt(penalty + _CURVATURE * squares / weight), kinds), np.full(kinds, _CURVATURE ** 0.5)])
 
     def split(point: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return (point / scale)[:-kinds].reshape(kinds, size), (point / scale)[-kinds:]
+        return point[:-kinds].reshape(kinds, size), point[-kinds:]
+
+    def bend(point: np.ndarray) -> np.ndarray:
+        by_weight, by_intercept, weight = _curvature(blocks, *split(point))
+        return np.concatenate([np.tile(penalty + by_weight / weight, kinds), np.full(kinds, max(by_intercept / weight, 1e-12))])
+
+    weight = _curvature(blocks, *split(np.zeros(kinds * size + kinds)))[2]
 
     def objective(point: np.ndarray) -> tuple[float, np.ndarray]:
         weights, intercepts = split(point)
         loss, by_weight, by_intercept = _losses(blocks, weights, intercepts)
         gradient = np.concatenate([(by_weight / weight + penalty * weights).ravel(), by_intercept / weight])
-        return loss / weight + penalty / 2 * (weights * weights).sum(), gradient / scale
+        return loss / weight + penalty / 2 * (weights * weights).sum(), gradient
 
-    point, steps = _minimise(objective, np.zeros(len(scale)), max_iter, tolerance)
+    point, steps = _minimise(objective, bend, np.zeros(kinds * size + kinds), max_iter, tolerance)
     blocks.unpersist()
     weights, intercepts = split(point)
     matrix, shifts = DenseMatrix(kinds, size, weights.ravel(order="F")), DenseVector(intercepts)
