@@ -228,7 +228,7 @@ def _tfidf(sublinear, min_df):
 
 
 def _pairs(v):
-    return classifier.with_pair(v.scored)
+    return classifier.with_pair(v.scored_batched)
 
 
 @check("tfidf_weights", views="scored", ctes=_tfidf(True, 2), sql="SELECT review_id, term, round(x / norm, 9) AS weight FROM ra JOIN no USING (review_id)")
@@ -255,7 +255,7 @@ def tfidf_raw_counts(v):
 
 
 def _labelled(v):
-    return cleaning.with_rule_aspect(v.texts.filter("sentiment IS NOT NULL"), "aspect")
+    return cleaning.with_rule_aspect(v.texts.filter("sentiment IS NOT NULL"), "aspect", batched=True)
 
 
 _fitted: dict[tuple[str, str], classifier.SentimentModel] = {}
@@ -292,7 +292,7 @@ def predict_view(v):
 
 @check("token_attribution")
 def token_attribution(v):
-    model, rows = _model(v), cleaning.with_rule_aspect(v.texts, "aspect")
+    model, rows = _model(v), cleaning.with_rule_aspect(v.texts, "aspect", batched=True)
     return attribution.explain(rows, model, attribution.background_mean(rows, model))
 
 

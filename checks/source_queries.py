@@ -81,7 +81,7 @@ def saved_model(v):
     """A saved and loaded model scores every text as the fitted one does."""
     path, fitted = _folder(v, "model"), _model(v)
     fitted.save(path)
-    rows = cleaning.with_rule_aspect(v.texts)
+    rows = cleaning.with_rule_aspect(v.texts, batched=True)
     again = classifier.SentimentModel.load(path).transform(rows, "aspect_pred").select(
         "review_id", F.col("sentiment_pred").alias("label"), F.col("sentiment_confidence").alias("confidence"))
     return fitted.transform(rows, "aspect_pred").join(again, "review_id").select(

@@ -171,10 +171,18 @@ class Views:
         tables = {"documents": documents, "labels": self.table("labels")}
         return self.spark.sql(TEXTS, **tables)
 
+    def _scored(self, batched: bool) -> DataFrame:
+        ruled = cleaning.with_rule_aspect(self.texts, "aspect", batched=batched)
+        return cleaning.with_calendar(self.spark.sql(SCORED, ruled=ruled))
+
     @cached_property
     def scored(self) -> DataFrame:
-        ruled = cleaning.with_rule_aspect(self.texts, "aspect")
-        return cleaning.with_calendar(self.spark.sql(SCORED, ruled=ruled))
+        return self._scored(False)
+
+    @cached_property
+    def scored_batched(self) -> DataFrame:
+        """The same rows, for queries that run Python in their tasks anyway."""
+        return self._scored(True)
 
     @cached_property
     def raw(self) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Column expressions shared by the operators. All of them stay in the JVM, but for keyword rules, which read Arrow batches."""
+"""Column expressions shared by the operators. All of them stay in the JVM, but for ``first_rule``."""
 
 from __future__ import annotations
 
@@ -104,15 +104,8 @@ def _found(lowered: Column, pattern: str) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
-def first_rule(text: Column, rules: list[tuple[str, str]], fallback: str) -> Column:
-    """Name of the first keyword rule found in the text, else ``fallback``.
-
-    Alternations of plain keywords and optional characters are matched by an automaton, in one pass over the text for all
-    keywords of a rule; rules with other regex syntax are left to ``_found``.
-    """
-    lowered = F.lower(F.coalesce(text, F.lit("")))
-    if all(re.fullmatch(r"(?:[\w |]|\.\?)+", pattern, re.ASCII) for _, pattern in rules):
-        return _first_keyword(rules, fallback)(lowered)
+def first_rule_plain(text: Column, rules: list[tuple[str, str]], fallback: str) -> Column:
+    """``first_rule`` without Python, for plans that run none. It searches the text once per keyword."""
     (name, pattern), *rest = rules
 
     def named(lowered: Column) -> Column:
@@ -122,7 +115,22 @@ def first_rule(text: Column, rules: list[tuple[str, str]], fallback: str) -> Col
         return chain.otherwise(fallback)
 
     # the lambda holds the lowered text, which would otherwise be made anew for every keyword
-    return F.transform(F.array(lowered), named)[0]
+    return F.transform(F.array(_lowered(text)), named)[0]
+
+
+def _lowered(text: Column) -> Column:
+    return F.lower(F.coalesce(text, F.lit("")))
+
+
+def first_rule(text: Column, rules: list[tuple[str, str]], fallback: str) -> Column:
+    """Name of the first keyword rule found in the text, else ``fallback``, on Arrow batches.
+
+    Alternations of plain keywords and optional characters are matched by an automaton, in one pass over the text for all
+    keywords of a rule; rules with other regex syntax are left to ``first_rule_plain``.
+    """
+    if all(re.fullmatch(r"(?:[\w |]|\.\?)+", pattern, re.ASCII) for _, pattern in rules):
+        return _first_keyword(rules, fallback)(_lowered(text))
+    return first_rule_plain(text, rules, fallback)
 
 
 def _first_keyword(rules: list[tuple[str, str]], fallback: str):

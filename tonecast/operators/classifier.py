@@ -124,7 +124,7 @@ class SentimentModel:
 
 def score_reviews(df: DataFrame, model: SentimentModel) -> DataFrame:
     """Keyword aspect first, then the sentiment for that aspect."""
-    return model.transform(with_rule_aspect(df), "aspect_pred").drop(*PROBABILITIES.values())
+    return model.transform(with_rule_aspect(df, batched=True), "aspect_pred").drop(*PROBABILITIES.values())
 
 
 def prediction_view(scored: DataFrame) -> DataFrame:

@@ -42,14 +42,16 @@ def merge_labels(df: DataFrame) -> DataFrame:
     return df.withColumn("aspect", F.coalesce(_mapped(F.col("aspect"), tx.MERGED_ALIASES), F.col("aspect")))
 
 
-def with_rule_aspect(df: DataFrame, name: str = "aspect_pred", fallback: str = tx.RULE_FALLBACK) -> DataFrame:
-    """Keyword-rule aspect of the review text."""
-    return df.withColumn(name, ex.first_rule(F.col("review_text"), tx.ASPECT_RULES, fallback))
+def with_rule_aspect(df: DataFrame, name: str = "aspect_pred", fallback: str = tx.RULE_FALLBACK,
+                     batched: bool = False) -> DataFrame:
+    """Keyword-rule aspect of the review text; ``batched`` finds it on Arrow batches, where Python runs in the tasks anyway."""
+    rule = ex.first_rule if batched else ex.first_rule_plain
+    return df.withColumn(name, rule(F.col("review_text"), tx.ASPECT_RULES, fallback))
 
 
 def reassign_pseudo(df: DataFrame, keep_off_topic: bool = False) -> DataFrame:
     """Give rows with a pseudo label a keyword aspect; drop what stays off topic."""
-    ruled = ex.first_rule(F.col("review_text"), tx.ASPECT_RULES, tx.OFF_TOPIC)
+    ruled = ex.first_rule_plain(F.col("review_text"), tx.ASPECT_RULES, tx.OFF_TOPIC)
     out = df.withColumn("aspect", F.when(F.col("aspect").isin(*tx.PSEUDO_ASPECTS), ruled).otherwise(F.col("aspect")))
     if keep_off_topic:
         return out

@@ -151,7 +151,8 @@ def aspect_detail(df: DataFrame, aspect: str, filters: Filters = Filters(), max_
     rows = apply_filters(df, filters).filter(F.col(filters.aspect_col) == aspect)
     a, s = filters.aspect_col, filters.sentiment_col
     found = aspect_summaries(rows, a, s, 6, max_texts)
-    zero = df.sparkSession.range(1).select(F.lit(aspect).alias("aspect"))
+    # a row rather than a literal, which would fold the join's condition away
+    zero = df.sparkSession.createDataFrame([(aspect,)], "aspect string")
     default_action = insights.lookup(F.col("aspect"), tx.ACTIONS, F.lit(""))
     zeros = {"nss": 0.0, "rows": 0, "pct_positive": 0.0, "pct_neutral": 0.0, "pct_negative": 0.0, "direction": "stable",
              "recent_nss": 0.0, "prior_nss": 0.0, "delta": 0.0, "top_complaints": "", "top_praises": "",
