@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +19,8 @@ from tonecast.operators import frequent
 
 MAX_FEATURES = 80_000
 _ENTRY = "array<struct<index:int,value:double>>"
+# words that a task handles at once, and rows of the batches it gives back
+_WORDS, _ROWS = 1_000_000, 100_000
 
 
 def with_terms(df: DataFrame, text: str, name: str = "_terms") -> DataFrame:
@@ -25,20 +29,53 @@ def with_terms(df: DataFrame, text: str, name: str = "_terms") -> DataFrame:
     return split.withColumn(name, F.concat("_uni", tk.ngrams(F.col("_uni"), 2))).drop("_uni")
 
 
+def _splitting():
+    """Function for tasks; defined inside, so that workers need not import this package."""
+    def split(words: pa.ListArray, limit: int = _WORDS) -> Iterator[tuple[int, np.ndarray, np.ndarray, pa.Array]]:
+        """Runs of rows of at most ``limit`` words (a longer row is one): rows, row and code of each word, the words of the codes."""
+        ends, start = words.offsets.to_numpy().astype(np.int64), 0
+        while start < len(words):
+            stop = max(start + 1, int(np.searchsorted(ends, ends[start] + limit, side="right")) - 1)
+            coded = words.slice(start, stop - start).flatten().dictionary_encode()
+            row = np.repeat(np.arange(stop - start), np.diff(ends[start:stop + 1]))
+            yield stop - start, row, coded.indices.to_numpy().astype(np.int64), coded.dictionary
+            start = stop
+    return split
+
+
+def _counting():
+    """Function for tasks: frequencies of all terms of some rows at a time."""
+    split = _splitting()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, row, code, words in split(batch.column(0)):
+                kinds, same = max(len(words), 1), row[1:] == row[:-1]
+                pair = (code[:-1] * kinds + code[1:])[same]
+                for key, at, name in ((code, row, lambda k: words.take(pa.array(k))),
+                                      (pair, row[1:][same], lambda k: pc.binary_join_element_wise(
+                                          words.take(pa.array(k // kinds)), words.take(pa.array(k % kinds)), " "))):
+                    coded = pa.array(key).dictionary_encode()
+                    index, found = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy()
+                    uses = np.bincount(index, minlength=len(found))
+                    seen = np.bincount(pc.unique(pa.array(index * rows + at)).to_numpy() // rows, minlength=len(found))
+                    for k in range(0, len(found), _ROWS):
+                        part = slice(k, k + _ROWS)
+                        yield pa.RecordBatch.from_arrays([name(found[part]).cast(pa.string()), pa.array(uses[part], pa.int64()),
+                                                          pa.array(seen[part], pa.int64())], ["term", "cf", "df"])
+    return count
+
+
 def term_statistics(df: DataFrame, text: str, wanted: DataFrame | None = None) -> DataFrame:
     """Corpus frequency ``cf`` and document frequency ``df`` of every term (or the ``wanted`` ones), in one aggregation by term.
 
-    Each document contributes its terms once per use and once as a set; map-side sums shrink
-    frequent terms before the shuffle and no (document, term) pair is shuffled.
+    Tasks count whole Arrow batches of words, so each term of a batch is one row of the aggregation, and no
+    (document, term) pair is shuffled.
     """
-    terms = with_terms(df, text)
-    uses = F.transform("_terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("c"), F.lit(0).alias("d")))
-    seen = F.transform(F.array_distinct("_terms"),
-                       lambda t: F.struct(t.alias("term"), F.lit(0).alias("c"), F.lit(1).alias("d")))
-    each = terms.select(F.inline(F.concat(uses, seen)))
+    each = df.select(tk.terms(F.col(text)).alias("_words")).mapInArrow(_counting(), "term string, cf long, df long")
     if wanted is not None:
         each = each.join(frequent.small(wanted), "term", "left_semi")
-    return (each.groupBy("term").agg(F.sum("c").alias("cf"), F.sum("d").alias("df")))
+    return (each.groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df")))
 
 
 def vocabulary(df: DataFrame, text: str, max_features: int = MAX_FEATURES, min_df: int = 2,
@@ -88,34 +125,58 @@ class TfIdf:
         return self.counter.vocabulary
 
     def transform(self, df: DataFrame, text: str, name: str = "features") -> DataFrame:
-        """Map-only: count the vocabulary terms of each row, then weigh whole Arrow batches."""
-        counted = self.counter.transform(with_terms(df, text)).drop("_terms")
-        return counted.withColumn(name, self._weigh()("_tf")).drop("_tf")
+        """Map-only: count and weigh the vocabulary terms of whole Arrow batches."""
+        weigh, size = self._weights(), len(self.idf)
+
+        @F.arrow_udf(VectorUDT())
+        def vectors(v: pa.Array) -> pa.Array:
+            starts, indices, weights = weigh(v)
+            fields = [pa.array(np.zeros(len(v), np.int8)), pa.array(np.full(len(v), size, np.int32)),
+                      pa.ListArray.from_arrays(starts, indices), pa.ListArray.from_arrays(starts, weights)]
+            return pa.StructArray.from_arrays(fields, ["type", "size", "indices", "values"])
+        return df.withColumn(name, vectors(tk.terms(F.col(text))))
 
     def _weights(self):
-        """Function from a batch of count vectors to (row starts, indices, unit-length weights)."""
-        idf, sublinear = self.idf, self.sublinear
+        """Function from a batch of word lists to (row starts, indices in order, unit-length weights)."""
+        idf, sublinear, split = self.idf, self.sublinear, _splitting()
+        terms = pa.array(self.terms, pa.string())
+        parts = pc.split_pattern(terms, " ")
+        words = parts.flatten().unique()
+        ends, spelt = parts.offsets.to_numpy(), pc.index_in(parts.flatten(), value_set=words).to_numpy().astype(np.int64)
+        single = np.diff(ends) == 1
+        # the term of each word, and of each pair of words
+        alone = np.full(len(words), -1)
+        alone[spelt[ends[:-1][single]]] = np.flatnonzero(single)
+        head, tail = spelt[ends[:-1][~single]], spelt[ends[1:][~single] - 1]
+        leads, follows = np.zeros(len(words) + 1, bool), np.zeros(len(words) + 1, bool)
+        leads[head], follows[tail] = True, True
+        order = np.argsort(head * len(words) + tail)
+        pairs, paired = (head * len(words) + tail)[order], np.flatnonzero(~single)[order]
 
         def weigh(v: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
-            indices, counts = v.field("indices").flatten(), v.field("values")
-            tf = counts.flatten().to_numpy(zero_copy_only=False)
-            w = (1 + np.log(tf) if sublinear else tf) * idf[indices.to_numpy(zero_copy_only=False)]
-            sizes = np.diff(counts.offsets.to_numpy())
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            length = np.sqrt(np.bincount(row, w * w, minlength=len(sizes)))
-            return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype("int32")), indices, pa.array(w / length[row])
+            sizes, indices, weights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+            for rows, row, code, spelled in split(v):
+                known = pc.fill_null(pc.index_in(spelled, value_set=words), -1).to_numpy().astype(np.int64)
+                word = known[code]
+                near = np.flatnonzero((row[1:] == row[:-1]) & leads[word[:-1]] & follows[word[1:]])
+                key = word[near] * len(words) + word[near + 1]
+                at = np.minimum(np.searchsorted(pairs, key), max(len(pairs) - 1, 0))
+                hit = pairs[at] == key if len(pairs) else np.zeros(0, bool)
+                term = alone[word] if len(alone) else word
+                term[word < 0] = -1
+                one = term >= 0
+                cells = np.concatenate([row[one] * len(idf) + term[one], row[near[hit]] * len(idf) + paired[at[hit]]])
+                cells, counts = np.unique(cells, return_counts=True)
+                at, index = cells // len(idf), cells % len(idf)
+                w = (1 + np.log(counts) if sublinear else counts) * idf[index]
+                length = np.sqrt(np.bincount(at, w * w, minlength=rows))
+                sizes.append(np.bincount(at, minlength=rows))
+                indices.append(index)
+                weights.append(w / length[at])
+            starts = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype("int32")
+            return pa.array(starts), pa.array(np.concatenate(indices).astype("int32")), pa.array(np.concatenate(weights))
         return weigh
 
-    def _weigh(self):
-        weigh = self._weights()
-
-        @F.arrow_udf(VectorUDT())
-        def vectors(v: pa.Array) -> pa.Array:
-            starts, _, weights = weigh(v)
-            fields = [v.field("type"), v.field("size"), v.field("indices"), pa.ListArray.from_arrays(starts, weights)]
-            return pa.StructArray.from_arrays(fields, ["type", "size", "indices", "values"])
-        return vectors
-
     def weigh_entries(self, df: DataFrame, text: str, name: str = "entries") -> DataFrame:
         """Non-zero weights of each row as an array of (index, value), in one pass over the Arrow batches."""
         weigh = self._weights()
@@ -124,7 +185,7 @@ class TfIdf:
         def cells(v: pa.Array) -> pa.Array:
             starts, indices, weights = weigh(v)
             return pa.ListArray.from_arrays(starts, pa.StructArray.from_arrays([indices, weights], ["index", "value"]))
-        return self.counter.transform(with_terms(df, text)).drop("_terms").withColumn(name, cells("_tf")).drop("_tf")
+        return df.withColumn(name, cells(tk.terms(F.col(text))))
 
     def vocabulary(self, df: DataFrame) -> DataFrame:
         """The vocabulary as a table: index, term, idf."""
@@ -161,5 +222,14 @@ def entries(vector: Column) -> Column:
 
 def weights_table(model: TfIdf, df: DataFrame, text: str, key: str) -> DataFrame:
     """Long form (key, term, weight)."""
-    rows = model.weigh_entries(df.select(key, text), text).select(key, F.inline("entries"))
-    return rows.join(model.names(df), "index").select(key, "term", F.col("value").alias("weight"))
+    weigh, terms = model._weights(), pa.array(model.terms, pa.string())
+
+    def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts, indices, weights = weigh(batch.column(1))
+            row = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(starts.to_numpy())))
+            for k in range(0, len(row), _ROWS):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row[k:k + _ROWS]), terms.take(indices[k:k + _ROWS]),
+                                                  weights[k:k + _ROWS]], [key, "term", "weight"])
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, tk.terms(F.col(text))).mapInArrow(long, f"`{key}` {kind}, term string, weight double")
