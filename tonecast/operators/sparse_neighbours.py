@@ -26,31 +26,76 @@ from tonecast.session import materialize
 BLOCK_ROWS = 2048  # members of a list that a task compares with as many others
 BLOCK_ENTRIES, LEAST_BLOCK, LEAST_BLOCKS = 3_000_000, 256, 6  # when the table itself is cut: entries of a block, its least rows, and blocks of larger tables
 SEED_TERMS, SEED_ROWS = 4, 256  # terms of a vector that give its floor, and the longest list they may have
-_ENTRIES = 16_384
+# share of all pairs that have a term in common from which it is a column of a matrix, columns and pairs handled at once,
+# and the most places picked one by one
+_COMMON, _COLUMNS, _PAIRS, _PICKED = 0.005, 512, 4_000_000, 16
 _SLICE = 256
 _SLACK = 1e-9
 _DIGITS = 12
 
 
 def products(q: tuple, d: tuple) -> np.ndarray:
-    """(query, document) scores of sparse rows given as (bounds, indices, values)."""
+    """(query, document) scores of sparse rows given as (bounds, indices, values).
+
+    Terms that many rows share are multiplied as a matrix, the entries of the others are paired.
+    """
     (q_at, q_index, q_value), (d_at, d_index, d_value) = q, d
-    out = np.zeros((len(d_at) - 1, len(q_at) - 1))
-    used, column = np.unique(q_index, return_inverse=True)
-    if not len(used):
-        return out.T
-    block = np.zeros((len(used), len(q_at) - 1))
-    block[column, np.repeat(np.arange(len(q_at) - 1), np.diff(q_at))] = q_value
-    at = np.minimum(np.searchsorted(used, d_index), len(used) - 1)
-    known = used[at] == d_index
-    at, value, owner = at[known], d_value[known], np.repeat(np.arange(len(d_at) - 1), np.diff(d_at))[known]
-    for start in range(0, len(at), _ENTRIES):
-        # entries of one document are consecutive, so their products are summed in runs
-        own = owner[start:start + _ENTRIES]
-        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-        part = block[at[start:start + _ENTRIES]] * value[start:start + _ENTRIES, None]
-        out[own[first]] += np.add.reduceat(part, first, axis=0)
-    return out.T
+    n, m = len(q_at) - 1, len(d_at) - 1
+    out = np.zeros((n, m))
+    used, q_term = np.unique(q_index, return_inverse=True)
+    if not len(used) or not len(d_index):
+        return out
+    place = np.full(max(int(used[-1]), int(d_index.max())) + 1, -1)
+    place[used] = np.arange(len(used))
+    d_term, d_row, q_row = place[d_index], np.repeat(np.arange(m), np.diff(d_at)), np.repeat(np.arange(n), np.diff(q_at))
+    known = d_term >= 0
+    d_term, d_row, d_value = d_term[known], d_row[known], d_value[known]
+    many, held = np.bincount(q_term, minlength=len(used)), np.bincount(d_term, minlength=len(used))
+    common = many.astype(np.float64) * held > _COMMON * n * m
+    terms = np.flatnonzero(common)
+    column = np.cumsum(common) - 1
+    q_common, d_common = common[q_term], common[d_term]
+    for start in range(0, len(terms), _COLUMNS):
+        sides = []
+        for rows, row, term, value, mine in ((n, q_row, q_term, q_value, q_common), (m, d_row, d_term, d_value, d_common)):
+            own = np.flatnonzero(mine)
+            at = column[term[own]] - start
+            within = (at >= 0) & (at < _COLUMNS)
+            side = np.zeros((rows, min(_COLUMNS, len(terms) - start)))
+            side[row[own[within]], at[within]] = value[own[within]]
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    # the other terms: every entry of a document meets the queries that have its term
+    order = np.flatnonzero(~q_common)
+    order = order[np.argsort(q_term[order], kind="stable")]
+    many[common] = 0
+    first = np.cumsum(many) - many
+    rest = np.flatnonzero(~d_common)
+    rest = rest[many[d_term[rest]] > 0]
+    ends = np.cumsum(many[d_term[rest]])
+    start = 0
+    while start < len(rest):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + _PAIRS, side="right")))
+        part = rest[start:stop]
+        times = many[d_term[part]]
+        own = np.repeat(part, times)
+        met = order[first[d_term[own]] + np.arange(len(own)) - np.repeat(np.cumsum(times) - times, times)]
+        out += np.bincount(q_row[met] * m + d_row[own], q_value[met] * d_value[own], n * m).reshape(n, m)
+        start = stop
+    return out
+
+
+def best_columns(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns and values of the ``k`` largest scores of each row, largest first, ties to the first column."""
+    if k > _PICKED or k >= scores.shape[1]:
+        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        return best, np.take_along_axis(scores, best, axis=1)
+    left, rows, best, found = scores.copy(), np.arange(len(scores)), [], []
+    for _ in range(k):
+        best.append(left.argmax(axis=1))
+        found.append(left[rows, best[-1]])
+        left[rows, best[-1]] = -np.inf
+    return np.stack(best, axis=1), np.stack(found, axis=1)
 
 
 def needed_terms(index: np.ndarray, value: np.ndarray, frequency: np.ndarray, largest: np.ndarray, floor: float) -> np.ndarray:
@@ -193,8 +238,7 @@ class Lists:
                     scores = np.round(products(_rows(part), rows), _DIGITS)
                     scores = scores[:, order] if len(known) == len(ids) else np.maximum.reduceat(scores[:, order], first, axis=1)
                     scores[names[:, None] == known[None, :]] = -np.inf
-                    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                    found = np.take_along_axis(scores, best, axis=1)
+                    best, found = best_columns(scores, k)
                     kept = found > -np.inf
                     if kept.any():
                         yield pa.RecordBatch.from_pydict({"query_id": np.repeat(names, kept.sum(axis=1)),
