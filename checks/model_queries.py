@@ -6,6 +6,7 @@ from checks.registry import check, rounded
 from tonecast.functions import expressions as ex
 from tonecast.operators import (attribution, classifier, cleaning, errors, evaluation, features, oversampling, splits,
                                 thresholds, topics)
+from tonecast.session import materialize
 
 LABELS = ("Negative", "Neutral", "Positive")
 
@@ -300,7 +301,7 @@ def token_attribution(v):
 def oversample(v):
     """Synthetic rows for the smaller classes of the training split."""
     labelled = splits.with_split(_labelled(v).withColumn("text_id", ex.text_id(F.col("review_text"))))
-    rows = classifier.with_pair(labelled.filter("split = 'train'"))
+    rows = materialize(classifier.with_pair(labelled.filter("split = 'train'")).select("review_id", "sentiment", classifier.PAIR), "train")
     model = features.TfIdf.fit(rows, classifier.PAIR, min_df=2)
     vectors = model.transform(rows, classifier.PAIR)
     balanced = oversampling.interpolate_minority(vectors)

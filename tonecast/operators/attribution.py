@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tonecast.operators.classifier import PAIR, SentimentModel, with_pair
 from tonecast.operators.cleaning import sample_rows
-from tonecast.operators.features import entries
 
 
 def background_mean(df: DataFrame, model: SentimentModel, n: int | None = None, seed: int = 42,
@@ -17,10 +16,7 @@ def background_mean(df: DataFrame, model: SentimentModel, n: int | None = None,
     """Mean feature vector of all rows, or of a repeatable sample of ``n``; one number per term reaches the driver."""
     rows = df.select(key, "review_text", aspect).na.drop()
     rows = rows if n is None else sample_rows(rows, n, seed, key)
-    vectors = model.features.transform(with_pair(rows, aspect), PAIR).select("features")
-    # a row counts itself as one more entry, so the texts are read once
-    itself = F.array(F.struct(F.lit(-1).alias("index"), F.lit(1.0).alias("value")))
-    sums = vectors.select(F.inline(F.concat(entries(F.col("features")), itself))).groupBy("index").agg(F.sum("value").alias("s")).toPandas()
+    sums = model.features.sums(with_pair(rows, aspect), PAIR).toPandas()
     index, total = sums["index"].to_numpy(dtype="int64"), sums["s"].to_numpy()
     mean = np.zeros(len(model.features.idf))
     mean[index[index >= 0]] = total[index >= 0] / max(total[index < 0].sum(), 1)

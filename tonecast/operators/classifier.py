@@ -61,9 +61,10 @@ class SentimentModel:
             balanced: bool = True, sublinear: bool = True, min_df: int = 2,
             max_features: int = MAX_FEATURES) -> "SentimentModel":
         """Train on labelled rows. ``C`` is the inverse penalty per unit of summed row weight."""
-        rows = with_pair(train.filter(F.col(label).isin(*SENTIMENTS)), aspect)
+        # vocabulary, row count, class sizes and vectors each read the rows; what chose them runs once
+        rows = materialize(with_pair(train.filter(F.col(label).isin(*SENTIMENTS)), aspect).select(PAIR, label), "train")
         features = TfIdf.fit(rows, PAIR, max_features, min_df, sublinear)
-        vectors = features.transform(rows.select(PAIR, label), PAIR).select("features", label)
+        vectors = features.transform(rows, PAIR).select("features", label)
         return SentimentModel.fit_vectors(features, vectors, label, C, max_iter, balanced)
 
     @staticmethod

@@ -187,6 +187,22 @@ class TfIdf:
             return pa.ListArray.from_arrays(starts, pa.StructArray.from_arrays([indices, weights], ["index", "value"]))
         return df.withColumn(name, cells(tk.terms(F.col(text))))
 
+    def sums(self, df: DataFrame, text: str) -> DataFrame:
+        """Sum of the weights by index, added up in the tasks first; index -1 has the number of rows, so the texts are read once."""
+        weigh, size = self._weights(), len(self.idf)
+
+        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, rows = np.zeros(size), 0
+            for batch in batches:
+                _, indices, weights = weigh(batch.column(0))
+                total += np.bincount(indices.to_numpy(), weights.to_numpy(), size)
+                rows += batch.num_rows
+            used = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1).astype("int32")), pa.array(np.append(total[used], rows))],
+                                             ["index", "s"])
+        each = df.select(tk.terms(F.col(text))).mapInArrow(added, "index int, s double")
+        return each.groupBy("index").agg(F.sum("s").alias("s"))
+
     def vocabulary(self, df: DataFrame) -> DataFrame:
         """The vocabulary as a table: index, term, idf."""
         pdf = pd.DataFrame({"index": np.arange(len(self.idf), dtype="int32"), "term": self.terms, "idf": self.idf})
